@@ -1,0 +1,337 @@
+"""Near-duplicates by a chosen-path set similarity join.
+
+Documents with equal shingle sets collapse to the least doc_id first.  Each remaining
+set has 64 minwise tokens.  Several independent trees branch the documents: a root
+picks tokens, and the documents that agree on a picked token form a node; a node too
+large to compare branches again on tokens that its own path picks.  Small nodes are
+compared exhaustively, large ones against their least document on the way down.  With
+b picks in a node, a pair of similarity J lives on in a subtree with the chance of a
+branching process of mean b * J, here 0.94 a root node at J = 0.8, and trees * b = 10
+root nodes bring the recall of the worst pair beyond 0.999999.
+
+Only connectivity is asked for, so nodes whose documents are known to be in one
+component are done with: a group of thousands of copies costs one comparison each and
+not all pairs.  Nodes that are still large and of several components at the last level
+are compared in blocks, so no candidate is capped.  Every link is confirmed on the
+full sets, 100 * |A & B| >= percent * |A | B|.
+
+Defined results: documents without words have an empty set, are linked with nothing
+and are kept; a null doc_id has a null component_id, is linked with nothing and kept;
+rows that share a doc_id count as one document (linked with each other), each row
+keeping its own n_shingles.  Texts are compared after lower-casing A-Z.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .bytewords import SPACE, in_pieces, mix, window_hashes, words_hashed
+from .components import components
+from .scratch import Scratch
+
+TOKENS = 64
+_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("roots", T.ArrayType(T.LongType()))])
+_NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType())])
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _shingles(table: pa.Table, size: int):
+    """Each text's sorted distinct shingle hashes; a text of fewer words has its whole sequence as one."""
+    _, w, h = words_hashed(table.column("text"), SPACE, lower=True)
+    all_of = window_hashes(h, size)
+    for low, high in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        if high - low >= size:
+            yield np.unique(all_of[low : high - size + 1])
+        elif high > low:
+            yield window_hashes(h[low:high], high - low, 1)
+        else:
+            yield h[:0]
+
+
+def _sketcher(size: int, trees: int, picks: int):
+    rng = np.random.default_rng(20)
+    factor = rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    root = np.concatenate([rng.permutation(TOKENS) for _ in range(-(-trees * picks // TOKENS))])[: trees * picks]  # each token at most once, where there are enough
+    tree = np.repeat(np.arange(trees), picks).astype(np.uint64)
+
+    def run(batches):
+        for table in in_pieces(batches):
+            n, s1, s2, sketch, roots = [], [], [], [], []
+            for g in _shingles(table, size):
+                n.append(len(g))
+                s1.append(int(mix(g).sum().view(np.int64)))
+                s2.append(int(mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)))
+                if len(g):
+                    least = np.full(TOKENS, ~np.uint64(0))
+                    for at in range(0, len(g), 4096):
+                        np.minimum(least, (g[at : at + 4096, None] * factor).min(axis=0), out=least)
+                    token = mix(least)
+                    sketch.append((token >> np.uint64(48)).astype("<u2").tobytes())
+                    roots.append(mix(token[root] ^ mix(tree * np.uint64(TOKENS) + root.astype(np.uint64))).view(np.int64))
+                else:
+                    sketch.append(None)
+                    roots.append(None)
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], names=_SETS.names)
+
+    return run
+
+
+def _tokens(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), TOKENS)
+
+
+def _alike(percent: int) -> int:
+    """Equal tokens that a pair at the threshold has all but 3 times in a million."""
+    j = percent / 100
+    return int(TOKENS * j - 4.5 * (TOKENS * j * (1 - j)) ** 0.5)
+
+
+def _pairs(rep, n, tokens, i, j, percent):
+    """The pairs of rows i and j that can be similar enough."""
+    ok = (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (rep[i] != rep[j])
+    i, j = i[ok], j[ok]
+    ok = (tokens[i] == tokens[j]).sum(axis=1) >= _alike(percent)
+    i, j = rep[i[ok]], rep[j[ok]]
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def _pair_batch(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _by_node(keys: list[str], work):
+    """Runs `work(table)` over whole groups of sorted batches; several small groups at a time."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = np.ones(table.num_rows, bool)
+            for k in keys:
+                v = table.column(k).to_numpy()
+                last &= v == v[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield from work(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
+def _small_nodes(percent: int):
+    """All pairs of each small node, tested by their tokens."""
+
+    def work(table):
+        node, rep, n, tokens = table.column("node").to_numpy(), table.column("rep").to_numpy(), table.column("n_shingles").to_numpy(), _tokens(table.column("sketch"))
+        edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        size = np.diff(np.r_[edge, len(node)])
+        for s in np.unique(size[size > 1]):
+            i, j = np.triu_indices(s, 1)
+            first = edge[size == s]
+            for at in range(0, len(first), max(1, 200_000 // len(i))):
+                some = first[at : at + max(1, 200_000 // len(i)), None]
+                a, b = _pairs(rep, n, tokens, (some + i).ravel(), (some + j).ravel(), percent)
+                if len(a):
+                    yield _pair_batch(a, b)
+
+    return _by_node(["node"], work)
+
+
+def _star(percent: int):
+    """Each row against its node's least document."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                rep, n = np.r_[b.column("rep").to_numpy(), b.column("pivot").to_numpy()], np.r_[b.column("n_shingles").to_numpy(), b.column("pivot_n").to_numpy()]
+                tokens = np.concatenate([_tokens(b.column("sketch")), _tokens(b.column("pivot_sketch"))])
+                k = np.arange(b.num_rows)
+                yield _pair_batch(*_pairs(rep, n, tokens, k, k + b.num_rows, percent))
+
+    return run
+
+
+def _blocks(percent: int):
+    """Rows of one block of a node against those of another (or the same)."""
+
+    def work(table):
+        keys = [table.column(c).to_numpy() for c in ("node", "low", "high")]
+        rep, n, side, comp = (table.column(c).to_numpy() for c in ("rep", "n_shingles", "side", "comp"))
+        tokens = _tokens(table.column("sketch"))
+        edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        for low, high in zip(edge, np.r_[edge[1:], len(rep)], strict=True):
+            left, right = low + np.flatnonzero(side[low:high] == 0), low + np.flatnonzero(side[low:high] == 1)
+            for x in left:
+                other = right[comp[right] != comp[x]]
+                a, b = _pairs(rep, n, tokens, np.full(len(other), x), other, percent)
+                if len(a):
+                    yield _pair_batch(a, b)
+
+    return _by_node(["node", "low", "high"], work)
+
+
+def _branch(picks: int):
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, tokens = b.column("node").to_numpy().view(np.uint64), _tokens(b.column("sketch"))
+            first = (mix(node ^ np.uint64(0x1357)) % np.uint64(TOKENS)).astype(np.int64)
+            step = 1 + (mix(node ^ np.uint64(0x2468)) % np.uint64(TOKENS // 2 - 1)).astype(np.int64)
+            out = []
+            for k in range(picks):
+                at = (first + k * step) % TOKENS
+                value = tokens[np.arange(len(at)), at].astype(np.uint64)
+                out.append(mix(node ^ mix((value << np.uint64(8)) + at.astype(np.uint64))).view(np.int64))
+            rep = b.column("rep").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), pa.array(np.tile(rep, picks), pa.int64())], names=["node", "rep"])
+
+    return run
+
+
+def _full_sets(size: int):
+    def run(batches):
+        for table in in_pieces(batches):
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([g.tobytes() for g in _shingles(table, size)], pa.binary())], names=["doc_id", "grams"])
+
+    return run
+
+
+def _confirm(percent: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                ok = []
+                for x, y in zip(b.column("grams_a"), b.column("grams_b"), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    k = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[k] == x).sum()) if len(x) and len(y) else 0
+                    ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+class _Join:
+    """One run of the join: the tables that its steps share."""
+
+    def __init__(self, spark, docs, percent, shingle, trees, picks, limit, depth):
+        self.spark, self.docs, self.percent, self.shingle, self.picks, self.limit, self.depth = spark, docs, percent, shingle, picks, limit, depth
+        self.scratch = Scratch(spark, "near")
+        self.sets = self.scratch.write(docs.where("doc_id is not null").mapInArrow(_sketcher(shingle, trees, picks), _SETS))
+        self.classes = self.scratch.write(self.sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+        self.member = self.scratch.write(self.sets.where("n_shingles > 0").select("doc_id", "s1", "s2").join(self.classes, ["s1", "s2"]).select("doc_id", "rep"))
+        own = self.sets.join(self.classes, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep", "s1", "s2"])
+        self.reps = self.scratch.write(own.select("rep", "n_shingles", "sketch", "roots"))
+        self.sketches = self.reps.select("rep", "n_shingles", "sketch")
+        self.edges = self.member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+        self.labels = None
+
+    def nodes(self, rows: DataFrame) -> DataFrame:
+        """(node, rep) rows of nodes of two rows or more, with size, pivot, set size and sketch."""
+        rows = self.scratch.write(rows)
+        sizes = self.scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot <> other").drop("other"))
+        return self.scratch.write(rows.join(sizes, "node").join(self.sketches, "rep"))
+
+    def found(self, nodes: DataFrame) -> DataFrame:
+        """Candidate pairs of these nodes."""
+        small = nodes.where(F.col("n") <= self.limit).select("node", "rep", "n_shingles", "sketch")
+        small = small.repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(self.percent), _PAIR)
+        large = nodes.where(F.col("n") > self.limit)
+        pivots = self.scratch.write(large.where("rep = pivot").select("node", F.col("n_shingles").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")).dropDuplicates(["node"]))
+        star = large.where("rep <> pivot").join(pivots, "node").select("rep", "pivot", "n_shingles", "pivot_n", "sketch", "pivot_sketch")
+        return small.union(star.mapInArrow(_star(self.percent), _PAIR))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different components."""
+        if self.labels is None:
+            return pairs
+        for x in ("a", "b"):
+            pairs = pairs.join(self.labels.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}")), x, "left")
+        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+    def label(self, edges: DataFrame) -> None:
+        if self.labels is not None:
+            edges = edges.union(self.labels.select("v", "c"))
+        self.labels = components(self.scratch, edges)
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Pairs on full sets: first each document's least partner, then those that still lie in different components."""
+        pairs = self.scratch.write(pairs.distinct())
+        if pairs.isEmpty():
+            return
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        grams = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(self.shingle), "doc_id long, grams binary")
+        grams = self.scratch.write(grams)
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        for k in range(2):
+            some = self.scratch.write(first if k == 0 else self.apart(pairs))
+            if some.isEmpty():
+                return
+            sure = some.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
+            sure = sure.join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+            self.label(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR))
+
+    def open_nodes(self, nodes: DataFrame) -> DataFrame:
+        """Large nodes of more than one component, with each row's component."""
+        large = nodes.where(F.col("n") > self.limit)
+        if self.labels is not None:
+            large = large.join(self.labels.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+        else:
+            large = large.withColumn("comp", F.col("rep"))
+        large = self.scratch.write(large)
+        several = self.scratch.write(large.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node"))
+        return large.join(several, "node")
+
+    def run(self) -> DataFrame:
+        self.label(self.edges)
+        nodes = self.nodes(self.reps.select(F.explode("roots").alias("node"), "rep"))
+        self.confirm(self.found(nodes))
+        gathered = None
+        for _ in range(self.depth):
+            large = self.scratch.write(self.open_nodes(nodes).select("node", "rep", "sketch"))
+            if large.isEmpty():
+                nodes = None
+                break
+            nodes = self.nodes(large.mapInArrow(_branch(self.picks), _NODE))
+            pairs = self.scratch.write(self.found(nodes).distinct())
+            gathered = pairs if gathered is None else gathered.union(pairs)
+        if gathered is not None:
+            self.confirm(self.apart(gathered))
+        if nodes is not None:
+            rest = self.scratch.write(self.open_nodes(nodes))
+            if not rest.isEmpty():
+                self.confirm(self.in_blocks(rest))
+        return self.labels
+
+    def in_blocks(self, rest: DataFrame) -> DataFrame:
+        """What no level could split: each block of a node against each other block."""
+        blocks = F.ceil(F.col("n") / 256)
+        rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
+        cells = F.concat(cells, F.array(F.struct(F.col("own").alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))))
+        rows = rest.select("node", "rep", "n_shingles", "sketch", "comp", F.explode(cells).alias("cell")).select("node", "cell.low", "cell.high", "cell.side", "rep", "n_shingles", "sketch", "comp")
+        return rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInArrow(_blocks(self.percent), _PAIR)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 5, picks: int = 2, limit: int = 32, depth: int = 6) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    join = _Join(spark, docs, percent, shingle, trees, picks, limit, depth)
+    labels = join.run()
+    of = join.classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"))
+    found = join.sets.select("doc_id", "n_shingles", "s1", "s2").join(join.scratch.write(of), ["s1", "s2"], "left")
+    found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = docs.where("doc_id is null").mapInArrow(_sketcher(shingle, 1, 1), _SETS).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return found.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

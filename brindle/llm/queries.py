@@ -17,5 +17,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4)
+
+
+QUERIES = {f.__name__: f for f in (op7_substring_dedup, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
