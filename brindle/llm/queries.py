@@ -17,11 +17,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_hits
+
+    out = find_hits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("longest").alias("longest_match"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op7_substring_dedup, op8_decontaminate, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
