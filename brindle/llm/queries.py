@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -24,11 +31,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("longest").alias("longest_match"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, fit(spark, docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    from .sentence_pieces import encode
+
+    out = encode(table(spark, sf_dir, "documents"), model_path or tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", "round_trip")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup, op8_decontaminate, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
