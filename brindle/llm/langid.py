@@ -165,3 +165,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), names.take(pa.array(np.where(known, best, len(names) - 1))), pa.array(top)], names=_OUT.names)
 
     return docs.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, _OUT)
+
+
+def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and a language of score `least` or more; all rows with a letter where there is no model."""
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    if model is None:
+        return lettered
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for table in in_pieces(batches):
+            yield from table.filter(pa.array(sent.value.scores(texts_of(table.column("text"))).max(axis=1) >= least)).to_batches()
+
+    return lettered.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,3 +335,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, shi
     found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInArrow(_sketcher(shingle, 1, 1), _SETS).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return found.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of docs, all columns, without those that are near-duplicates of a document with a smaller id; a doc_id stays once."""
+    found = near_duplicates(spark, docs, percent, shingle)
+    kept = Scratch(spark, "kept").write(found.where("kept and doc_id is not null").select("doc_id").distinct())
+    once = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if rows > ids:  # of rows that share an id, the one with the least text
+        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        once = once.select(F.struct("*").alias("row"), turn.alias("turn")).where("turn = 1").select("row.*")
+    return once.union(docs.where("doc_id is null"))

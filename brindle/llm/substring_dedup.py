@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import SPACE, coverage, in_pieces, mix, window_hashes, window_starts, words_hashed
+from .bytewords import SPACE, coverage, in_pieces, window_hashes, window_starts, words_hashed
 from .scratch import Scratch, shuffle_partitions
 
 LAST = np.iinfo(np.int64).max
@@ -221,7 +221,7 @@ def _repeats(groups: int):
     return run
 
 
-def _removed(window: int):
+def _removed(window: int, carry: bool):
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         doc, tag, _, place = _unpack(repeats, None)
         found = _by_doc(doc, tag, place)
@@ -229,27 +229,47 @@ def _removed(window: int):
         for d, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             raw = (text or "").encode()
             words, spans, gone = raw.split(), [], 0  # bytes.split() splits at \x20 and \x09-\x0D
+            n = len(words)
             if (starts := found.get((d, zlib.crc32(raw)))) is not None:
-                over = coverage(np.unique(starts), window, len(words))
+                over = coverage(np.unique(starts), window, n)
                 edge = np.flatnonzero(np.diff(np.r_[0, over.view(np.int8), 0]))
                 spans, gone = edge.reshape(-1, 2).tolist(), int(over.sum())
                 words = [w for w, x in zip(words, over.tolist(), strict=True) if not x]
-            for c, v in zip(out, (None if d == LAST else d, len(words) + gone, gone, b" ".join(words).decode(), spans), strict=True):
+            kept = text if carry and not gone else b" ".join(words).decode()
+            for c, v in zip(out, (None if d == LAST else d, n, gone, kept, spans), strict=True):
                 out[c].append(v)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int64())))})
+        columns = [pa.array(out[c], k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)]
+        return pa.table([*columns, docs.column("rest")] if carry else columns, names=[*out, *["rest"] * carry])
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words, one space between) and spans (maximal repeats as [first word, word after the last]) of every row."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words, one space between) and spans (maximal repeats as [first word, word after the last]) of every row.
+
+    With carry, kept_text is the text itself where nothing goes, and `rest` holds the other columns."""
     parts = shuffle_partitions(spark)
     groups = 4 * parts + 1
     block = (window + 1) // 2
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    probes = plain.mapInArrow(_probes(window, block, parts), _PACKED)
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")) or [F.lit(None)]).alias("rest")] if carry else []
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    probes = plain.select("doc_id", "text").mapInArrow(_probes(window, block, parts), _PACKED)
     anchors = Scratch(spark, "anchors").write(probes.repartitionById(parts, F.col("part")).mapInArrow(_anchors(block, groups), _PACKED))
     dealt = plain.withColumn("part", _group_column(F.col("doc_id"), groups)).groupBy("part")
     windows = dealt.cogroup(anchors.groupBy("part")).applyInArrow(_candidates(window, block, parts), _PACKED)
     repeats = windows.repartitionById(parts, F.col("part")).mapInArrow(_repeats(groups), _PACKED)
-    return dealt.cogroup(repeats.groupBy("part")).applyInArrow(_removed(window), _OUT)
+    out = T.StructType([*_OUT, *([plain.schema["rest"]] if carry else [])])
+    return dealt.cogroup(repeats.groupBy("part")).applyInArrow(_removed(window, carry), out)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of docs, all columns, with the repeats cut out of text (and n_chars, where there is one, counted anew)."""
+    kinds = dict(docs.dtypes)
+
+    def column(c: str):
+        if c in ("doc_id", "text"):
+            return F.col("doc_id" if c == "doc_id" else "kept_text").cast(kinds[c]).alias(c)
+        value = F.col("rest").getField(c)
+        return (F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(value).cast(kinds[c]) if c == "n_chars" else value).alias(c)
+
+    return remove_repeats(spark, docs, window, carry=True).select(*map(column, docs.columns))
