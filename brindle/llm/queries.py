@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from .token_records import read_records, write_records
+
+    return read_records(spark, write_records(spark, table(spark, sf_dir, "documents"), tokenizer_path or tokenizer("byte_bpe_50k.json"), end_id=0))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -52,5 +58,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
