@@ -17,6 +17,113 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mails: each turn quotes the turn before it, and that one's predecessor within."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("scope"), F.col("turn").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    said = turns.groupBy("scope", "place").agg(F.min("text").alias("said"))
+    mail = turns
+    for back, marks in ((1, ">"), (2, ">>")):
+        earlier = said.select("scope", (F.col("place") + back).alias("place"), F.concat(F.lit(f"{marks} "), F.regexp_replace("said", "\n", f"\n{marks} "), F.lit("\n")).alias(f"back{back}"))
+        mail = mail.join(earlier, ["scope", "place"], "left")
+    return mail.select("scope", "place", F.concat(F.coalesce("back2", F.lit("")), F.coalesce("back1", F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
+
+
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotations import conversations
+
+    out = conversations(spark, mails(spark, sf_dir))
+    return out.select(F.col("scope").alias("conv_id"), F.col("place").alias("turn"), "n_quoted", F.col("to_place").alias("answers_turn"), F.col("root_place").alias("root_turn"), "depth", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+OP1_SQL = """
+with recursive turns as (
+  select conv_id, turn, coalesce(text, '') as text,
+    trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g'), ' ') as words
+  from conversations),
+said as (select conv_id, turn, min(text) as text from turns group by all),
+norm as (
+  select conv_id, turn, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g'), ' ') as words
+  from said),
+firsts as (select conv_id, words, min(turn) as turn from norm where words <> '' group by all),
+quoted as (
+  select n.conv_id, n.turn + b.back as turn, b.back as level, n.words
+  from norm n cross join (values (1), (2)) b(back) where n.words <> ''),
+hits as (
+  select q.conv_id, q.turn, q.level, f.turn as original
+  from (select conv_id, turn, words, min(level) as level from quoted group by all) q
+  join firsts f on f.conv_id = q.conv_id and f.words = q.words and f.turn < q.turn),
+links as (
+  select conv_id, turn, max(original) as answers
+  from (select *, min(level) over (partition by conv_id, turn) as least from hits) where level = least group by all),
+chain(conv_id, turn, root, depth) as (
+  select conv_id, turn, answers, 1 from links
+  union all
+  select c.conv_id, c.turn, l.answers, c.depth + 1 from chain c join links l on l.conv_id = c.conv_id and l.turn = c.root),
+ends as (select conv_id, turn, arg_max(root, depth) as root, max(depth) as depth from chain group by all)
+select t.conv_id, t.turn, cast((select count(*) from quoted q where q.conv_id = t.conv_id and q.turn = t.turn) as bigint) as n_quoted,
+  l.answers as answers_turn, coalesce(e.root, t.turn) as root_turn, cast(coalesce(e.depth, 0) as bigint) as depth,
+  sha256(trim(t.text, chr(10))) as clean_sha256
+from turns t left join links l using (conv_id, turn) left join ends e using (conv_id, turn)
+"""
+
+SPACE_WORDS, TABLE_WORDS, ALNUM_WORDS = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D|]+", r"[0-9A-Za-z]+"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents go in under two tokenizer versions; later copies of a text go out; the texts with tables are counted anew; one batch comes twice."""
+    from .scratch import Scratch
+    from .token_counts import Rollup, delete, insert, revise
+
+    scratch = Scratch(spark, "counts")
+    n = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("key"), n(SPACE_WORDS).alias("space"), n(TABLE_WORDS).alias("table"), n(ALNUM_WORDS).alias("alnum"), F.coalesce(F.contains(F.col("text"), F.lit(" | ")), F.lit(False)).alias("has_table"))
+    counted = scratch.write(counted)
+    least = scratch.write(counted.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    again = counted.join(least, "key").where("doc_id > first").select(counted.columns)
+    versions = lambda rows: rows.select("source", "lang", F.explode(F.array(F.struct(F.lit("space-1").alias("tokenizer"), F.col("space").alias("n")), F.struct(F.lit("alnum-1").alias("tokenizer"), F.col("alnum").alias("n")))).alias("v")).select("source", "lang", "v.tokenizer", "v.n")
+    tables = counted.where("has_table").withColumn("tokenizer", F.lit("space-1"))
+    gone = again.where("has_table").withColumn("tokenizer", F.lit("space-1"))
+    rollup = Rollup(spark, f"{scratch.folder}/rollup")
+    rollup.apply("1-all", insert(versions(counted), F.col("n")))
+    rollup.apply("2-copies", delete(versions(again), F.col("n")))
+    rollup.apply("3-tables", revise(tables, F.col("space"), F.col("table")).unionByName(revise(gone, F.col("table"), F.col("space"))))
+    rollup.apply("2-copies", delete(versions(again), F.col("n")))
+    return rollup.totals()
+
+
+OP3_SQL = r"""
+with d as (
+  select *, min(doc_id) over (partition by text) as first from documents),
+kept as (select * from d where text is null or doc_id <= first),
+v as (
+  select source, lang, 'space-1' as tokenizer,
+    case when contains(text, ' | ') then len(regexp_extract_all(text, '[^ 	-|]+')) else len(regexp_extract_all(text, '[^ 	-]+')) end as n from kept
+  union all
+  select source, lang, 'alnum-1', len(regexp_extract_all(text, '[0-9A-Za-z]+')) from kept)
+select source, lang, tokenizer, count(*) as n_docs, cast(sum(coalesce(n, 0)) as bigint) as n_tokens from v group by all
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules as rules
+    from .scratch import Scratch
+
+    stats = Scratch(spark, "quality").write(rules.statistics(table(spark, sf_dir, "documents")))
+    learned = rules.fit(stats, table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stats.select("doc_id", *rules.COUNTS[:5], failed.alias("base_failed"), (~failed & rules.verdict(learned)).alias("kept"), rules.fired(learned).alias("rule"))
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     from .token_records import read_records, write_records
 
@@ -58,5 +165,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_sentence_pieces, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op1_quotation_links": OP1_SQL, "op3_token_counts": OP3_SQL}
