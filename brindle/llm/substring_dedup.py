@@ -249,7 +249,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13, carry
 
     With carry, kept_text is the text itself where nothing goes, and `rest` holds the other columns."""
     parts = shuffle_partitions(spark)
-    groups = 4 * parts + 1
+    groups = parts | 1  # odd, so that even strides of ids spread over all
     block = (window + 1) // 2
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")) or [F.lit(None)]).alias("rest")] if carry else []
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
