@@ -1,0 +1 @@
+"""Spark jobs that do the data work of a team-workspace service in bulk."""
