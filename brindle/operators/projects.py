@@ -106,8 +106,8 @@ def _replayed(projects: DataFrame, cmd: DataFrame, as_of: Column) -> DataFrame:
         theirs = theirs.astype({c: object for c in ("newTitle", "newDescription", "projectTitle")}).where(theirs.notna(), None)
         state, hits = replay_updates(mine, theirs)
         rows = [{"request_id": None, **{c: p[c] for c in names[1:]}} for p in state.values()]
-        rows += [{"request_id": r, "_id": h} for r, h in hits]
-        found = pd.DataFrame(rows, columns=names)
+        rows += [dict.fromkeys(names) | {"request_id": r, "_id": h} for r, h in hits]
+        found = pd.DataFrame(rows, columns=names, dtype=object)
         return found if zoned else found.astype({"createdAt": "datetime64[ns]", "updatedAt": "datetime64[ns]"})
 
     mine = projects.join(cmd.select(F.col("user_id").alias("user")).distinct(), "user", "left_semi").select(projects.columns)
