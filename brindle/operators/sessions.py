@@ -35,14 +35,20 @@ def authorize(requests: DataFrame, issued: DataFrame) -> DataFrame:
 
 
 def authorize_asof(requests: DataFrame, logins: DataFrame) -> DataFrame:
-    """requests (request_id, ts, user_id) with login_ts and status: authorised if the user's latest login before is less than 180 minutes old.
-
-    Both tables go through one window per user, so nothing multiplies as in a range join."""
-    both = requests.withColumn("login_ts", F.lit(None).cast(dict(logins.dtypes)["ts"])).unionByName(logins.select("request_id", "ts", "user_id", F.col("ts").alias("login_ts")), allowMissingColumns=True)
-    both = both.withColumn("is_login", F.col("login_ts").isNotNull())
-    before = Window.partitionBy("user_id").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = both.withColumn("login_ts", F.last("login_ts", ignorenulls=True).over(before)).where("not is_login").drop("is_login")
-    return _status(rows, sure(F.col("ts") < F.col("login_ts") + F.expr(f"interval {ACCESS_MINUTES} minutes")))
+    """requests (request_id, ts, user_id) with login_ts and status: authorised by the user's latest login, if that is less than 180 minutes before (else login_ts is null).
+
+    Time is cut into spans of 180 minutes and a login counts in its own and the next one, so one
+    window per user and span sees all that matters: nothing multiplies as in a range join, and a
+    user with very many rows is spread over as many tasks as there are spans."""
+    span = (F.unix_seconds(F.col("ts").cast("timestamp")) / (ACCESS_MINUTES * 60)).cast("long")
+    kind = dict(logins.dtypes)["ts"]
+    asked = requests.withColumns({"login_ts": F.lit(None).cast(kind), "span": span})
+    known = logins.select("request_id", "ts", "user_id", F.col("ts").alias("login_ts"), F.explode(F.array(span, span + 1)).alias("span"))
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("is_login", F.col("login_ts").isNotNull())
+    before = Window.partitionBy("user_id", "span").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("login_ts", F.last("login_ts", ignorenulls=True).over(before)).where("not is_login").drop("is_login", "span")
+    ok = sure(F.col("ts") < F.col("login_ts") + F.expr(f"interval {ACCESS_MINUTES} minutes"))
+    return _status(rows, ok).withColumn("login_ts", F.when(ok, F.col("login_ts")))
 
 
 def save_tokens(tokens: DataFrame, cmd: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ ORACLE_SQL: dict[str, str] = {
         from requests r left join (select user_id, max((ts, request_id))[1] as iat from logins group by 1) l on l.user_id = r.user_id,
         lateral (select coalesce(r.event_id % 13 <> 0 and r.event_id % 17 <> 0 and r.event_id % 19 <> 0 and r.ts >= l.iat and r.ts < l.iat + interval 180 minute, false) as ok)"""),
     "authorize_asof": _with(("requests", "logins"), """
-        select request_id, user_id, login_ts, cast(case when ts < login_ts + interval 180 minute then 200 else 401 end as integer) as status from (
+        select request_id, user_id, case when ts < login_ts + interval 180 minute then login_ts end as login_ts, cast(case when ts < login_ts + interval 180 minute then 200 else 401 end as integer) as status from (
           select *, max(login) over (partition by user_id order by ts, request_id rows between unbounded preceding and 1 preceding) as login_ts from (
             select request_id, ts, user_id, cast(null as timestamp) as login from requests union all select request_id, ts, user_id, ts from logins))
         where login is null"""),

@@ -101,6 +101,14 @@ def test_authorize_boundaries_and_headers(spark):
     assert spark.range(1).select(bearer_token(F.lit("Bearer x y"))).first()[0] == "x"
 
 
+def test_authorize_asof(spark):
+    logins = spark.createDataFrame([("l1", at(0), "u"), ("l2", at(100), "u"), ("l3", at(400), "v")], "request_id string, ts timestamp_ntz, user_id string")
+    rows = [("1", at(-1), "u"), ("2", at(99), "u"), ("3", at(279), "u"), ("4", at(280), "u"), ("5", at(399), "v"), ("6", at(400), "v"), ("m", at(400), "v"), ("8", at(1), "w")]
+    out = sessions.authorize_asof(spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, user_id string"), logins)
+    assert by_request(out, "status") == {"1": 401, "2": 200, "3": 200, "4": 401, "5": 401, "6": 401, "m": 200, "8": 401}
+    assert by_request(out, "login_ts")["3"] == at(100)
+
+
 def test_refresh_valid(spark):
     issued = spark.createDataFrame([("u", "t", at(0))], TOKENS)
     cmd = spark.createDataFrame([("1", at(60 * 24 * 30 - 1), "t"), ("2", at(60 * 24 * 30), "t"), ("3", at(1), "x")], "request_id string, ts timestamp_ntz, refreshToken string")
