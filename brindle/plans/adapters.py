@@ -79,9 +79,13 @@ class Workspace:
         return [padded(event_id, 12).alias("request_id"), F.col("ts")]
 
     def cmd_register(self) -> DataFrame:
+        return self.registrations(self.table("events"))
+
+    @classmethod
+    def registrations(cls, events: DataFrame) -> DataFrame:
         user = F.col("user_id").cast("string")
-        return self.events("signup").select(
-            *self._request(),
+        return events.where("event_type = 'signup'").select(
+            *cls._request(),
             F.concat(F.lit("user"), user, F.lit("@example.com")).alias("email"),
             F.concat(F.lit("User "), user).alias("username"),
             F.when(F.col("event_id") % 10 == 0, "short").otherwise(F.concat(F.lit("password"), (F.col("event_id") % 1000).cast("string"))).alias("password"),

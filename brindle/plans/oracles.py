@@ -156,9 +156,9 @@ ORACLE_SQL: dict[str, str] = {
     "register_outcomes": _with(("registered",), _judged("registered", [
         ("bad", 400, 400, "'Password must be between 6 and 24 characters'"),
         ("known or turn > 1", 400, 400, "'User with this email already exists.'")], NEW_ID)),
-    "register_users": _with(("registered",), f"""
+    **{name: _with(("registered",), f"""
         select _id, username, email, password from users_before union all
-        select {NEW_ID}, username, email, password from registered where not bad and not known and turn = 1"""),
+        select {NEW_ID}, username, email, password from registered where not bad and not known and turn = 1""") for name in ("register_users", "register_stream")},
     "register_tokens": _with(("registered",), f"""
         select {NEW_ID} as "userId", 'rt-' || request_id as "refreshToken", date_trunc('second', ts) as iat, date_trunc('second', ts) + interval 180 minute as access_exp,
           date_trunc('second', ts) + interval 30 day as refresh_exp from registered where not bad and not known and turn = 1"""),

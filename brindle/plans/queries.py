@@ -269,6 +269,27 @@ def authorize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("request_id", F.lpad(F.col("user_id").cast("string"), 24, "0").alias("user_id"))
 
 
+def register_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users after the registrations have come in as a stream, through the job of register_users."""
+    import uuid
+
+    from ..sources.tables import read_snapshot, shared_folder, write_snapshot
+    from ..streaming.jobs import run_stream
+
+    w = Workspace(spark, sf_dir)
+    before = w.users_before()
+    folder = f"{shared_folder(spark)}/brindle-stream-{uuid.uuid4().hex[:12]}"
+    write_snapshot(before, f"{folder}/state", 0)
+    events = spark.readStream.schema(w.table("events").schema).parquet(_stream_folder(sf_dir))
+
+    def apply(state: DataFrame, cmd: DataFrame) -> tuple[DataFrame, DataFrame]:
+        done = users.register(state, cmd)
+        return done.users, done.outcomes
+
+    run_stream(Workspace.registrations(events), apply, f"{folder}/state", before.schema, f"{folder}/outcomes", f"{folder}/checkpoint").awaitTermination()
+    return read_snapshot(spark, f"{folder}/state", before.schema).select("_id", "username", "email", "password")
+
+
 def _stream_folder(sf_dir: str) -> str:
     """A stream reads folders; a glob takes a table that is a single file, too."""
     return f"{sf_dir}/events.parque[t]"
@@ -282,6 +303,6 @@ QUERIES = {
         authorize, authorize_asof, token_upsert, logout_outcomes, logout_tokens, find_tokens, refresh_valid, session_replay, session_replay_expired,
         project_create, project_create_outcomes, project_get, project_update, project_update_outcomes, project_rename_chain, project_delete, project_delete_outcomes,
         task_create, task_create_outcomes, task_patch, task_patch_outcomes, task_delete, task_patch_delete,
-        comment_create, comment_create_outcomes, comment_delete, resolve_refs, orphan_tasks, responses, authorize_stream,
+        comment_create, comment_create_outcomes, comment_delete, resolve_refs, orphan_tasks, responses, authorize_stream, register_stream,
     )
 }
