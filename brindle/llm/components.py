@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps over edge tables."""
+"""Connected components by least labels and pointer jumps over edge tables."""
 
 from __future__ import annotations
 
@@ -8,27 +8,19 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _least_neighbour(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """Written before it is joined, so that both sides of that join are plain exchanges and a hub's rows can be split."""
-    return scratch.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """v and c (the least vertex that v reaches) of every vertex of edges (a, b) but the least ones themselves."""
-    e = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(e)
-    while state[0]:
-        both = e.union(e.select("v", "u"))
-        large = both.join(_least_neighbour(scratch, both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large)
-        least = _least_neighbour(scratch, large)
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.write(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(e)
-        if before == state:
-            break
-    return e.select(F.col("u").alias("v"), F.col("v").alias("c"))
+    """v and c (the least vertex that v reaches) of every vertex of edges (a, b).
+
+    A round replaces each label by its label's label, then by the least of its
+    neighbours'.  What a join reads is a written table, so that Spark can split the rows
+    of a hub; labels are least values, which are summed up before they are shuffled."""
+    pairs = edges.where("a <> b")
+    links = scratch.write(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct())
+    labels = scratch.write(links.groupBy("v").agg(F.least("v", F.min("u")).alias("c"), F.lit(True).alias("moved")))
+    while not labels.where("moved").isEmpty():
+        up = labels.select(F.col("v").alias("c"), F.col("c").alias("least"))
+        jumped = labels.select("v", "c").join(up, "c").select("v", F.col("least").alias("c"), F.col("c").alias("old"))
+        near = links.join(jumped.select(F.col("v").alias("u"), "c"), "u").select("v", "c", F.lit(None).cast("long").alias("old"))
+        new = jumped.union(near).groupBy("v").agg(F.min("c").alias("c"), F.max("old").alias("old"))
+        labels = scratch.write(new.select("v", "c", (F.col("c") != F.col("old")).alias("moved")))
+    return labels.select("v", "c")

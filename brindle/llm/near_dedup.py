@@ -2,18 +2,24 @@
 
 Documents with equal shingle sets collapse to the least doc_id first.  Each remaining
 set has 64 minwise tokens.  Several independent trees branch the documents: a root
-picks tokens, and the documents that agree on a picked token form a node; a node too
-large to compare branches again on tokens that its own path picks.  Small nodes are
-compared exhaustively, large ones against their least document on the way down.  With
-b picks in a node, a pair of similarity J lives on in a subtree with the chance of a
-branching process of mean b * J, here 0.94 a root node at J = 0.8, and trees * b = 10
+picks tokens, and the documents that agree on a picked token form a node, which
+branches again on tokens that its own path picks.  Small nodes are compared
+exhaustively, by their tokens; pairs that can reach the threshold (all but some 3 in a
+million that do) are confirmed on the full sets, 100 * |A & B| >= percent * |A | B|.
+With b picks in a node, a pair of similarity J lives on in a subtree with the chance of
+a branching process of mean b * J, here 0.94 a root node at J = 0.8, and trees * b = 10
 root nodes bring the recall of the worst pair beyond 0.999999.
 
-Only connectivity is asked for, so nodes whose documents are known to be in one
-component are done with: a group of thousands of copies costs one comparison each and
-not all pairs.  Nodes that are still large and of several components at the last level
-are compared in blocks, so no candidate is capped.  Every link is confirmed on the
-full sets, 100 * |A & B| >= percent * |A | B|.
+Spark deals the root nodes out.  A node of at most `bound` documents branches within
+its task (it is 128 bytes a document); a larger one branches by another shuffle, and
+what no level could split is compared in blocks over many tasks: no candidate is capped.
+
+Only connectivity is asked for, so the pairs are taken in two rounds.  First come stars
+and spanning forests of the likeliest pairs, about one a document and node.  Documents
+that may still be linked to another component then meet within their nodes with their
+full sets, once each: blocks of them are compared by products of their presence
+matrices, which give all intersections exactly.  So a group of thousands of copies never
+becomes rows of all its pairs, and no link between components is missed.
 
 Defined results: documents without words have an empty set, are linked with nothing
 and are kept; a null doc_id has a null component_id, is linked with nothing and kept;
@@ -34,6 +40,8 @@ from .components import components
 from .scratch import Scratch
 
 TOKENS = 64
+SMALL = 64  # rows of a node that are compared exhaustively
+_BITS = 1 << 23  # of the bitmap of ids
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("roots", T.ArrayType(T.LongType()))])
 _NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -91,15 +99,6 @@ def _alike(percent: int) -> int:
     return int(TOKENS * j - 4.5 * (TOKENS * j * (1 - j)) ** 0.5)
 
 
-def _pairs(rep, n, tokens, i, j, percent):
-    """The pairs of rows i and j that can be similar enough."""
-    ok = (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (rep[i] != rep[j])
-    i, j = i[ok], j[ok]
-    ok = (tokens[i] == tokens[j]).sum(axis=1) >= _alike(percent)
-    i, j = rep[i[ok]], rep[j[ok]]
-    return np.minimum(i, j), np.maximum(i, j)
-
-
 def _pair_batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -128,39 +127,115 @@ def _by_node(keys: list[str], work):
     return run
 
 
-def _small_nodes(percent: int):
-    """All pairs of each small node, tested by their tokens."""
+class _Node:
+    """The rows of one node, branched within a task."""
+
+    def __init__(self, rep, n, comp, tokens, percent, picks, depth):
+        self.rep, self.n, self.comp, self.tokens, self.percent, self.picks, self.depth = rep, n, comp, tokens, percent, picks, depth
+        self.alike = _alike(percent)
+        self.found: list[tuple] = []
+
+    def compare(self, i, j):
+        """Keep those pairs of rows i and j that can be similar enough and lie in different components."""
+        n = self.n
+        ok = (np.minimum(n[i], n[j]) * 100 >= self.percent * np.maximum(n[i], n[j])) & (self.comp[i] != self.comp[j])
+        i, j = i[ok], j[ok]
+        same = (self.tokens[i] == self.tokens[j]).sum(axis=1)
+        ok = same >= self.alike
+        self.found.append((i[ok], j[ok], same[ok]))
+        return j[ok]
+
+    def all_pairs(self, s):
+        """Rows of a component that holds most of s meet only the others."""
+        if len(s) <= SMALL:
+            i, j = np.triu_indices(len(s), 1)
+            self.compare(s[i], s[j])
+            return
+        values, of = np.unique(self.comp[s], return_inverse=True)
+        most = np.bincount(of).argmax()
+        rest = s[of != most]
+        for k, x in enumerate(rest):
+            self.compare(np.full(len(s) - len(rest), x), s[of == most])
+            self.compare(np.full(len(rest) - k - 1, x), rest[k + 1 :])
+
+    def stars(self, s):
+        """Pull out those like a pivot, as long as they are many."""
+        while len(s) > SMALL:
+            like = self.compare(np.full(len(s) - 1, s[0]), s[1:])
+            if len(like) < 0.2 * len(s):
+                break
+            s = s[~np.isin(s, like)]
+        return s
+
+    def run(self, stars: bool):
+        todo = [(np.arange(len(self.rep)), self.depth, len(self.rep))]
+        while todo:
+            s, depth, path = todo.pop()
+            if stars:
+                s = self.stars(s)
+            elif (self.comp[s] == self.comp[s[0]]).all():
+                continue
+            if len(s) <= SMALL or not depth:
+                self.all_pairs(s)
+                continue
+            first = int(mix(np.array([path], np.uint64))[0] % np.uint64(TOKENS))
+            for k in range(self.picks):
+                at = (first + k * 29) % TOKENS
+                order = np.argsort(self.tokens[s, at], kind="stable")
+                value = self.tokens[s, at][order]
+                for g in np.split(s[order], np.flatnonzero(value[1:] != value[:-1]) + 1):
+                    if len(g) > 1:
+                        todo.append((g, depth - 1, (path * TOKENS + at + (int(self.tokens[g[0], at]) << 20)) % (1 << 63)))
+        i, j, same = (np.concatenate(x) for x in zip(*self.found, strict=True)) if self.found else [np.zeros(0, np.int64)] * 3
+        key = np.minimum(i, j) * len(self.rep) + np.maximum(i, j)
+        key, first = np.unique(key, return_index=True)
+        return i[first], j[first], same[first]
+
+    def forest(self, i, j, same):
+        """Of pairs of rows, a spanning forest of the components, likeliest pairs first."""
+        up: dict = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        keep = []
+        for k in np.lexsort((self.rep[j], self.rep[i], -same)).tolist():
+            a, b = top(self.comp[i[k]]), top(self.comp[j[k]])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                keep.append(k)
+        return i[keep], j[keep]
+
+
+def _nodes_in_task(percent: int, picks: int, depth: int, first: bool):
+    """Of whole nodes: in the first round the pairs of stars and forests; later the (node, rep) rows that may be linked to a row of another component."""
 
     def work(table):
-        node, rep, n, tokens = table.column("node").to_numpy(), table.column("rep").to_numpy(), table.column("n_shingles").to_numpy(), _tokens(table.column("sketch"))
+        node, rep, n, comp = (table.column(c).to_numpy() for c in ("node", "rep", "n_shingles", "comp"))
+        tokens = _tokens(table.column("sketch"))
         edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        size = np.diff(np.r_[edge, len(node)])
-        for s in np.unique(size[size > 1]):
-            i, j = np.triu_indices(s, 1)
-            first = edge[size == s]
-            for at in range(0, len(first), max(1, 200_000 // len(i))):
-                some = first[at : at + max(1, 200_000 // len(i)), None]
-                a, b = _pairs(rep, n, tokens, (some + i).ravel(), (some + j).ravel(), percent)
-                if len(a):
-                    yield _pair_batch(a, b)
+        out = []
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(node)], strict=True):
+            if (comp[a:b] == comp[a]).all():
+                continue
+            this = _Node(rep[a:b], n[a:b], comp[a:b], tokens[a:b], percent, picks, depth)
+            i, j, same = this.run(first)
+            if first:
+                i, j = this.forest(i, j, same)
+                x, y = rep[a:b][i], rep[a:b][j]
+                out.append((np.minimum(x, y), np.maximum(x, y)))
+            else:
+                x = rep[a:b][np.union1d(i, j)]
+                out.append((np.full(len(x), node[a]), x))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"] if first else ["node", "rep"])
 
     return _by_node(["node"], work)
 
 
-def _star(percent: int):
-    """Each row against its node's least document."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                rep, n = np.r_[b.column("rep").to_numpy(), b.column("pivot").to_numpy()], np.r_[b.column("n_shingles").to_numpy(), b.column("pivot_n").to_numpy()]
-                tokens = np.concatenate([_tokens(b.column("sketch")), _tokens(b.column("pivot_sketch"))])
-                k = np.arange(b.num_rows)
-                yield _pair_batch(*_pairs(rep, n, tokens, k, k + b.num_rows, percent))
-
-    return run
-
-
 def _blocks(percent: int):
     """Rows of one block of a node against those of another (or the same)."""
 
@@ -171,11 +246,12 @@ def _blocks(percent: int):
         edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
         for low, high in zip(edge, np.r_[edge[1:], len(rep)], strict=True):
             left, right = low + np.flatnonzero(side[low:high] == 0), low + np.flatnonzero(side[low:high] == 1)
+            this = _Node(rep, n, comp, tokens, percent, 0, 0)
             for x in left:
-                other = right[comp[right] != comp[x]]
-                a, b = _pairs(rep, n, tokens, np.full(len(other), x), other, percent)
-                if len(a):
-                    yield _pair_batch(a, b)
+                this.compare(np.full(len(right), x), right)
+            i, j = (np.concatenate(x) for x in list(zip(*this.found, strict=True))[:2]) if this.found else [np.zeros(0, np.int64)] * 2
+            if len(i):
+                yield _pair_batch(np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]))
 
     return _by_node(["node", "low", "high"], work)
 
@@ -199,14 +275,70 @@ def _branch(picks: int):
     return run
 
 
-def _full_sets(size: int):
+def _full_sets(size: int, bitmap: bytes):
+    """The sets of the texts whose bit is set: those asked for, and a few others."""
+    flags = np.frombuffer(bitmap, np.uint8)
+
     def run(batches):
         for table in in_pieces(batches):
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([g.tobytes() for g in _shingles(table, size)], pa.binary())], names=["doc_id", "grams"])
+            bit = table.column("bit").to_numpy()
+            table = table.filter(pa.array((flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+            if table.num_rows:
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([g.tobytes() for g in _shingles(table, size)], pa.binary())], names=["doc_id", "grams"])
 
     return run
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set (sorted, distinct values), by products of presence matrices over some of the values at a time."""
+    def coded(sets):
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        ok = known[at] == values
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets])[ok], at[ok]
+
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(known):
+        return out.astype(np.int64)
+    (lr, lc), (rr, rc) = coded(left), coded(right)
+    for low in range(0, len(known), width):
+        pair = []
+        for rows, columns, n in ((lr, lc, len(left)), (rr, rc, len(right))):
+            some = (columns >= low) & (columns < low + width)
+            m = np.zeros((n, min(width, len(known) - low)), np.float32)
+            m[rows[some], columns[some] - low] = 1
+            pair.append(m)
+        out += pair[0] @ pair[1].T
+    return out.astype(np.int64)
+
+
+def _exact_nodes(percent: int, block: int = 512):
+    """Links between rows of different components of whole nodes, by their full sets."""
+
+    def work(table):
+        node, rep, comp = (table.column(c).to_numpy() for c in ("node", "rep", "comp"))
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams").combine_chunks()] if table.num_rows else []
+        size = np.array([len(g) for g in grams])
+        edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        for low, high in zip(edge.tolist(), [*edge[1:].tolist(), len(node)], strict=True):
+            values, of = np.unique(comp[low:high], return_inverse=True)
+            rest = low + np.flatnonzero(of != np.bincount(of).argmax())  # rows of the largest component need not meet
+            every = np.arange(low, high)
+            for a in range(0, len(rest), block):
+                for b in range(0, len(every), block):
+                    i, j = rest[a : a + block], every[b : b + block]
+                    both = intersections([grams[k] for k in i], [grams[k] for k in j])
+                    ok = (both > 0) & (100 * both >= percent * (size[i][:, None] + size[j] - both)) & (comp[i][:, None] != comp[j])
+                    x, y = np.nonzero(ok)
+                    x, y = i[x], j[y]
+                    one = np.unique(np.sort(np.stack([comp[x], comp[y]], axis=1), axis=1), axis=0, return_index=True)[1]  # a link of each two components
+                    if len(one):
+                        yield _pair_batch(rep[x[one]], rep[y[one]])
+
+    return _by_node(["node"], work)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -226,111 +358,119 @@ def _confirm(percent: int):
 class _Join:
     """One run of the join: the tables that its steps share."""
 
-    def __init__(self, spark, docs, percent, shingle, trees, picks, limit, depth):
-        self.spark, self.docs, self.percent, self.shingle, self.picks, self.limit, self.depth = spark, docs, percent, shingle, picks, limit, depth
+    def __init__(self, spark, docs, percent, shingle, trees, picks, bound, depth):
+        self.spark, self.docs, self.percent, self.shingle, self.picks, self.bound, self.depth = spark, docs, percent, shingle, picks, bound, depth
         self.scratch = Scratch(spark, "near")
         self.sets = self.scratch.write(docs.where("doc_id is not null").mapInArrow(_sketcher(shingle, trees, picks), _SETS))
-        self.classes = self.scratch.write(self.sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-        self.member = self.scratch.write(self.sets.where("n_shingles > 0").select("doc_id", "s1", "s2").join(self.classes, ["s1", "s2"]).select("doc_id", "rep"))
-        own = self.sets.join(self.classes, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep", "s1", "s2"])
+        some = self.sets.where("n_shingles > 0")
+        self.classes = self.scratch.write(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+        own = some.join(self.classes, ["s1", "s2"]).where("doc_id = rep")
+        rows, ids = some.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+        self.shared = None
+        if rows > ids:  # rows that share an id are linked
+            own = own.dropDuplicates(["rep", "s1", "s2"])
+            of = some.select("doc_id", "s1", "s2").join(self.classes, ["s1", "s2"])
+            self.shared = self.scratch.write(of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
         self.reps = self.scratch.write(own.select("rep", "n_shingles", "sketch", "roots"))
-        self.sketches = self.reps.select("rep", "n_shingles", "sketch")
-        self.edges = self.member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-        self.labels = None
+        self.grams = self.labels = None
 
     def nodes(self, rows: DataFrame) -> DataFrame:
-        """(node, rep) rows of nodes of two rows or more, with size, pivot, set size and sketch."""
-        rows = self.scratch.write(rows)
-        sizes = self.scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot <> other").drop("other"))
-        return self.scratch.write(rows.join(sizes, "node").join(self.sketches, "rep"))
-
-    def found(self, nodes: DataFrame) -> DataFrame:
-        """Candidate pairs of these nodes."""
-        small = nodes.where(F.col("n") <= self.limit).select("node", "rep", "n_shingles", "sketch")
-        small = small.repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(self.percent), _PAIR)
-        large = nodes.where(F.col("n") > self.limit)
-        pivots = self.scratch.write(large.where("rep = pivot").select("node", F.col("n_shingles").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")).dropDuplicates(["node"]))
-        star = large.where("rep <> pivot").join(pivots, "node").select("rep", "pivot", "n_shingles", "pivot_n", "sketch", "pivot_sketch")
-        return small.union(star.mapInArrow(_star(self.percent), _PAIR))
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of different components."""
+        """(node, rep) rows of nodes of two rows or more, with size, set size and sketch."""
+        sizes = self.scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("node", "n"))
+        met = self.scratch.write(rows.join(sizes, "node"))
+        return self.scratch.write(met.join(self.reps.select("rep", "n_shingles", "sketch"), "rep"))
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """With `comp`, the component of rep so far."""
         if self.labels is None:
-            return pairs
-        for x in ("a", "b"):
-            pairs = pairs.join(self.labels.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}")), x, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+            return rows.withColumn("comp", F.col("rep"))
+        return rows.join(self.labels.withColumnsRenamed({"v": "rep", "c": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-    def label(self, edges: DataFrame) -> None:
-        if self.labels is not None:
-            edges = edges.union(self.labels.select("v", "c"))
-        self.labels = components(self.scratch, edges)
+    def in_tasks(self, nodes: DataFrame, first: bool) -> DataFrame:
+        rows = self.labelled(nodes).select("node", "rep", "n_shingles", "comp", "sketch")
+        return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_nodes_in_task(self.percent, self.picks, self.depth, first), _PAIR if first else _NODE)
+
+    def exact(self, nodes: DataFrame) -> None:
+        """Link what still lies in different components of a node."""
+        rows = self.scratch.write(self.in_tasks(nodes, first=False))
+        if rows.isEmpty():
+            return
+        self.fetch(rows.select(F.col("rep").alias("doc_id")).distinct())
+        rows = self.labelled(rows).join(self.grams.withColumnRenamed("doc_id", "rep"), "rep").select("node", "rep", "comp", "grams")
+        self.merge(rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_exact_nodes(self.percent), _PAIR))
+
+    def pairs_in_blocks(self, nodes: DataFrame) -> DataFrame:
+        """Each block of a node against each other block of it."""
+        rest = nodes.withColumn("blocks", F.ceil(F.col("n") / 512)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        cell = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: cell(F.least("own", k), F.greatest("own", k), F.when(F.col("own") <= k, 0).otherwise(1)))
+        cells = F.concat(cells, F.array(cell(F.col("own"), F.col("own"), F.lit(1))))
+        rows = self.labelled(rest).select("node", "rep", "n_shingles", "sketch", "comp", F.explode(cells).alias("cell")).select("node", "cell.*", "rep", "n_shingles", "sketch", "comp")
+        return rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInArrow(_blocks(self.percent), _PAIR)
+
+    def fetch(self, ids: DataFrame) -> None:
+        """Have the full sets of these documents. A fixed-size bitmap of ids thins the scan before anything is shuffled."""
+        if self.grams is not None:
+            ids = ids.join(self.grams.select("doc_id"), "doc_id", "left_anti")
+        ids = self.scratch.write(ids)
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
+        blocks = ids.select((bit / 32768).cast("long").alias("block"), (bit % 32768).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+        if not blocks:
+            return
+        bitmap = bytearray(_BITS // 8)
+        for r in blocks:
+            bitmap[r.block * 4096 : (r.block + 1) * 4096] = r.bits
+        found = self.docs.where("doc_id is not null").withColumn("bit", bit).mapInArrow(_full_sets(self.shingle, bytes(bitmap)), "doc_id long, grams binary")
+        found = self.scratch.write(self.scratch.write(found).join(ids, "doc_id", "left_semi"))
+        self.grams = found if self.grams is None else self.grams.union(found)
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Pairs on full sets: first each document's least partner, then those that still lie in different components."""
+        """Test these pairs on full sets, and bring the components up to date."""
         pairs = self.scratch.write(pairs.distinct())
         if pairs.isEmpty():
             return
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        grams = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(self.shingle), "doc_id long, grams binary")
-        grams = self.scratch.write(grams)
-        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        for k in range(2):
-            some = self.scratch.write(first if k == 0 else self.apart(pairs))
-            if some.isEmpty():
-                return
-            sure = some.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
-            sure = sure.join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-            self.label(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR))
-
-    def open_nodes(self, nodes: DataFrame) -> DataFrame:
-        """Large nodes of more than one component, with each row's component."""
-        large = nodes.where(F.col("n") > self.limit)
+        self.fetch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        sure = pairs.join(self.grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
+        sure = sure.join(self.grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+        self.merge(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR))
+
+    def merge(self, edges: DataFrame) -> None:
         if self.labels is not None:
-            large = large.join(self.labels.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
-        else:
-            large = large.withColumn("comp", F.col("rep"))
-        large = self.scratch.write(large)
-        several = self.scratch.write(large.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node"))
-        return large.join(several, "node")
+            edges = edges.union(self.labels.select("v", "c"))
+        self.labels = components(self.scratch, edges)
 
-    def run(self) -> DataFrame:
-        self.label(self.edges)
+    def run(self) -> DataFrame | None:
+        if self.shared is not None:
+            self.merge(self.shared)
         nodes = self.nodes(self.reps.select(F.explode("roots").alias("node"), "rep"))
-        self.confirm(self.found(nodes))
-        gathered = None
+        levels, rest = [nodes.where(F.col("n") <= self.bound)], nodes.where(F.col("n") > self.bound)
         for _ in range(self.depth):
-            large = self.scratch.write(self.open_nodes(nodes).select("node", "rep", "sketch"))
-            if large.isEmpty():
-                nodes = None
+            if rest.isEmpty():
                 break
-            nodes = self.nodes(large.mapInArrow(_branch(self.picks), _NODE))
-            pairs = self.scratch.write(self.found(nodes).distinct())
-            gathered = pairs if gathered is None else gathered.union(pairs)
-        if gathered is not None:
-            self.confirm(self.apart(gathered))
-        if nodes is not None:
-            rest = self.scratch.write(self.open_nodes(nodes))
+            nodes = self.nodes(rest.select("node", "rep", "sketch").mapInArrow(_branch(self.picks), _NODE))
+            levels.append(nodes.where(F.col("n") <= self.bound))
+            rest = nodes.where(F.col("n") > self.bound)
+        else:
             if not rest.isEmpty():
-                self.confirm(self.in_blocks(rest))
+                pivots = self.scratch.write(rest.groupBy("node").agg(F.min("rep").alias("b")))
+                self.confirm(rest.join(pivots, "node").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+        small = levels[0]
+        for x in levels[1:]:
+            small = small.union(x)
+        self.confirm(self.in_tasks(small, first=True))
+        self.exact(small)
+        if len(levels) > self.depth and not rest.isEmpty():
+            self.confirm(self.pairs_in_blocks(rest))
         return self.labels
 
-    def in_blocks(self, rest: DataFrame) -> DataFrame:
-        """What no level could split: each block of a node against each other block."""
-        blocks = F.ceil(F.col("n") / 256)
-        rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
-        cells = F.concat(cells, F.array(F.struct(F.col("own").alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))))
-        rows = rest.select("node", "rep", "n_shingles", "sketch", "comp", F.explode(cells).alias("cell")).select("node", "cell.low", "cell.high", "cell.side", "rep", "n_shingles", "sketch", "comp")
-        return rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInArrow(_blocks(self.percent), _PAIR)
-
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 5, picks: int = 2, limit: int = 32, depth: int = 6) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 5, picks: int = 2, bound: int = 1 << 13, depth: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    join = _Join(spark, docs, percent, shingle, trees, picks, limit, depth)
+    join = _Join(spark, docs, percent, shingle, trees, picks, bound, depth)
     labels = join.run()
-    of = join.classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"))
+    of = join.classes.withColumn("component_id", F.col("rep")) if labels is None else join.classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component_id", F.coalesce("c", "rep"))
+    of = of.select("s1", "s2", "component_id")
     found = join.sets.select("doc_id", "n_shingles", "s1", "s2").join(join.scratch.write(of), ["s1", "s2"], "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInArrow(_sketcher(shingle, 1, 1), _SETS).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
