@@ -20,7 +20,7 @@ def spark():
     with tempfile.TemporaryDirectory(prefix="spark-tests-") as folder:
         session = (
             SparkSession.builder.master("local[8]")
-            .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.sql.shuffle.partitions", "4")
             .config("spark.ui.enabled", "false")
             .config("spark.driver.memory", "4g")
             .config("spark.sql.session.timeZone", "UTC")
