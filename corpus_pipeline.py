@@ -20,7 +20,7 @@ from brindle.llm import decontaminate as contamination
 from brindle.llm import langid, near_dedup, sentence_pieces, substring_dedup
 from brindle.llm.queries import tokenizer
 
-MIN_SCORE = 0.2
+MIN_SCORE = 0.15
 WINDOW = 13
 SHINGLE, PERCENT = 5, 80
 
