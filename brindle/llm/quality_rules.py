@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SPACE, class_table, find_words, hash_spans, in_pieces, mix, texts_of, window_hashes, window_starts
+from .sampling import bounded_sample
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks")
 _SYMBOLS, _MARKS = class_table(b"#*$%&|<>"), class_table(b"!?")
@@ -157,7 +158,7 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = 20_000, **how) -> list[
     """Rules from stats and labels (doc_id, quality: 0 is low)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     some = stats.join(known, "doc_id").select(F.xxhash64("doc_id").alias("turn"), *COUNTS, "quality", *(F.expr(e).alias(f"f_{k}") for k, e in FEATURES.items()))
-    found = some.orderBy("turn", *COUNTS).limit(rows).toPandas()
+    found = bounded_sample(some, "turn", rows).toPandas()
     bad = (found["quality"] == 0).to_numpy()
     if not len(found) or bad.all() or not bad.any():
         return []

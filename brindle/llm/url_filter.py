@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,6 +78,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "said": said})
     if labelled is None:
-        labelled = urls.where("rule is not null").select("host", "path", (F.col("said") == "block").alias("blocked")).orderBy(F.xxhash64("host", "path"), "host", "path").limit(rows)
+        known = urls.where("rule is not null").select("host", "path", (F.col("said") == "block").alias("blocked"), F.xxhash64("host", "path").alias("turn"))
+        labelled = bounded_sample(known, "turn", rows).drop("turn")
     out = classify(urls, labelled)
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("p_block") > threshold, "block").otherwise("allow")).alias("verdict"), "p_block")
