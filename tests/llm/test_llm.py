@@ -18,6 +18,7 @@ pytest.importorskip("brindle.llm")
 
 from brindle.llm import bytewords, components, decontaminate, langid, near_dedup, quality_rules, quotations, sentence_pieces, substring_dedup, token_counts, token_records, url_filter  # noqa: E402
 from brindle.llm.queries import ORACLE_SQL, QUERIES, SPACE_WORDS, tokenizer  # noqa: E402
+from brindle.llm.sampling import bounded_sample  # noqa: E402
 from brindle.llm.scratch import Scratch  # noqa: E402
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -112,6 +113,12 @@ def test_quotation_links(spark):
     assert quotations.conversations(spark, empty).count() == 0
 
 
+def test_long_conversation(spark):
+    rows = [(1, i, (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(40)] + [(2, 0, "alone")]
+    out = quotations.conversations(spark, spark.createDataFrame(rows, "scope long, place long, text string")).collect()
+    assert {(r.scope, r.place): (r.root_place, r.depth) for r in out} == {(1, i): (0, i) for i in range(40)} | {(2, 0): (0, 0)}
+
+
 # 2 pieces
 
 
@@ -229,6 +236,15 @@ def test_learning_finds_a_planted_conjunction():
     assert (found == bad).mean() > 0.98
 
 
+def test_bounded_sample(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("turn"), "id")
+    df = df.union(df.where("id < 2000"))
+    some = bounded_sample(df, "turn", 300).collect()
+    by_turn = sorted((r.turn % (1 << 40), r.id) for r in df.distinct().collect())
+    assert sorted((r.turn % (1 << 40), r.id) for r in some) == by_turn[:300]
+    assert bounded_sample(df, "turn", 9000).count() == 5000 and bounded_sample(df.where("false"), "turn", 5).count() == 0
+
+
 # 5 url filters
 
 
