@@ -90,18 +90,19 @@ def link(scratch: Scratch, parsed: DataFrame) -> DataFrame:
 
 
 def roots(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """Pointer doubling: scope, place, root_scope, root_place and depth of every message that answers another."""
-    now = scratch.write(links.select("scope", "place", F.col("to_scope").alias("root_scope"), F.col("to_place").alias("root_place"), F.lit(1).cast("long").alias("depth")))
-    while True:
-        up = now.select(F.col("scope").alias("root_scope"), F.col("place").alias("root_place"), F.col("root_scope").alias("up_scope"), F.col("root_place").alias("up_place"), F.col("depth").alias("more"))
-        step = now.join(up, ["root_scope", "root_place"], "left")
+    """Pointer doubling: scope, place, root_scope, root_place and depth of every message that answers another. Those that have come to their root drop out of the next round."""
+    columns = ["scope", "place", "root_scope", "root_place", "depth"]
+    moving = scratch.write(links.select("scope", "place", F.col("to_scope").alias("root_scope"), F.col("to_place").alias("root_place"), F.lit(1).cast("long").alias("depth")))
+    arrived = None
+    while not moving.isEmpty():
+        known = moving if arrived is None else arrived.union(moving)
+        up = known.select(F.col("scope").alias("root_scope"), F.col("place").alias("root_place"), F.col("root_scope").alias("up_scope"), F.col("root_place").alias("up_place"), F.col("depth").alias("more"))
+        step = moving.join(up, ["root_scope", "root_place"], "left")
         new = scratch.write(step.select("scope", "place", F.coalesce("up_scope", "root_scope").alias("root_scope"), F.coalesce("up_place", "root_place").alias("root_place"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")))
-        moved = not new.where("moved").isEmpty()
-        scratch.drop(now)
-        now = new.drop("moved")
-        now._brindle_path = new._brindle_path
-        if not moved:
-            return now
+        done = new.where("not moved").select(columns)
+        arrived = done if arrived is None else arrived.union(done)
+        moving = new.where("moved").select(columns)
+    return moving if arrived is None else arrived
 
 
 def conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
