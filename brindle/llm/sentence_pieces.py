@@ -258,6 +258,33 @@ def _combined(best: int, options: list[list[int]], n: int) -> list[int]:
     return sums
 
 
+def _blocks(sizes: np.ndarray, most: int = 200_000):
+    """Ranges of chunks of about `most` characters: a lattice takes some 400 bytes a character."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def _best_of(pieces: Pieces, codes: np.ndarray, at: np.ndarray):
+    """Of chunks: ids of their best segmentations, how many each has, the scores, and the gaps to the second best."""
+    lattice = Lattice(pieces, codes, at)
+    path, first = lattice.best_path()
+    ids = lattice.ids[path]
+    more = np.ones(len(ids), np.int64)
+    lone = np.flatnonzero(ids < 0)  # characters without a piece
+    if len(lone):
+        found = [pieces.bytes_of(int(codes[lattice.low[e] - lattice.home[e]])) for e in path[lone]]
+        more[lone] = [len(b) for b in found]
+        place = np.r_[0, np.cumsum(more)]
+        ids = np.repeat(ids, more)
+        for k, b in zip(lone, found, strict=True):
+            ids[place[k] : place[k] + len(b)] = b
+    place = np.r_[0, np.cumsum(more)]
+    return ids.astype(np.int32), np.diff(place[first]), lattice.best, lattice.gaps(path)
+
+
 def encode_table(pieces: Pieces, text: pa.ChunkedArray, n: int):
     """Per text: ids (and where they begin), scores, and the scores of the n best segmentations."""
     t, codes, first = _marked(text)
@@ -267,38 +294,28 @@ def encode_table(pieces: Pieces, text: pa.ChunkedArray, n: int):
     which, unique = pd.factorize(hash_spans(raw, starts * 4, ends * 4))
     own = np.empty(len(unique), np.int64)
     own[which[::-1]] = np.arange(len(which))[::-1]
-    some, at = _spans(codes, starts[own], ends[own])
-    lattice = Lattice(pieces, some, at)
-    path, path_at = lattice.best_path()
-    ids = lattice.ids[path]
-    if (ids < 0).any():  # characters without a piece
-        lone = np.flatnonzero(ids < 0)
-        bytes_ = [pieces.bytes_of(int(some[lattice.low[e] - lattice.home[e]])) for e in path[lone]]
-        more = np.ones(len(ids), np.int64)
-        more[lone] = [len(b) for b in bytes_]
-        place = np.r_[0, np.cumsum(more)]
-        ids = np.repeat(ids, more)
-        for k, b in zip(lone, bytes_, strict=True):
-            ids[place[k] : place[k] + len(b)] = b
-        path_at = place[path_at]
+    parts = [_best_of(pieces, *_spans(codes, starts[own[i:j]], ends[own[i:j]])) for i, j in _blocks(ends[own] - starts[own])]
+    ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    path_at = np.r_[0, np.cumsum(np.concatenate([p[1] for p in parts]))] if parts else np.zeros(1, np.int64)
+    best, gaps = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (2, 3))
     out, chunk_at = _spans(ids.astype(np.int32), path_at[:-1][which], path_at[1:][which])
     text_at = np.searchsorted(starts, first)
-    total = np.r_[0, np.cumsum(lattice.best[which])]
+    total = np.r_[0, np.cumsum(best[which])]
     total = total[text_at[1:]] - total[text_at[:-1]]
-    gap = lattice.gaps(path)[which]
-    kept: dict[int, list[int]] = {}
-    many = []
-    for k, (a, b) in enumerate(zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)):
-        options = []
+    gap = gaps[which]
+    near_of: list[list[int]] = []
+    for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True):
+        near = []
         if b > a and n > 1:
             m = min(n - 1, b - a)
-            near = np.argpartition(gap[a:b], m - 1)[:m] + a
-            for c in near.tolist():
-                u = int(which[c])
-                if u not in kept:
-                    kept[u] = [s for s, _ in lattice.n_best(u, n)]
-                options.append(kept[u])
-        many.append(_combined(int(total[k]), options, n))
+            near = which[np.argpartition(gap[a:b], m - 1)[:m] + a].tolist()
+        near_of.append(near)
+    wanted = np.unique(np.array([u for near in near_of for u in near], np.int64))
+    kept: dict[int, list[int]] = {}
+    for i, j in _blocks(ends[own[wanted]] - starts[own[wanted]]):
+        lattice = Lattice(pieces, *_spans(codes, starts[own[wanted[i:j]]], ends[own[wanted[i:j]]]))
+        kept |= {int(u): [x for x, _ in lattice.n_best(k, n)] for k, u in enumerate(wanted[i:j])}
+    many = [_combined(int(total[k]), [kept[u] for u in near], n) for k, near in enumerate(near_of)]
     real = lambda x: float(-(-x // int(_PIECES))) / pieces.unit  # noqa: E731  without the count of pieces
     return t, out, chunk_at[text_at], [real(x) for x in total.tolist()], [[real(x) for x in m] for m in many]
 
@@ -316,7 +333,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
 
     def run(batches):
         pieces = pieces_of(model_path)
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=4 << 20):  # code points and their copies take some 20 bytes a byte
             t, ids, at, score, many = encode_table(pieces, table.column("text"), n)
             whole = t.buf.tobytes()
             same = [whole[a:b] == x for a, b, x in zip(t.offset[:-1].tolist(), t.offset[1:].tolist(), decode_ids(pieces, ids, at), strict=True)]
