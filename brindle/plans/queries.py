@@ -257,16 +257,17 @@ def authorize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from ..functions.scalars import ACCESS_MINUTES
+    from ..sources.tables import shared_folder
     from ..streaming.jobs import authorize_stream as job
 
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(_stream_folder(sf_dir))
     at = F.col("ts").cast("timestamp")
     requests = events.where(F.col("event_type").isin("view", "purchase")).select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"), at.alias("ts"), "user_id")
     logins = events.where("event_type = 'click'").select("user_id", at.alias("ts"))
-    name = f"passes_{uuid.uuid4().hex[:8]}"
-    q = job(requests, logins, delay=f"{ACCESS_MINUTES} minutes").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("request_id", F.lpad(F.col("user_id").cast("string"), 24, "0").alias("user_id"))
+    folder = f"{shared_folder(spark)}/brindle-stream-{uuid.uuid4().hex[:12]}"
+    passes = job(requests, logins, delay=f"{ACCESS_MINUTES} minutes")
+    passes.writeStream.format("parquet").option("path", f"{folder}/passes").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(passes.schema).parquet(f"{folder}/passes").select("request_id", F.lpad(F.col("user_id").cast("string"), 24, "0").alias("user_id"))
 
 
 def register_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
