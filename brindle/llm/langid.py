@@ -7,9 +7,11 @@ are those of the text with A-Z lower-cased and other ASCII turned to spaces, has
 its features, and one-versus-rest kernel ridge regression on them scores the languages:
 a batch of texts is scored by two matrix products.
 
-The model is fitted on a bounded sample: at most `rows` labelled texts, taken evenly
-over the languages and by a hash of doc_id within them.  Their features (not their
-texts) come to the driver, `rows * landmarks` numbers.
+The model is fitted on a bounded sample: at most `rows` labelled texts that have a
+letter.  Languages share them evenly, and what small languages leave goes to the others,
+so that a language of no more than its share keeps all its texts; within a language those
+of least hash of doc_id are taken.  Of more than `rows` languages, those with the most texts
+are learned.  The sample's features (not its texts) come to the driver, `rows * landmarks` numbers.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is
 every text when there is nothing to learn from; equal scores go to the language that
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,7 @@ from .bytewords import Texts, in_pieces, texts_of
 from .scratch import Scratch
 
 BINS = 1 << 16
+_SEED, _PARTS = 20011, 1 << 40
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
@@ -117,18 +120,39 @@ def _kernel_rows(marks: Landmarks):
     return run
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of `rows` each language gets: even shares, what some leave going to those that have more."""
+    out, left = {}, rows
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], left // (len(counts) - k))
+        left -= out[lang]
+    return out
+
+
+def _picked(spark: SparkSession, ids: DataFrame, rows: int) -> list:
+    """At most `rows` of ids (doc_id, lang; no doc_id twice), with their place in the language by a hash."""
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
+    if not counts:
+        return []
+    # a threshold on the hash leaves somewhat more than the quota before anything is sorted
+    share = [(lang, q, min(_PARTS, _PARTS * (2 * q + 64) // counts[lang])) for lang, q in quotas(counts, rows).items()]
+    share = F.broadcast(spark.createDataFrame(share, "lang string, quota long, below long"))
+    some = ids.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(_PARTS))).join(share, "lang").where("h < below")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return some.withColumn("turn", turn).where("turn <= quota").select("doc_id", "lang", "turn").collect()
+
+
 def fit(spark: SparkSession, docs: DataFrame, rows: int = 4096, landmarks: int = 192, ridge: float = 1e-3) -> Model | None:
     """A model of docs (doc_id, text, lang); those held out are not looked at."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(rows))
-    picked = known.groupBy("lang", spread.alias("turn")).agg(F.min("doc_id").alias("doc_id"))
-    turn = picked.orderBy("turn", "lang").limit(rows).collect()  # at most `rows` ids
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    scratch = Scratch(spark, "langid")
+    turn = _picked(spark, scratch.write(known.groupBy("doc_id").agg(F.min(F.col("lang").cast("string")).alias("lang"))), rows)
     if not turn:
         return None
     picked = spark.createDataFrame([(r.doc_id,) for r in turn], "doc_id long")
-    sample = known.join(F.broadcast(picked), "doc_id", "left_semi").where(F.col("text").rlike(r"\p{L}"))
+    sample = known.join(F.broadcast(picked), "doc_id", "left_semi")
     sample = sample.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(_bins, "doc_id long, lang string, bins binary")
-    sample = Scratch(spark, "langid").write(sample.groupBy("doc_id").agg(F.min(F.struct("lang", "bins")).alias("x")).select("doc_id", "x.lang", "x.bins"))
+    sample = scratch.write(sample.groupBy("doc_id").agg(F.min(F.struct("lang", "bins")).alias("x")).select("doc_id", "x.lang", "x.bins"))
     place = {r.doc_id: (r.turn, r.lang) for r in turn}
     order = sorted(((place[r.doc_id], r.doc_id) for r in sample.select("doc_id").collect()))
     chosen = [k for _, k in order[:landmarks]]

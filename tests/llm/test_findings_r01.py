@@ -1,0 +1,33 @@
+"""What the first review found missing in the llm operators."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import pytest
+
+pytest.importorskip("brindle.llm")
+
+from brindle.llm import langid  # noqa: E402
+
+
+def test_language_sample_covers_late_ids_and_small_languages(spark):
+    rng = random.Random(5)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+
+    early, late = {"a": "abcd", "b": "efgh"}, {"a": "ijkl", "b": "mnop"}
+    rows = [(i, text((early if i < 1500 else late)[lang]), lang) for i in range(6000) for lang in [rng.choice("ab")]]
+    small = {"s1": "αβγδ", "s2": "жзик", "s3": "אבגד", "s4": "かきくけ"}
+    ids = [i for i in range(7000, 7100) if zlib.crc32(str(i).encode()) % 5]  # not held out
+    rows += [(ids[3 * k + j], text(letters), lang) for k, (lang, letters) in enumerate(small.items()) for j in range(3)]
+    model = langid.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=64)
+    new = [(k, text(letters), lang) for k, (lang, letters) in enumerate([*late.items()] * 5 + [*small.items()])]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+    assert got == {k: lang for k, _, lang in new}
+
+
+def test_language_quotas():
+    assert langid.quotas({"en": 9000, "fr": 9000, "es": 3, "de": 50}, 100) == {"es": 3, "de": 32, "en": 32, "fr": 33}
