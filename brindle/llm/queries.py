@@ -156,7 +156,7 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str | None
     from .sentence_pieces import encode
 
     out = encode(table(spark, sf_dir, "documents"), model_path or tokenizer("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", "round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", F.transform("nbest_ids", lambda x: F.xxhash64(x)).alias("nbest_hashes"), "round_trip")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ control characters.  Equal chunks of a batch are segmented once, all together: p
 are found by rolling hashes, forward Viterbi scores come from one vectorised pass over
 ends, and backward scores give each chunk's gap to its second best segmentation.  The
 N best segmentations of a whole text can differ from the best in the N - 1 chunks of
-least gap only, so those chunks alone go through the A* search: backwards from the
+least gap only (of equal gaps, by the order below), so those chunks alone go through the A* search: backwards from the
 chunk's end, with the forward Viterbi scores as exact heuristics, so that complete
-segmentations leave the heap best first.
+segmentations leave the heap best first.  The N best of a text carry what each of
+these chunks chose, and their ids are put together from that.
 
 Order of segmentations: higher total score; then fewer pieces; then, from the end, longer
 pieces first.  Scores below -1e5 count as -1e5.  A character that is no piece becomes its UTF-8 byte
@@ -35,7 +36,8 @@ _MARK = 0x2581
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _PIECES = np.int64(1 << 20)  # a score's unit, so that the count of pieces breaks ties
-_OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("round_trip", T.BooleanType())])
+_NO_GAP = np.iinfo(np.int64).max  # of chunks with one segmentation
+_OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("round_trip", T.BooleanType())])
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -188,13 +190,17 @@ class Lattice:
         _relax(behind, self.low, self.high, self.score, order, np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else order)
         other = np.ones(len(self.low), bool)
         other[path] = False
-        out = np.full(count, np.iinfo(np.int64).max)
+        out = np.full(count, _NO_GAP)
         e = np.flatnonzero(other)
         np.minimum.at(out, self.home[e], self.best[self.home[e]] - (self.ahead[self.low[e]] + self.score[e] + behind[self.high[e]]))
         return out
 
     def n_best(self, chunk: int, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations of a chunk as (score, ids), by A* from the chunk's end."""
+        """The n best segmentations of a chunk as (score, ids)."""
+        return [(s, ids) for s, ids, _ in self.ranked(chunk, n)]
+
+    def ranked(self, chunk: int, n: int) -> list[tuple[int, list[int], int]]:
+        """The n best segmentations of a chunk as (score, ids, turn among them by longer pieces from the end), by A* from the chunk's end."""
         if not hasattr(self, "by_high"):
             self.by_high = np.searchsorted(self.high, np.arange(int(self.node_first[-1]) + 1))
         first, last = int(self.node_first[chunk]), int(self.node_first[chunk + 1]) - 1
@@ -203,12 +209,13 @@ class Lattice:
         while heap and len(out) < n:
             _, key, node, done, ids = heapq.heappop(heap)
             if node == first:
-                out.append((done, list(ids)))
+                out.append((done, ids, key))
                 continue
             for e in range(self.by_high[node], self.by_high[node + 1]):
                 low, s = int(self.low[e]), int(self.score[e])
                 heapq.heappush(heap, (-(int(self.ahead[low]) + s + done), (*key, -int(self.size[e])), low, done + s, (self.token(e), *ids)))
-        return [(s, [x for part in ids for x in part]) for s, ids in out]
+        turn = {key: k for k, key in enumerate(sorted(key for _, _, key in out))}
+        return [(s, [x for part in ids for x in part], turn[key]) for s, ids, key in out]
 
     def token(self, e: int) -> tuple:
         return (int(self.ids[e]),) if self.ids[e] >= 0 else tuple(self.pieces.bytes_of(int(self.codes[self.low[e] - self.home[e]])))
@@ -250,12 +257,26 @@ def _spans(values: np.ndarray, low: np.ndarray, high: np.ndarray):
     return values[np.repeat(low - at[:-1], n) + np.arange(at[-1])], at
 
 
-def _combined(best: int, options: list[list[int]], n: int) -> list[int]:
-    """The n highest sums of one score of each list (lists descend)."""
-    sums = [best]
-    for scores in options:
-        sums = sorted((s + x - scores[0] for s in sums for x in scores), reverse=True)[:n]
-    return sums
+def _near(gap: np.ndarray, which: np.ndarray, later: np.ndarray, m: int) -> np.ndarray:
+    """The m places of a text, in order, whose second best segmentations make the best texts.
+
+    later: whether a chunk's second best comes before its best where scores are equal.  Of two
+    places with the same gap the later decides, as it is compared first."""
+    some = np.flatnonzero(gap < _NO_GAP)
+    if len(some) > m:
+        limit = np.partition(gap[some], m - 1)[m - 1]
+        sure, tied = some[gap[some] < limit], some[gap[some] == limit]
+        first = later[which[tied]]
+        some = np.sort(np.r_[sure, np.r_[tied[first][::-1], tied[~first]][: m - len(sure)]])
+    return some
+
+
+def _combined(best: int, options: list[list[tuple[int, list[int], int]]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The n best choices of one segmentation of each list (best first): total scores and the choices."""
+    found = [(-best, (), ())]
+    for some in options:  # a later chunk's turn is compared before those of earlier ones
+        found = sorted((s - x + some[0][0], (turn, *turns), (*picks, k)) for s, turns, picks in found for k, (x, _, turn) in enumerate(some))[:n]
+    return [(-s, picks) for s, _, picks in found]
 
 
 def _blocks(sizes: np.ndarray, most: int = 200_000):
@@ -287,6 +308,11 @@ def _best_of(pieces: Pieces, codes: np.ndarray, at: np.ndarray):
 
 def encode_table(pieces: Pieces, text: pa.ChunkedArray, n: int):
     """Per text: ids (and where they begin), scores, and the scores of the n best segmentations."""
+    return encode_n_best(pieces, text, n)[:5]
+
+
+def encode_n_best(pieces: Pieces, text: pa.ChunkedArray, n: int):
+    """As encode_table, and the ids of all the n best segmentations, one after another, and where each begins."""
     t, codes, first = _marked(text)
     starts = _chunks(pieces, codes, first[:-1][np.diff(first) > 0])
     ends = np.r_[starts[1:], len(codes)]
@@ -303,21 +329,46 @@ def encode_table(pieces: Pieces, text: pa.ChunkedArray, n: int):
     total = np.r_[0, np.cumsum(best[which])]
     total = total[text_at[1:]] - total[text_at[:-1]]
     gap = gaps[which]
-    near_of: list[list[int]] = []
-    for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True):
-        near = []
-        if b > a and n > 1:
-            m = min(n - 1, b - a)
-            near = which[np.argpartition(gap[a:b], m - 1)[:m] + a].tolist()
-        near_of.append(near)
-    wanted = np.unique(np.array([u for near in near_of for u in near], np.int64))
-    kept: dict[int, list[int]] = {}
+    bounds = list(zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True))
+    wanted = np.zeros(len(unique), bool)
+    for a, b in bounds:
+        some = gap[a:b][gap[a:b] < _NO_GAP]
+        if n > 1 and len(some):
+            m = min(n - 1, len(some))
+            wanted[which[a:b][gap[a:b] <= min(np.partition(some, m - 1)[m - 1], _NO_GAP - 1)]] = True
+    wanted = np.flatnonzero(wanted)
+    kept: dict[int, list[tuple[int, list[int], int]]] = {}
+    later = np.zeros(len(unique), bool)
     for i, j in _blocks(ends[own[wanted]] - starts[own[wanted]]):
         lattice = Lattice(pieces, *_spans(codes, starts[own[wanted[i:j]]], ends[own[wanted[i:j]]]))
-        kept |= {int(u): [x for x, _ in lattice.n_best(k, n)] for k, u in enumerate(wanted[i:j])}
-    many = [_combined(int(total[k]), [kept[u] for u in near], n) for k, near in enumerate(near_of)]
+        for k, u in enumerate(wanted[i:j].tolist()):
+            kept[u] = lattice.ranked(k, n)
+            later[u] = kept[u][1][2] < kept[u][0][2]
+    place, more = {}, []  # segmentations other than the best, after the best ones of all chunks
+    for u, found in kept.items():
+        for k in range(1, len(found)):
+            place[u, k] = len(unique) + len(more)
+            more.append(found[k][1])
+    pool = np.concatenate([ids.astype(np.int32), *(np.array(x, np.int32) for x in more)])
+    pool_at = np.r_[path_at, path_at[-1] + np.cumsum([len(x) for x in more], dtype=np.int64)]
+    many, source, at, put = [], [], 0, []
+    for k, (a, b) in enumerate(bounds):
+        near = _near(gap[a:b], which[a:b], later, n - 1) if n > 1 else np.zeros(0, np.int64)
+        chunks = which[a:b][near].tolist()
+        found = _combined(int(total[k]), [kept[u] for u in chunks], n)
+        many.append([s for s, _ in found])
+        for _, picks in found:
+            put += [(at + p, place[u, x]) for p, u, x in zip(near.tolist(), chunks, picks, strict=True) if x]
+            source.append(which[a:b])
+            at += b - a
+    span = np.concatenate(source) if source else np.zeros(0, np.int64)
+    if put:
+        to, what = np.array(put, np.int64).T
+        span[to] = what
+    size = np.array([len(x) for x in source], np.int64)
+    all_ids, all_at = _spans(pool, pool_at[span], pool_at[span + 1])
     real = lambda x: float(-(-x // int(_PIECES))) / pieces.unit  # noqa: E731  without the count of pieces
-    return t, out, chunk_at[text_at], [real(x) for x in total.tolist()], [[real(x) for x in m] for m in many]
+    return t, out, chunk_at[text_at], [real(x) for x in total.tolist()], [[real(x) for x in m] for m in many], all_ids, all_at[np.r_[0, np.cumsum(size)]]
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -329,15 +380,17 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """doc_id, ids, score, nbest_scores (of the n best segmentations, best first) and round_trip (decoding gives the text) of every row of docs."""
+    """doc_id, ids, score, nbest_scores and nbest_ids (of the n best segmentations, best first) and round_trip (decoding gives the text) of every row of docs."""
 
     def run(batches):
         pieces = pieces_of(model_path)
         for table in in_pieces(batches, at_most=4 << 20):  # code points and their copies take some 20 bytes a byte
-            t, ids, at, score, many = encode_table(pieces, table.column("text"), n)
+            t, ids, at, score, many, all_ids, all_at = encode_n_best(pieces, table.column("text"), n)
             whole = t.buf.tobytes()
             same = [whole[a:b] == x for a, b, x in zip(t.offset[:-1].tolist(), t.offset[1:].tolist(), decode_ids(pieces, ids, at), strict=True)]
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(score), pa.array(many, pa.list_(pa.float64())), pa.array(same)], names=_OUT.names)
+            lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
+            each = lists(np.r_[0, np.cumsum([len(m) for m in many])], lists(all_at, pa.array(all_ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), lists(at, pa.array(ids, pa.int32())), pa.array(score), pa.array(many, pa.list_(pa.float64())), each, pa.array(same)], names=_OUT.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
 

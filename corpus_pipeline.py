@@ -8,7 +8,7 @@
    doc_id has too are cut out of the text (whose other words are then joined by single
    spaces); a text that loses nothing stays as it is.
 4. decontaminate: documents that hold a benchmark passage go.
-5. sentence_pieces: the documents' pieces, with the N best scores.
+5. sentence_pieces: the documents' pieces, with scores and hashes of the ids of the N best.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = sentence_pieces.encode(docs, tokenizer("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", "round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", F.transform("nbest_ids", lambda x: F.xxhash64(x)).alias("nbest_hashes"), "round_trip")
 
 
 STAGES = [
