@@ -11,7 +11,7 @@ to the tasks in blocks of about `block_words` words, whatever its size.
 
 Defined results: null and wordless texts have no words, are never hit and, as items,
 hit nothing; equal texts of several items each count; repeated documents are each
-judged; a null item_id is not counted.
+judged; an item whose item_id is null hits like any other, but is not named in items.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ class Benchmark:
         hashes = hash_spans(t.buf, w.start, w.end)
         self.vocabulary, ids = np.unique(hashes, return_inverse=True)
         self.words, self.upto, self.item = ids.astype(np.int64) + 2, np.repeat(w.first[1:], np.diff(w.first)), w.text
-        self.names, self.window, self.longest = [str(k) for k, _ in items], window, int(np.diff(w.first).max(initial=0))
+        self.names, self.window, self.longest = [k if k is None else str(k) for k, _ in items], window, int(np.diff(w.first).max(initial=0))
         n = np.repeat(np.diff(w.first), np.diff(w.first))
         whole = (n < window) & (w.place == 0)
         self.mark = np.where((n >= window) & (w.place <= n - window), window, np.where(whole, n, 0))
@@ -138,7 +138,7 @@ def shard_hits(bench: Benchmark, hashes: np.ndarray, first: np.ndarray):
 def _blocks(bench: DataFrame, block_words: int):
     """The benchmark as lists of items of about block_words words at most."""
     held, size = [], 0
-    for row in bench.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
+    for row in bench.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         held.append(tuple(row))
         size += len(row[1]) // 4
         if size >= block_words:
@@ -160,7 +160,8 @@ def _judge(table: pa.Table, benches) -> dict[str, list]:
         np.add.at(delta, place + length, -1)
         np.maximum.at(longest, text[far], far_length)
         for d, k in np.unique(np.stack([text[place], item]), axis=1).T.tolist():
-            items.setdefault(d, set()).add(bench.names[k])
+            if bench.names[k] is not None:
+                items.setdefault(d, set()).add(bench.names[k])
     hit = np.cumsum(delta)[:-1] > 0
     out = {"n_words": np.diff(w.first), "n_hit": np.diff(np.r_[0, np.cumsum(hit)][w.first]), "items": [sorted(items.get(d, ())) for d in range(len(t))], "longest": longest, "spans": [[]] * len(t)}
     for d in np.flatnonzero(out["n_hit"]).tolist():

@@ -15,7 +15,7 @@ pytest.importorskip("brindle.llm")
 
 from test_llm import _brute_pieces  # noqa: E402
 
-from brindle.llm import langid, sentence_pieces  # noqa: E402
+from brindle.llm import decontaminate, langid, sentence_pieces  # noqa: E402
 from brindle.llm.queries import QUERIES, tokenizer  # noqa: E402
 
 
@@ -65,3 +65,13 @@ def test_n_best_ids_are_given(spark, sf):
     out = QUERIES["op2_sentence_pieces"](spark, sf)
     wrong = F.size("nbest_hashes") != F.size("nbest_scores")
     assert out.where(wrong | (F.get("nbest_hashes", F.lit(0)) != F.col("ids_hash"))).count() == 0
+
+
+def test_benchmark_rows_without_an_id_hit(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, " ".join(f"w{i}" for i in range(1, 12))), (None, None)], "item_id long, text string")
+    for block_words in (1_000_000, 1):
+        got = {r.doc_id: (r.n_hit, r["items"], r.longest, r.spans) for r in decontaminate.find_hits(spark, docs, bench, block_words=block_words).collect()}
+        assert got == {1: (12, ["7"], 12, [[1, 13]]), 2: (0, [], 0, [])}
+        assert [r.doc_id for r in decontaminate.remove_affected(spark, docs, bench, block_words=block_words).collect()] == [2]
