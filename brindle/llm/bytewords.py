@@ -2,8 +2,10 @@
 
 Every word definition of this subpackage separates words by ASCII bytes only, so a
 batch of texts is scanned as one byte buffer with numpy: no Python object per word.
-A word's hash is the value of a polynomial in its bytes modulo 2**64, mixed; a
-window's hash is one in its words' hashes.  All hashes depend on the text alone.
+A word's hash sums up its 8-byte blocks, each mixed under a key of its place; a window's
+hash is a polynomial in its words' hashes.  All hashes depend on the text and SEED alone.
+(Polynomials in the bytes modulo 2**64 won't do for words of any length: Thue-Morse words
+have equal values, whatever the factor.)
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+SEED = 0x9E3779B97F4A7C15  # of the keys; another one makes other hashes
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_STEP = 1 << 20  # bytes of a block over which powers are kept
+_LONG = 128  # bytes from which a span is hashed on its own
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,20 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(p: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    out[1:] = p
-    return np.multiply.accumulate(out)
-
-
-_cache: dict[str, np.ndarray] = {}
-
-
-def _kept(name: str, p: np.uint64, n: int) -> np.ndarray:
-    if name not in _cache or len(_cache[name]) < n:
-        _cache[name] = _powers(p, max(n, 1 << 16))
-    return _cache[name]
+def _keys(n: int, first: int = 0) -> np.ndarray:
+    """Keys of n blocks of a span, from block `first` on."""
+    return mix(np.arange(first, first + n, dtype=np.uint64) * _Q + np.uint64(SEED))
 
 
 def class_table(separators: bytes) -> np.ndarray:
@@ -135,22 +126,27 @@ def find_words(t: Texts, table: np.ndarray) -> Words:
 
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end], for spans in ascending order that don't overlap."""
-    out = np.zeros(len(start), np.uint64)
-    if not len(start):
+    """64-bit hashes of buf[start:end]."""
+    size = np.asarray(end - start)
+    out = np.zeros(len(size), np.uint64)
+    if not len(size):
         return out
-    at = 0
-    while at < len(start):
-        low = int(start[at])
-        to = max(at + 1, int(np.searchsorted(end, low + _STEP, "right")))
-        n = int(end[to - 1]) - low
-        up, down = _kept("byte", _P, n + 1), _kept("byte_inv", _P_INV, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf[low : low + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        s, e = start[at:to] - low, end[at:to] - low
-        out[at:to] = (total[e] - total[s]) * down[s]
-        at = to
-    return mix(out ^ ((end - start).astype(np.uint64) * _Q))
+    keys = _keys(_LONG // 8)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    some = np.flatnonzero(size < _LONG)
+    for k in range(_LONG // 8):
+        some = some[size[some] > 8 * k]
+        if not len(some):
+            break
+        out[some] += mix((blocks[start[some] + 8 * k] & _MASKS[np.minimum(size[some] - 8 * k, 8)]) ^ keys[k])
+    for i in np.flatnonzero(size >= _LONG).tolist():
+        for at in range(0, int(size[i]), 1 << 20):
+            span = buf[start[i] + at : min(start[i] + at + (1 << 20), end[i])]
+            whole = np.zeros(-(-len(span) // 8) * 8, np.uint8)
+            whole[: len(span)] = span
+            out[i : i + 1] += mix(whole.view("<u8") ^ _keys(len(whole) // 8, at // 8)).sum(keepdims=True)
+    return mix(out ^ (size.astype(np.uint64) * _Q))
 
 
 def window_hashes(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -15,7 +15,7 @@ pytest.importorskip("brindle.llm")
 
 from test_llm import _brute_pieces  # noqa: E402
 
-from brindle.llm import decontaminate, langid, sentence_pieces  # noqa: E402
+from brindle.llm import bytewords, decontaminate, langid, sentence_pieces, token_counts  # noqa: E402
 from brindle.llm.queries import QUERIES, tokenizer  # noqa: E402
 
 
@@ -75,3 +75,44 @@ def test_benchmark_rows_without_an_id_hit(spark):
         got = {r.doc_id: (r.n_hit, r["items"], r.longest, r.spans) for r in decontaminate.find_hits(spark, docs, bench, block_words=block_words).collect()}
         assert got == {1: (12, ["7"], 12, [[1, 13]]), 2: (0, [], 0, [])}
         assert [r.doc_id for r in decontaminate.remove_affected(spark, docs, bench, block_words=block_words).collect()] == [2]
+
+
+def test_colliding_words_of_other_hashes_differ():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))  # Thue-Morse
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(8)
+    long = "".join(rng.choice("ab") for _ in range((1 << 20) + 500))
+    swapped = [long[:k] + ("b" if long[k] == "a" else "a") + long[k + 1 :] for k in (0, 200, (1 << 20) + 3)]
+    h = bytewords.words_hashed(pa.array([f"{word} {other} x {word}", *[f"{x} y" for x in (long, *swapped, long + "a")]]), bytewords.SPACE)[2].tolist()
+    assert h[0] == h[3] and len({h[0], h[1], *h[4::2]}) == 7
+    assert bytewords.hash_spans(np.frombuffer(b"abcdefgh" * 30, np.uint8), np.array([0, 8, 3]), np.array([8, 16, 3])).tolist()[:2] == [bytewords.words_hashed(pa.array(["abcdefgh"]), bytewords.SPACE)[2].tolist()[0]] * 2
+
+
+def test_rollups_that_are_compacted_again(spark, tmp_path):
+    rng = random.Random(3)
+    roll, want, applied = token_counts.Rollup(spark, str(tmp_path / "r0")), {}, 0
+    schema = "source string, lang string, tokenizer string, n long"
+    for k in range(3):
+        for _ in range(rng.randint(1, 2)):
+            rows = [(rng.choice("ab"), "en", "t", rng.randint(1, 9)) for _ in range(4)]
+            sign, change = rng.choice([(1, token_counts.insert), (-1, token_counts.delete)])
+            assert roll.apply(f"b{applied}", change(spark.createDataFrame(rows, schema), F.col("n")))
+            applied += 1
+            for source, _, _, n in rows:
+                docs, tokens = want.get(source, (0, 0))
+                want[source] = (docs + sign, tokens + sign * n)
+        names = [x for x in roll.batches() if x != token_counts.BASE]
+        roll = roll.compact(str(tmp_path / f"r{k + 1}"), rng.sample(names, rng.randint(0, len(names))))
+        assert {r.source: (r.n_docs, r.n_tokens) for r in roll.totals().collect()} == {s: x for s, x in want.items() if x != (0, 0)}
+        assert not any(roll.apply(f"b{i}", token_counts.insert(spark.createDataFrame(rows, schema), F.col("n"))) for i in range(applied))
+    none = token_counts.Rollup(spark, str(tmp_path / "none")).compact(str(tmp_path / "still"), [])
+    assert none.totals().count() == 0
+    for name in ("base", "", "a/b", "_x"):
+        with pytest.raises(ValueError, match="id of a batch"):
+            roll.apply(name, token_counts.insert(spark.createDataFrame(rows, schema), F.col("n")))
+    with pytest.raises(ValueError, match="not committed"):
+        roll.compact(str(tmp_path / "other"), ["zz"])
+    with pytest.raises(ValueError, match="holds batches"):
+        roll.compact(str(tmp_path / "r1"), [])
