@@ -32,7 +32,7 @@ def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quotations import conversations
 
     out = conversations(spark, mails(spark, sf_dir))
-    return out.select(F.col("scope").alias("conv_id"), F.col("place").alias("turn"), "n_quoted", F.col("to_place").alias("answers_turn"), F.col("root_place").alias("root_turn"), "depth", F.sha2("clean_text", 256).alias("clean_sha256"))
+    return out.select(F.col("scope").alias("conv_id"), F.col("place").alias("turn"), "n_quoted", F.col("to_place").alias("answers_turn"), F.col("root_place").alias("root_turn"), "depth", "position", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 OP1_SQL = """
@@ -62,6 +62,7 @@ chain(conv_id, turn, root, depth) as (
 ends as (select conv_id, turn, arg_max(root, depth) as root, max(depth) as depth from chain group by all)
 select t.conv_id, t.turn, cast((select count(*) from quoted q where q.conv_id = t.conv_id and q.turn = t.turn) as bigint) as n_quoted,
   l.answers as answers_turn, coalesce(e.root, t.turn) as root_turn, cast(coalesce(e.depth, 0) as bigint) as depth,
+  dense_rank() over (partition by t.conv_id, coalesce(e.root, t.turn) order by coalesce(e.depth, 0), t.turn) - 1 as position,
   sha256(trim(t.text, chr(10))) as clean_sha256
 from turns t left join links l using (conv_id, turn) left join ends e using (conv_id, turn)
 """
@@ -98,7 +99,9 @@ with d as (
 kept as (select * from d where text is null or doc_id <= first),
 v as (
   select source, lang, 'space-1' as tokenizer,
-    case when contains(text, ' | ') then len(regexp_extract_all(text, '[^ 	-|]+')) else len(regexp_extract_all(text, '[^ 	-]+')) end as n from kept
+    case when contains(text, ' | ') then len(regexp_extract_all(text, '[^ 	-
+|]+')) else len(regexp_extract_all(text, '[^ 	-
+]+')) end as n from kept
   union all
   select source, lang, 'alnum-1', len(regexp_extract_all(text, '[0-9A-Za-z]+')) from kept)
 select source, lang, tokenizer, count(*) as n_docs, cast(sum(coalesce(n, 0)) as bigint) as n_tokens from v group by all

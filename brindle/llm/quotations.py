@@ -7,14 +7,18 @@ message says itself; each hash's first such message (by order) in its scope, and
 all scopes, is its original.  Quoted passages join originals by hash, one row a hash, so
 that a phrase that everybody says is no bottleneck.  A message answers the latest
 earlier original of its outermost linked passages (of its own scope, if any is there).
-Pointer doubling turns these parents into conversations: root and depth of each message;
-ordered by depth and then place, every reply comes after what it answers.  The clean
-text is level 0 alone, without blank lines at its ends.
+Pointer doubling turns these parents into conversations: root and depth of each message,
+and its position: messages of a conversation are numbered from 0 by depth and then place,
+so that every reply comes after what it answers.  Numbers are given in ranges of
+(conversation, depth, place), and what lies before a range is added, so that a
+conversation of very many messages is no bottleneck; `in_order` deals the rows out so.
+The clean text is level 0 alone, without blank lines at its ends.
 
 Defined results: null texts are empty; a message without a linked quotation begins a
 conversation; repeated (scope, place) rows count as one message, of which each row keeps
 its own clean text, and which answers what any of them does; null scopes or places are left as
-messages on their own (root null, depth 0).
+messages on their own (root null, depth 0, position 0).  Messages that share place and depth
+in a conversation (of other scopes) go by scope.  Columns other than scope, place and text are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, shuffle_partitions
 
 _QUOTE = re.compile(r"((?:>[ \t]?)*)(.*)", re.S)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACE = re.compile(r"[ \t\r\n]+")
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\n", "abcdefghijklmnopqrstuvwxyz   ")
+_THREAD = "scope long, place long, to_scope long, to_place long, root_scope long, root_place long, depth long, part int, position long"
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -38,16 +44,17 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     clean, passages, level, held = [], [], 0, []
 
     def close():
-        words = _SPACE.sub(" ", "\n".join(held)).strip(" ").translate(_LOWER)
+        words = " ".join(filter(None, "\n".join(held).translate(_FOLD).split(" ")))
         if words:
             passages.append((level, words))
         held.clear()
 
     for line in text.split("\n"):
-        marks, rest = _QUOTE.match(line).groups()
-        now = marks.count(">")
-        rest = rest if now else line
-        if not now:
+        now, rest = 0, line
+        if line.startswith(">"):
+            marks, rest = _QUOTE.match(line).groups()
+            now = marks.count(">")
+        else:
             clean.append(line)
         if now != level or not rest.strip(" \t\r"):
             close()
@@ -59,7 +66,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
 
 def passages(messages: DataFrame) -> DataFrame:
     """scope, place, clean_text, n_quoted and passages (level, key) of every row of messages (scope, place, text)."""
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.string())]))
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.binary())]))
 
     def run(batches):
         for b in batches:
@@ -67,11 +74,11 @@ def passages(messages: DataFrame) -> DataFrame:
             for text in b.column("text").to_pylist():
                 c, p = parse(text or "")
                 clean.append(c)
-                found.append([{"level": k, "key": hashlib.md5(w.encode()).hexdigest()} for k, w in p])
+                found.append([{"level": k, "key": hashlib.md5(w.encode()).digest()} for k, w in p])
             quoted = [sum(x["level"] > 0 for x in p) for p in found]
             yield pa.RecordBatch.from_arrays([b.column("scope"), b.column("place"), pa.array(clean, pa.string()), pa.array(quoted, pa.int64()), pa.array(found, kind)], names=["scope", "place", "clean_text", "n_quoted", "passages"])
 
-    return messages.select(F.col("scope").cast("long"), F.col("place").cast("long"), F.col("text").cast("string")).mapInArrow(run, "scope long, place long, clean_text string, n_quoted long, passages array<struct<level:int,key:string>>")
+    return messages.select(F.col("scope").cast("long"), F.col("place").cast("long"), F.col("text").cast("string")).mapInArrow(run, "scope long, place long, clean_text string, n_quoted long, passages array<struct<level:int,key:binary>>")
 
 
 def link(scratch: Scratch, parsed: DataFrame) -> DataFrame:
@@ -105,11 +112,53 @@ def roots(scratch: Scratch, links: DataFrame) -> DataFrame:
     return moving if arrived is None else arrived
 
 
+def _numbered(batches):
+    """Rows in order with their partition and their number among the partition's rows of a conversation."""
+    last, n, part = None, 0, TaskContext.get().partitionId()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        root = np.stack([b.column(c).to_numpy() for c in ("root_scope", "root_place")])
+        edge = np.r_[0, np.flatnonzero((root[:, 1:] != root[:, :-1]).any(axis=0)) + 1]
+        number = np.arange(b.num_rows) - np.repeat(edge, np.diff(np.r_[edge, b.num_rows]))
+        if last is not None and (root[:, 0] == last).all():
+            number[: edge[1] if len(edge) > 1 else None] += n
+        last, n = root[:, -1], int(number[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(number)], names=[*b.schema.names, "part", "position"])
+
+
+def positions(scratch: Scratch, threads: DataFrame) -> DataFrame:
+    """threads (scope, place, to_scope, to_place, root_scope, root_place, depth; nothing null but to_*) with position."""
+    order = ["root_scope", "root_place", "depth", "place", "scope"]
+    dealt = threads.repartitionByRange(shuffle_partitions(scratch.spark), *order).sortWithinPartitions(*order)
+    rows = scratch.write(dealt.mapInArrow(_numbered, _THREAD))
+    root = F.struct("root_scope", "root_place")
+    ends = rows.groupBy("part").agg(F.min(root).alias("first"), F.max(root).alias("last"), F.max(F.struct(root, "position")).alias("end")).orderBy("part").collect()  # a row a partition
+    carried, before = None, []
+    for r in ends:
+        offset = carried[1] if carried and carried[0] == r["first"] else 0
+        if offset:
+            before.append((r.part, *r["first"], offset))
+        carried = (r["last"], r.end.position + 1 + (offset if r["first"] == r["last"] else 0))
+    before = F.broadcast(scratch.spark.createDataFrame(before, "part int, root_scope long, root_place long, offset long"))
+    return rows.join(before, ["part", "root_scope", "root_place"], "left").withColumn("position", F.col("position") + F.coalesce("offset", F.lit(0))).drop("part", "offset")
+
+
 def conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
-    """Every row of messages (scope, place, text) with clean_text, n_quoted, the message it answers (to_scope, to_place), its conversation (root_scope, root_place) and depth."""
+    """Every row of messages (scope, place, text) with clean_text, n_quoted, the message it answers (to_scope, to_place), its conversation (root_scope, root_place), depth and position in it."""
     scratch = Scratch(spark, "quotes")
     parsed = scratch.write(passages(messages))
     links = scratch.write(link(scratch, parsed))
-    out = parsed.select("scope", "place", "clean_text", "n_quoted").join(links, ["scope", "place"], "left").join(roots(scratch, links), ["scope", "place"], "left")
-    whole = F.col("scope").isNotNull() & F.col("place").isNotNull()
-    return out.select("scope", "place", "clean_text", "n_quoted", "to_scope", "to_place", F.coalesce("root_scope", F.when(whole, F.col("scope"))).alias("root_scope"), F.coalesce("root_place", F.when(whole, F.col("place"))).alias("root_place"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    threads = parsed.where("scope is not null and place is not null").select("scope", "place").distinct().join(links, ["scope", "place"], "left").join(roots(scratch, links), ["scope", "place"], "left")
+    threads = threads.select("scope", "place", "to_scope", "to_place", F.coalesce("root_scope", "scope").alias("root_scope"), F.coalesce("root_place", "place").alias("root_place"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    threads = scratch.write(positions(scratch, threads))
+    scratch.drop_others(parsed, threads)
+    none = F.lit(0).cast("long")
+    out = parsed.select("scope", "place", "clean_text", "n_quoted").join(threads, ["scope", "place"], "left")
+    return out.select("scope", "place", "clean_text", "n_quoted", "to_scope", "to_place", "root_scope", "root_place", F.coalesce("depth", none).alias("depth"), F.coalesce("position", none).alias("position"))
+
+
+def in_order(conversations: DataFrame) -> DataFrame:
+    """Rows dealt out by ranges and sorted, so that files written from them hold conversations one after another, replies after what they answer."""
+    order = ["root_scope", "root_place", "position", "scope", "place"]
+    return conversations.repartitionByRange(shuffle_partitions(conversations.sparkSession), *order).sortWithinPartitions(*order)
