@@ -7,12 +7,18 @@ ends, and backward scores give each chunk's gap to its second best segmentation.
 N best segmentations of a whole text can differ from the best in the N - 1 chunks of
 least gap only (of equal gaps, by the order below), so those chunks alone go through the A* search: backwards from the
 chunk's end, with the forward Viterbi scores as exact heuristics, so that complete
-segmentations leave the heap best first.  The N best of a text carry what each of
-these chunks chose, and their ids are put together from that.
+segmentations leave the heap best first.  As the heuristics are exact, a hypothesis costs
+what its departures from the best edges lose; the one that is expanded follows its best
+edges back to the start, and the least of the departures on that way join the heap.  The
+N best of a text carry what each of these chunks chose, and their ids are put together
+from that.
 
 Order of segmentations: higher total score; then fewer pieces; then, from the end, longer
-pieces first.  Scores below -1e5 count as -1e5.  A character that is no piece becomes its UTF-8 byte
-pieces (at the least score minus 10, as one piece), or the unknown piece where the model has none.
+pieces first.  Scores are whole multiples of 1 / `unit` (a power of two, at most 2**24; exact
+for models whose scores are whole numbers).  A chunk's score and count of pieces share an
+integer, of 64 bits or, where those would not do, of any length.  A character that is no
+piece becomes its UTF-8 byte pieces (at the least score minus 10, as one piece), or the
+unknown piece where the model has none.
 
 Defined results: null and empty texts have no pieces, score 0 and decode to ''.
 The space mark U+2581 in a text can't be told from a space after decoding.
@@ -35,7 +41,8 @@ from .bytewords import hash_spans, in_pieces, mix, texts_of
 _MARK = 0x2581
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-_PIECES = np.int64(1 << 20)  # a score's unit, so that the count of pieces breaks ties
+_PIECES = 1 << 20  # a score's unit, so that the count of pieces breaks ties
+_WIDE = 1 << 40  # the same where no unit fits 64 bits: such scores are Python integers
 _NO_GAP = np.iinfo(np.int64).max  # of chunks with one segmentation
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("round_trip", T.BooleanType())])
 
@@ -62,8 +69,10 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 usable.append(i)
         self.fallback = bool((self.byte >= 0).all())
-        score = np.maximum([sp.get_score(i) for i in usable], -1e5)
-        self.unit = 1 if (score == np.round(score)).all() else 1 << 10
+        score = np.array([sp.get_score(i) for i in usable], np.float64)
+        most = float(np.abs(score).max(initial=0.0)) + 10
+        units = [1 << k for k in range(25) if most * (1 << k) < 1 << 41]
+        self.unit = next((u for u in units if (score * u == np.round(score * u)).all()), units[-1])
         least = float(score.min(initial=0.0)) - 10
         code = lambda x: np.int64(round(x * self.unit)) * _PIECES - 1
         self.unknown_score = code(least)
@@ -130,6 +139,16 @@ def _steps(node: np.ndarray, chunk_of_node: np.ndarray, first: np.ndarray):
 
 def _relax(value, target, source, score, order, cut):
     """value[target] = max over edges of value[source] + score, group by group."""
+    if len(order) < 40 * len(cut):  # of few and long chunks
+        best: list = value.tolist()
+        seen = np.zeros(len(value), bool).tolist()
+        for t, x, y in zip(target[order].tolist(), source[order].tolist(), score[order].tolist(), strict=True):
+            new = best[x] + y
+            if not seen[t] or new > best[t]:
+                best[t] = new
+                seen[t] = True
+        value[:] = best
+        return
     for a, b in zip(cut, np.r_[cut[1:], len(order)], strict=True):
         e = order[a:b]
         t = target[e]
@@ -138,10 +157,14 @@ def _relax(value, target, source, score, order, cut):
         value[t[edge]] = np.maximum.reduceat(new, edge)
 
 
+def _no_gap(kind):
+    return _NO_GAP if kind == np.int64 else 1 << 200
+
+
 class Lattice:
     """Chunks, one after another, with a node before each character and one at each chunk's end."""
 
-    def __init__(self, pieces: Pieces, codes: np.ndarray, first: np.ndarray):
+    def __init__(self, pieces: Pieces, codes: np.ndarray, first: np.ndarray, unit: int = _PIECES):
         self.pieces, self.codes, self.first = pieces, codes, first
         count = len(first) - 1
         chunk = np.repeat(np.arange(count), np.diff(first))
@@ -149,6 +172,8 @@ class Lattice:
         start, size, score, ids = pieces.edges(codes, end)
         order = np.lexsort((-size, start + size))
         start, size, score, ids = start[order], size[order], score[order], ids[order]
+        if unit != _PIECES:
+            score = ((score + 1) // _PIECES).astype(object if unit == _WIDE else np.int64) * unit - 1
         home = chunk[start]
         self.low = start + home  # nodes: a place plus the chunk's number
         self.high = self.low + size
@@ -156,7 +181,7 @@ class Lattice:
         node_first = first + np.arange(count + 1)
         self.node_first = node_first
         nodes = int(node_first[-1])
-        self.ahead = np.zeros(nodes, np.int64)
+        self.ahead = np.zeros(nodes, score.dtype)
         _relax(self.ahead, self.high, self.low, score, *_steps(self.high, home, node_first))
         self.best = self.ahead[node_first[1:] - 1]
 
@@ -168,12 +193,19 @@ class Lattice:
         at = self.node_first[1:] - 1
         alive = np.flatnonzero(at > self.node_first[:-1])
         at, steps = at[alive], []
-        while len(alive):
+        while len(alive) > 8:
             e = back[at]
             steps.append((alive, e))
             at = self.low[e]
             ok = at > self.node_first[alive]
             alive, at = alive[ok], at[ok]
+        for c, node in zip(alive.tolist(), at.tolist(), strict=True):
+            first, way = int(self.node_first[c]), []
+            edges = back[first : node + 1].tolist()
+            while node > first:
+                way.append(edges[node - first])
+                node = int(self.low[way[-1]])
+            steps.append((np.full(len(way), c), np.array(way, np.int64)))
         chunk = np.concatenate([c for c, _ in steps]) if steps else np.zeros(0, np.int64)
         edge = np.concatenate([e for _, e in steps]) if steps else chunk
         order = np.lexsort((self.low[edge], chunk))
@@ -181,16 +213,16 @@ class Lattice:
         return edge, np.searchsorted(chunk, np.arange(len(self.first)))
 
     def gaps(self, path: np.ndarray) -> np.ndarray:
-        """What each chunk's second best segmentation scores less than the best (the largest integer if there is none)."""
+        """What each chunk's second best segmentation scores less than the best (see _no_gap if there is none)."""
         count = len(self.first) - 1
-        behind = np.zeros(int(self.node_first[-1]), np.int64)
+        behind = np.zeros(int(self.node_first[-1]), self.score.dtype)
         away = self.node_first[1:][self.home] - 1 - self.low
         order = np.lexsort((self.low, away))
         d = away[order]
         _relax(behind, self.low, self.high, self.score, order, np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else order)
         other = np.ones(len(self.low), bool)
         other[path] = False
-        out = np.full(count, _NO_GAP)
+        out = np.full(count, _no_gap(self.score.dtype), self.score.dtype)
         e = np.flatnonzero(other)
         np.minimum.at(out, self.home[e], self.best[self.home[e]] - (self.ahead[self.low[e]] + self.score[e] + behind[self.high[e]]))
         return out
@@ -204,18 +236,38 @@ class Lattice:
         if not hasattr(self, "by_high"):
             self.by_high = np.searchsorted(self.high, np.arange(int(self.node_first[-1]) + 1))
         first, last = int(self.node_first[chunk]), int(self.node_first[chunk + 1]) - 1
-        heap = [(-int(self.ahead[last]), (), last, 0, ())]
-        out = []
+        begin, end = int(self.by_high[first]), int(self.by_high[last + 1])
+        at = (self.by_high[first : last + 2] - begin).tolist()  # edges at[v]:at[v + 1] end in node v, longest first
+        ahead = self.ahead[first : last + 1].tolist()
+        low, size = (self.low[begin:end] - first).tolist(), self.size[begin:end].tolist()
+        loss = [ahead[u + k] - ahead[u] - x for u, k, x in zip(low, size, self.score[begin:end].tolist(), strict=True)]
+        best = [next((e for e in range(at[v], at[v + 1]) if not loss[e]), -1) for v in range(last - first + 1)]
+
+        def followed(way: list[int], node: int) -> list[int]:
+            while node:
+                way.append(best[node])
+                node = low[way[-1]]
+            return way
+
+        def departures(lost: int, way: list[int], done: int, node: int):
+            for k in range(done, len(way)):
+                taken = way[k]
+                for e in range(at[node], at[node + 1]):
+                    if e != taken:  # longer pieces first, from the end
+                        yield (lost + loss[e], size[e] < size[taken], k if size[e] > size[taken] else -k, -size[e], k, e)
+                node = low[taken]
+
+        key = lambda way: [-size[e] for e in way]
+        way = followed([], last - first)
+        heap, out = [(0, key(way), way, 0, last - first)], []
         while heap and len(out) < n:
-            _, key, node, done, ids = heapq.heappop(heap)
-            if node == first:
-                out.append((done, ids, key))
-                continue
-            for e in range(self.by_high[node], self.by_high[node + 1]):
-                low, s = int(self.low[e]), int(self.score[e])
-                heapq.heappush(heap, (-(int(self.ahead[low]) + s + done), (*key, -int(self.size[e])), low, done + s, (self.token(e), *ids)))
-        turn = {key: k for k, key in enumerate(sorted(key for _, _, key in out))}
-        return [(s, [x for part in ids for x in part], turn[key]) for s, ids, key in out]
+            lost, order, way, done, node = heapq.heappop(heap)
+            out.append((ahead[-1] - lost, way, order))
+            for more, *_, k, e in heapq.nsmallest(n - len(out), departures(lost, way, done, node)):
+                new = followed([*way[:k], e], low[e])
+                heapq.heappush(heap, (more, key(new), new, k + 1, low[e]))
+        turn = {k: i for i, k in enumerate(sorted(range(len(out)), key=lambda k: out[k][2]))}
+        return [(s, [x for e in reversed(way) for x in self.token(begin + e)], turn[k]) for k, (s, way, _) in enumerate(out)]
 
     def token(self, e: int) -> tuple:
         return (int(self.ids[e]),) if self.ids[e] >= 0 else tuple(self.pieces.bytes_of(int(self.codes[self.low[e] - self.home[e]])))
@@ -257,26 +309,30 @@ def _spans(values: np.ndarray, low: np.ndarray, high: np.ndarray):
     return values[np.repeat(low - at[:-1], n) + np.arange(at[-1])], at
 
 
+def _kth(values: np.ndarray, m: int):
+    return (np.partition(values, m - 1) if values.dtype == np.int64 else np.sort(values))[m - 1]
+
+
 def _near(gap: np.ndarray, which: np.ndarray, later: np.ndarray, m: int) -> np.ndarray:
     """The m places of a text, in order, whose second best segmentations make the best texts.
 
     later: whether a chunk's second best comes before its best where scores are equal.  Of two
     places with the same gap the later decides, as it is compared first."""
-    some = np.flatnonzero(gap < _NO_GAP)
+    some = np.flatnonzero(gap < _no_gap(gap.dtype))
     if len(some) > m:
-        limit = np.partition(gap[some], m - 1)[m - 1]
+        limit = _kth(gap[some], m)
         sure, tied = some[gap[some] < limit], some[gap[some] == limit]
         first = later[which[tied]]
         some = np.sort(np.r_[sure, np.r_[tied[first][::-1], tied[~first]][: m - len(sure)]])
     return some
 
 
-def _combined(best: int, options: list[list[tuple[int, list[int], int]]], n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The n best choices of one segmentation of each list (best first): total scores and the choices."""
-    found = [(-best, (), ())]
+def _combined(options: list[list[tuple[int, list[int], int]]], n: int) -> list[tuple[int, ...]]:
+    """The n best choices of one segmentation of each list (best first)."""
+    found: list[tuple] = [(0, (), ())]
     for some in options:  # a later chunk's turn is compared before those of earlier ones
         found = sorted((s - x + some[0][0], (turn, *turns), (*picks, k)) for s, turns, picks in found for k, (x, _, turn) in enumerate(some))[:n]
-    return [(-s, picks) for s, _, picks in found]
+    return [picks for *_, picks in found]
 
 
 def _blocks(sizes: np.ndarray, most: int = 200_000):
@@ -288,9 +344,15 @@ def _blocks(sizes: np.ndarray, most: int = 200_000):
         at = to
 
 
-def _best_of(pieces: Pieces, codes: np.ndarray, at: np.ndarray):
+def _unit(pieces: Pieces, longest: int) -> int:
+    """A unit of scores that is more than any count of pieces of a chunk of so many characters, and leaves room for sums of scores."""
+    most = max(-int(pieces.scores.min(initial=0)), -int(pieces.unknown_score), int(pieces.scores.max(initial=0))) // _PIECES + 1
+    return next((u for u in (_PIECES, 1 << longest.bit_length()) if longest < u and longest * most * u < 1 << 61), _WIDE)
+
+
+def _best_of(pieces: Pieces, codes: np.ndarray, at: np.ndarray, unit: int):
     """Of chunks: ids of their best segmentations, how many each has, the scores, and the gaps to the second best."""
-    lattice = Lattice(pieces, codes, at)
+    lattice = Lattice(pieces, codes, at, unit)
     path, first = lattice.best_path()
     ids = lattice.ids[path]
     more = np.ones(len(ids), np.int64)
@@ -320,27 +382,28 @@ def encode_n_best(pieces: Pieces, text: pa.ChunkedArray, n: int):
     which, unique = pd.factorize(hash_spans(raw, starts * 4, ends * 4))
     own = np.empty(len(unique), np.int64)
     own[which[::-1]] = np.arange(len(which))[::-1]
-    parts = [_best_of(pieces, *_spans(codes, starts[own[i:j]], ends[own[i:j]])) for i, j in _blocks(ends[own] - starts[own])]
+    unit = _unit(pieces, int((ends - starts).max(initial=0)))
+    real = lambda x: -(-x // unit)  # noqa: E731  without the count of pieces
+    parts = [_best_of(pieces, *_spans(codes, starts[own[i:j]], ends[own[i:j]]), unit) for i, j in _blocks(ends[own] - starts[own])]
     ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
     path_at = np.r_[0, np.cumsum(np.concatenate([p[1] for p in parts]))] if parts else np.zeros(1, np.int64)
     best, gaps = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (2, 3))
     out, chunk_at = _spans(ids.astype(np.int32), path_at[:-1][which], path_at[1:][which])
     text_at = np.searchsorted(starts, first)
-    total = np.r_[0, np.cumsum(best[which])]
+    total = np.r_[0, np.cumsum(real(best)[which])]
     total = total[text_at[1:]] - total[text_at[:-1]]
     gap = gaps[which]
     bounds = list(zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True))
     wanted = np.zeros(len(unique), bool)
     for a, b in bounds:
-        some = gap[a:b][gap[a:b] < _NO_GAP]
+        some = gap[a:b][gap[a:b] < _no_gap(gap.dtype)]
         if n > 1 and len(some):
-            m = min(n - 1, len(some))
-            wanted[which[a:b][gap[a:b] <= min(np.partition(some, m - 1)[m - 1], _NO_GAP - 1)]] = True
+            wanted[which[a:b][gap[a:b] <= _kth(some, min(n - 1, len(some)))]] = True
     wanted = np.flatnonzero(wanted)
     kept: dict[int, list[tuple[int, list[int], int]]] = {}
     later = np.zeros(len(unique), bool)
     for i, j in _blocks(ends[own[wanted]] - starts[own[wanted]]):
-        lattice = Lattice(pieces, *_spans(codes, starts[own[wanted[i:j]]], ends[own[wanted[i:j]]]))
+        lattice = Lattice(pieces, *_spans(codes, starts[own[wanted[i:j]]], ends[own[wanted[i:j]]]), unit)
         for k, u in enumerate(wanted[i:j].tolist()):
             kept[u] = lattice.ranked(k, n)
             later[u] = kept[u][1][2] < kept[u][0][2]
@@ -355,9 +418,9 @@ def encode_n_best(pieces: Pieces, text: pa.ChunkedArray, n: int):
     for k, (a, b) in enumerate(bounds):
         near = _near(gap[a:b], which[a:b], later, n - 1) if n > 1 else np.zeros(0, np.int64)
         chunks = which[a:b][near].tolist()
-        found = _combined(int(total[k]), [kept[u] for u in chunks], n)
-        many.append([s for s, _ in found])
-        for _, picks in found:
+        found = _combined([kept[u] for u in chunks], n)
+        many.append([(int(total[k]) + sum(real(kept[u][x][0]) - real(kept[u][0][0]) for u, x in zip(chunks, picks, strict=True))) / pieces.unit for picks in found])
+        for picks in found:
             put += [(at + p, place[u, x]) for p, u, x in zip(near.tolist(), chunks, picks, strict=True) if x]
             source.append(which[a:b])
             at += b - a
@@ -367,8 +430,7 @@ def encode_n_best(pieces: Pieces, text: pa.ChunkedArray, n: int):
         span[to] = what
     size = np.array([len(x) for x in source], np.int64)
     all_ids, all_at = _spans(pool, pool_at[span], pool_at[span + 1])
-    real = lambda x: float(-(-x // int(_PIECES))) / pieces.unit  # noqa: E731  without the count of pieces
-    return t, out, chunk_at[text_at], [real(x) for x in total.tolist()], [[real(x) for x in m] for m in many], all_ids, all_at[np.r_[0, np.cumsum(size)]]
+    return t, out, chunk_at[text_at], [x / pieces.unit for x in total.tolist()], many, all_ids, all_at[np.r_[0, np.cumsum(size)]]
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
