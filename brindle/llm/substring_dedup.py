@@ -5,24 +5,30 @@ The reference side of the index is every document's non-overlapping blocks of
 document it lies in.  Every rolling block-sized span of every document probes that
 index.  A probe that meets a block of a document with a smaller id, and that block,
 are the anchors.  Each anchor is extended: all windows around it are compared through
-their 64-bit hashes (within a partition chosen by other hash bits), and the windows
-that prove to be repeats of a smaller document run together into maximal exact repeats,
+their 64-bit hashes (within a slice chosen by other hash bits), and the windows that
+prove to be repeats of a smaller document run together into maximal exact repeats,
 whose words are removed.
 
-Spark shuffles three things: probes (4 bytes of hash and about 1.3 of place each,
-packed by document), anchors, and windows around anchors.  Texts are dealt out once by
-document, and that exchange is read twice.  All of it is linear in the words: a window
-found in n documents gives n rows, never pairs.
+What few rows of a task can decide, is decided before anything is shuffled: of equal
+spans within some megabytes of text only those of the least and the greatest document
+go on, so that a passage of very many documents sends a few rows a piece of text, not
+one a document.  The spans of a partition are then compared slice by slice.  What is
+shuffled is probes (4 bytes of hash and about 1.3 of place each, packed by document),
+anchors, windows around anchors, and the rows themselves once: one exchange by doc_id
+serves both joins, with the anchors and with the repeats, unless Spark broadcasts those.
+All of it is linear in the words: a window found in n documents never makes pairs.
 
 Defined results: null text counts as empty (no words, nothing removed, kept text '');
 documents of fewer words than a window lose nothing; repeated doc_ids are of equal
-rank, so such rows remove nothing from each other; a null doc_id ranks after all others.
-Extra columns are carried along by callers (the operator reads doc_id and text alone).
+rank, so such rows remove nothing from each other; a null doc_id ranks with the largest
+id of all, 9223372036854775807.  Extra columns are carried along by callers (the
+operator reads doc_id and text alone).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +42,9 @@ from .scratch import Scratch, shuffle_partitions
 LAST = np.iinfo(np.int64).max
 
 _PACKED = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "tags", "counts", "keys", "places"))])
+_PLACES = T.StructType([T.StructField("rank", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("tags", "counts", "places"))])
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
-
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes, which the shuffle's compression shrinks as the high ones are zero."""
     return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -90,21 +96,65 @@ def _unpack(table: pa.Table, key_type):
 
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
     x = doc.view(np.uint64)
-    y = (x ^ (x >> np.uint64(29))).view(np.int64)
-    return np.mod(y, groups)
-
-
-def _group_column(doc, groups: int):
-    return F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 29)), F.lit(groups)).cast("int")
-
-
-def _ids(table: pa.Table) -> np.ndarray:
-    return table.column("doc_id").to_numpy().astype(np.int64, copy=False)
-
+    return np.mod((x ^ (x >> np.uint64(29))).view(np.int64), groups)
+
+
+def _packed_by_group(doc, tag, place, groups: int, base: int = 0):
+    """Places by document, packed by groups of documents."""
+    part = _group(doc, groups) + base
+    order = np.lexsort((place, tag, doc, part))
+    return _pack(part[order], doc[order], tag[order], None, place[order])
+
+
+def _by_part(batches) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each part in turn, of rows sorted by part."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and held[0].column("part")[0].as_py() != part[a]:
+                yield held[0].column("part")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column("part")[0].as_py(), pa.Table.from_batches(held)
+
+
+def _several(key: np.ndarray):
+    """Of equal keys in several rows: the rows, one run after another, and where each run begins."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else order
+    size = np.diff(np.r_[first, len(key)])
+    some = size > 1
+    return order[np.repeat(some, size)], np.cumsum(np.r_[0, size[some]])[:-1]
+
+
+def _first_of_runs(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Flags of the first flagged row of each run."""
+    at = np.flatnonzero(flags)
+    run = np.searchsorted(starts, at, "right")
+    out = np.zeros(len(flags), bool)
+    out[at[np.r_[True, run[1:] != run[:-1]]] if len(at) else at] = True
+    return out
+
+
+def _sent(doc, tag, key, place, part, keep, decided, slices: int, groups: int):
+    """Rows to keep, packed by part, and the decided ones, packed by groups beyond all parts."""
+    rows = np.flatnonzero(keep)
+    order = rows[np.argsort(part[rows].astype(np.uint16 if slices < 1 << 16 else np.uint32), kind="stable")]
+    yield _pack(part[order].astype(np.int64), doc[order], tag[order], key[order], place[order])
+    if decided.any():
+        yield _packed_by_group(doc[decided], tag[decided], place[decided], groups, slices)
+
+
+def _probes(window: int, block: int, slices: int, groups: int, piece: int):
+    """Rolling spans of each document; those that a piece of text shows to be anchors already are given as such, and stand for others with the least and the greatest document only."""
 
-def _probes(window: int, block: int, parts: int):
     def run(batches):
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=piece):
             _, w, h = words_hashed(table.column("text"), SPACE)
             keep = np.diff(w.first) >= window
             at = window_starts(w.first, block)
@@ -112,154 +162,177 @@ def _probes(window: int, block: int, parts: int):
             at = at[keep[text[at]]]
             if not len(at):
                 continue
-            key, place, ids = window_hashes(h, block)[at], w.place[at], _ids(table)[text[at]]
-            part = (key >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
-            yield _pack(part[order].astype(np.int64), ids[order], np.zeros(len(at), np.uint32), key[order].astype(np.uint32), place[order])
+            key, place, row = window_hashes(h, block)[at], w.place[at].astype(np.int32), text[at]
+            doc = table.column("rank").to_numpy()[row]
+            decided, keep = np.zeros(len(at), bool), np.ones(len(at), bool)
+            rows, starts = _several(key)
+            if len(rows):
+                size = np.diff(np.r_[starts, len(rows)])
+                d, own = doc[rows], place[rows] % block == 0
+                spread = lambda x: np.repeat(x, size)
+                least, most = spread(np.minimum.reduceat(d, starts)), spread(np.maximum.reduceat(d, starts))
+                one = spread(row[rows][_first_of_runs(d == least, starts)])  # the text that stands for the least document
+                late = (d > least) | (row[rows] != one)
+                decided[rows] = late | (own & (d < most))
+                keep[rows] = ~late | _first_of_runs(d == most, starts) | _first_of_runs(own & (d == spread(np.minimum.reduceat(np.where(own, d, LAST), starts))), starts)
+            yield from _sent(doc, np.zeros(len(at), np.uint32), key.astype(np.uint32), place, (key >> np.uint64(32)) % np.uint64(slices), keep, decided, slices, groups)
 
     return run
 
 
-def _anchors(block: int, groups: int):
-    """Of all probes and blocks of a partition, those that meet: the anchors, by document."""
+def _anchors(block: int, slices: int, groups: int):
+    """Of the probes and blocks of each slice, those that meet: the anchors, by groups of documents."""
 
     def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not tables:
-            return
-        doc, _, key, place = _unpack(pa.concat_tables(tables), np.uint32)
-        del tables
-        own = np.flatnonzero(place % block == 0)
-        own = own[np.argsort(key[own], kind="stable")]
-        first = np.flatnonzero(np.r_[True, key[own][1:] != key[own][:-1]]) if len(own) else own
-        if not len(first):
-            return
-        known, least = key[own][first], np.minimum.reduceat(doc[own], first)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit = np.flatnonzero((known[at] == key) & (doc > least[at]))
-        most = np.full(len(known), np.iinfo(np.int64).min)
-        np.maximum.at(most, at[hit], doc[hit])
-        met = own[doc[own] < np.repeat(most, np.diff(np.r_[first, len(own)]))]
-        pick = np.union1d(hit, met)
-        doc, place = doc[pick], place[pick]
-        part = _group(doc, groups)
-        order = np.lexsort((place, doc, part))
-        if len(order):
-            yield _pack(part[order], doc[order], np.zeros(len(order), np.uint32), None, place[order])
+        for part, table in _by_part(batches):
+            if part >= slices:  # decided before
+                yield from table.set_column(0, "part", pa.array(np.full(len(table), part - slices, np.int32))).to_batches()
+                continue
+            doc, tag, key, place = _unpack(table, np.uint32)
+            own = np.flatnonzero(place % block == 0)
+            own = own[np.argsort(key[own], kind="stable")]
+            first = np.flatnonzero(np.r_[True, key[own][1:] != key[own][:-1]]) if len(own) else own
+            if not len(first):
+                continue
+            known, least = key[own][first], np.minimum.reduceat(doc[own], first)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = np.flatnonzero((known[at] == key) & (doc > least[at]))
+            most = np.full(len(known), np.iinfo(np.int64).min)
+            np.maximum.at(most, at[hit], doc[hit])
+            met = own[doc[own] < np.repeat(most, np.diff(np.r_[first, len(own)]))]
+            pick = np.union1d(hit, met)
+            if len(pick):
+                yield _packed_by_group(doc[pick], tag[pick], place[pick], groups)
 
     return run
 
 
-def _by_doc(doc, tag, place) -> dict:
-    if not len(doc):
-        return {}
-    order = np.lexsort((place, tag, doc))
-    doc, tag, place = doc[order], tag[order], place[order]
-    edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-    return dict(zip(zip(doc[edge].tolist(), tag[edge].tolist(), strict=True), np.split(place, edge[1:]), strict=True))
+def _places(batches):
+    """One row a document: its places, by tag."""
+    for _, table in _by_part(batches):
+        doc, tag, _, place = _unpack(table, None)
+        order = np.lexsort((place, tag, doc))
+        doc, tag, place = doc[order], tag[order], place[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])]  # decided before and again
+        doc, tag, place = doc[new], tag[new], place[new]
+        run = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        count = np.diff(np.r_[run, len(doc)])
+        edge = np.flatnonzero(np.r_[True, doc[run][1:] != doc[run][:-1]])
+        ends = [*edge.tolist(), len(run)]
+        cut = np.r_[run, len(doc)]
+        out = [(tag[run[a:b]].tobytes(), count[a:b].tobytes(), place[cut[a] : cut[b]].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[run[edge]]), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=_PLACES.names)
 
 
-def _tags(table: pa.Table) -> np.ndarray:
-    return np.array([zlib.crc32(x.encode()) if x is not None else 0 for x in table.column("text").to_pylist()], np.uint32)
+def _places_of(row: int, columns: list[list], tag: int) -> np.ndarray | None:
+    """The places of a row's document under a tag."""
+    tags, counts, places = (x[row] for x in columns)
+    if tags is None:
+        return None
+    k = np.flatnonzero(np.frombuffer(tags, np.uint32) == tag)
+    if not len(k):
+        return None
+    at = np.r_[0, np.cumsum(np.frombuffer(counts, np.int64))]
+    return np.frombuffer(places, np.int32)[at[k[0]] : at[k[0] + 1]]
 
 
-def _candidates(window: int, block: int, parts: int):
-    """Windows around anchors, dealt out by hash."""
-    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 5], names=["part", "docs", "tags", "counts", "keys", "places"])
+def _tag(text: bytes) -> int:
+    return zlib.crc32(text)
 
-    def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
-        doc, tag, _, place = _unpack(anchors, None)
-        found = {k[0]: v for k, v in _by_doc(doc, tag, place).items()}
-        out = []
-        for table in in_pieces(docs.to_batches()) if found else ():
-            ids = _ids(table)
-            table = table.filter(pa.array(np.isin(ids, np.fromiter(found, np.int64, len(found)))))
-            if not table.num_rows:
-                continue
-            ids, tags = _ids(table), _tags(table)
-            _, w, h = words_hashed(table.column("text"), SPACE)
-            starts = []
-            for i, d in enumerate(ids.tolist()):
+
+def _candidates(window: int, block: int, slices: int, groups: int, piece: int):
+    """Windows around anchors; of those that a piece of text shows to be repeats, the least document's alone go on."""
+
+    def run(batches):
+        for table in in_pieces(batches, at_most=piece):
+            t, w, h = words_hashed(table.column("text"), SPACE)
+            columns = [table.column(c).to_pylist() for c in ("tags", "counts", "places")]
+            raw, starts = t.buf.tobytes(), []
+            for i in range(len(t)):
                 low, n = int(w.first[i]), int(w.first[i + 1] - w.first[i])
-                if n < window:
-                    continue
-                at = (found[d][:, None] - np.arange(window - block + 1)).ravel()
-                at = np.unique(at[(at >= 0) & (at <= n - window)])  # rows with equal ids may differ in length
-                starts.append(at + low)
-            if not starts:
-                continue
+                found = _places_of(i, columns, 0)
+                at = (found[:, None] - np.arange(window - block + 1)).ravel()
+                starts.append(np.unique(at[(at >= 0) & (at <= n - window)]).astype(np.int64) + low)  # rows with equal ids may differ in length
             at = np.concatenate(starts)
+            if not len(at):
+                continue
+            tags = np.array([_tag(raw[a:b]) for a, b in zip(t.offset[:-1].tolist(), t.offset[1:].tolist(), strict=True)], np.uint32)
             text = w.text[at]
-            key = window_hashes(h, window)[at]
-            part = window_hashes(h, window, 1)[at] % np.uint64(parts)
-            order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
-            out.append(_pack(part[order].astype(np.int64), ids[text][order], tags[text][order], key[order], w.place[at][order]))
-        return pa.Table.from_batches(out or [empty])
+            doc, tag, key, place = table.column("rank").to_numpy()[text], tags[text], window_hashes(h, window)[at], w.place[at].astype(np.int32)
+            decided, keep = np.zeros(len(at), bool), np.ones(len(at), bool)
+            rows, first = _several(key)
+            if len(rows):
+                d = doc[rows]
+                decided[rows] = d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.r_[first, len(rows)]))
+                keep = ~decided
+            yield from _sent(doc, tag, key, place, window_hashes(h, window, 1)[at] % np.uint64(slices), keep, decided, slices, groups)
 
     return run
 
 
-def _repeats(groups: int):
-    """Of a partition's windows, those that a document with a smaller id has too."""
+def _repeats(slices: int, groups: int):
+    """Of each slice's windows, those that a document with a smaller id has too."""
 
     def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not tables:
-            return
-        doc, tag, key, place = _unpack(pa.concat_tables(tables), np.uint64)
-        del tables
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-        least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.r_[first, len(order)]))
-        late = order[doc[order] > least]
-        doc, tag, place = doc[late], tag[late], place[late]
-        part = _group(doc, groups)
-        order = np.lexsort((place, tag, doc, part))
-        if len(order):
-            yield _pack(part[order], doc[order], tag[order], None, place[order])
+        for part, table in _by_part(batches):
+            if part >= slices:
+                yield from table.set_column(0, "part", pa.array(np.full(len(table), part - slices, np.int32))).to_batches()
+                continue
+            doc, tag, key, place = _unpack(table, np.uint64)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.r_[first, len(order)]))
+            late = order[doc[order] > least]
+            if len(late):
+                yield _packed_by_group(doc[late], tag[late], place[late], groups)
 
     return run
 
 
 def _removed(window: int, carry: bool):
-    def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        doc, tag, _, place = _unpack(repeats, None)
-        found = _by_doc(doc, tag, place)
-        out = {f.name: [] for f in _OUT}
-        for d, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            words, spans, gone = raw.split(), [], 0  # bytes.split() splits at \x20 and \x09-\x0D
-            n = len(words)
-            if (starts := found.get((d, zlib.crc32(raw)))) is not None:
-                over = coverage(np.unique(starts), window, n)
-                edge = np.flatnonzero(np.diff(np.r_[0, over.view(np.int8), 0]))
-                spans, gone = edge.reshape(-1, 2).tolist(), int(over.sum())
-                words = [w for w, x in zip(words, over.tolist(), strict=True) if not x]
-            kept = text if carry and not gone else b" ".join(words).decode()
-            for c, v in zip(out, (None if d == LAST else d, n, gone, kept, spans), strict=True):
-                out[c].append(v)
-        columns = [pa.array(out[c], k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)]
-        return pa.table([*columns, docs.column("rest")] if carry else columns, names=[*out, *["rest"] * carry])
+    def run(batches):
+        for table in in_pieces(batches):
+            columns = [table.column(c).to_pylist() for c in ("tags", "counts", "places")]
+            out = {f.name: [] for f in _OUT}
+            for i, (d, text) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)):
+                raw = (text or "").encode()
+                words, spans, gone = raw.split(), [], 0  # bytes.split() splits at \x20 and \x09-\x0D
+                n = len(words)
+                if (starts := _places_of(i, columns, _tag(raw))) is not None:
+                    over = coverage(starts, window, n)
+                    edge = np.flatnonzero(np.diff(np.r_[0, over.view(np.int8), 0]))
+                    spans, gone = edge.reshape(-1, 2).tolist(), int(over.sum())
+                    words = [w for w, x in zip(words, over.tolist(), strict=True) if not x]
+                kept = text if carry and not gone else b" ".join(words).decode()
+                for c, v in zip(out, (d, n, gone, kept, spans), strict=True):
+                    out[c].append(v)
+            arrays = [pa.array(out[c], k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, table.column("rest").combine_chunks()] if carry else arrays, names=[*out, *["rest"] * carry])
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13, carry: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13, carry: bool = False, piece: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words, one space between) and spans (maximal repeats as [first word, word after the last]) of every row.
 
-    With carry, kept_text is the text itself where nothing goes, and `rest` holds the other columns."""
+    With carry, kept_text is the text itself where nothing goes, and `rest` holds the other columns.
+    piece: bytes of text of which repeats are found before anything is shuffled."""
     parts = shuffle_partitions(spark)
-    groups = parts | 1  # odd, so that even strides of ids spread over all
+    slices, groups = parts, parts | 1  # odd, so that even strides of ids spread over all
     block = (window + 1) // 2
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")) or [F.lit(None)]).alias("rest")] if carry else []
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    probes = plain.select("doc_id", "text").mapInArrow(_probes(window, block, parts), _PACKED)
-    anchors = Scratch(spark, "anchors").write(probes.repartitionById(parts, F.col("part")).mapInArrow(_anchors(block, groups), _PACKED))
-    dealt = plain.withColumn("part", _group_column(F.col("doc_id"), groups)).groupBy("part")
-    windows = dealt.cogroup(anchors.groupBy("part")).applyInArrow(_candidates(window, block, parts), _PACKED)
-    repeats = windows.repartitionById(parts, F.col("part")).mapInArrow(_repeats(groups), _PACKED)
+    doc_id = F.col("doc_id").cast("long")
+    plain = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(LAST))).alias("rank"), F.col("text").cast("string").alias("text"), *rest)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(parts, F.col("part") % parts).sortWithinPartitions("part")
+
+    probes = plain.select("rank", "text").mapInArrow(_probes(window, block, slices, groups, piece), _PACKED)
+    anchors = dealt(dealt(probes).mapInArrow(_anchors(block, slices, groups), _PACKED)).mapInArrow(_places, _PLACES)
+    near = plain.join(Scratch(spark, "anchors").write(anchors), "rank").mapInArrow(_candidates(window, block, slices, groups, piece), _PACKED)
+    repeats = dealt(dealt(near).mapInArrow(_repeats(slices, groups), _PACKED)).mapInArrow(_places, _PLACES)
     out = T.StructType([*_OUT, *([plain.schema["rest"]] if carry else [])])
-    return dealt.cogroup(repeats.groupBy("part")).applyInArrow(_removed(window, carry), out)
+    return plain.join(repeats, "rank", "left").mapInArrow(_removed(window, carry), out)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
