@@ -9,7 +9,7 @@ from .scratch import Scratch
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """v and c (the least vertex that v reaches) of every vertex of edges (a, b).
+    """v and c (the least vertex that v reaches) of every vertex of edges (a, b), a table with `moved` besides.
 
     A round replaces each label by its label's label, then by the least of its
     neighbours'.  What a join reads is a written table, so that Spark can split the rows
@@ -22,5 +22,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         jumped = labels.select("v", "c").join(up, "c").select("v", F.col("least").alias("c"), F.col("c").alias("old"))
         near = links.join(jumped.select(F.col("v").alias("u"), "c"), "u").select("v", "c", F.lit(None).cast("long").alias("old"))
         new = jumped.union(near).groupBy("v").agg(F.min("c").alias("c"), F.max("old").alias("old"))
-        labels = scratch.write(new.select("v", "c", (F.col("c") != F.col("old")).alias("moved")))
-    return labels.select("v", "c")
+        before, labels = labels, scratch.write(new.select("v", "c", (F.col("c") != F.col("old")).alias("moved")))
+        scratch.drop(before)
+    scratch.drop(links)
+    return labels

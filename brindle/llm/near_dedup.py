@@ -10,16 +10,19 @@ With b picks in a node, a pair of similarity J lives on in a subtree with the ch
 a branching process of mean b * J, here 0.94 a root node at J = 0.8, and trees * b = 10
 root nodes bring the recall of the worst pair beyond 0.999999.
 
-Spark deals the root nodes out.  A node of at most `bound` documents branches within
-its task (it is 128 bytes a document); a larger one branches by another shuffle, and
-what no level could split is compared in blocks over many tasks: no candidate is capped.
+Spark deals the root nodes out.  A node of at most `bound` documents (and HEAVY bytes of
+full sets) branches within its task.  In a larger one all documents are held against a
+few pivots first, which links a group of near copies at once; only documents outside the
+node's largest component can still need it.  If those are few, they meet all of the node
+in cells of bounded size over many tasks; if not, the node branches by another shuffle.
+No candidate is capped.
 
 Only connectivity is asked for, so the pairs are taken in two rounds.  First come stars
 and spanning forests of the likeliest pairs, about one a document and node.  Documents
-that may still be linked to another component then meet within their nodes with their
-full sets, once each: blocks of them are compared by products of their presence
-matrices, which give all intersections exactly.  So a group of thousands of copies never
-becomes rows of all its pairs, and no link between components is missed.
+that may still be linked to another component then meet within their nodes or cells with
+their full sets: blocks of them are compared by products of their presence matrices,
+which give all intersections exactly.  So a group of thousands of copies never becomes
+rows of all its pairs, and no link between components is missed.
 
 Defined results: documents without words have an empty set, are linked with nothing
 and are kept; a null doc_id has a null component_id, is linked with nothing and kept;
@@ -31,19 +34,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import SPACE, in_pieces, mix, window_hashes, words_hashed
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, to_all
 
 TOKENS = 64
 SMALL = 64  # rows of a node that are compared exhaustively
-_BITS = 1 << 23  # of the bitmap of ids
+HEAVY = 32 << 20  # bytes of the full sets of a node that one task may hold
+PIVOTS = 2  # of a large node, a round
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("roots", T.ArrayType(T.LongType()))])
-_NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType())])
+_NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n_shingles", T.LongType())])
+_MET = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("left", T.BooleanType()), T.StructField("right", T.BooleanType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -103,24 +108,21 @@ def _pair_batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _by_node(keys: list[str], work):
-    """Runs `work(table)` over whole groups of sorted batches; several small groups at a time."""
+def _by_node(work):
+    """Runs `work(table)` over whole nodes of sorted batches; several small ones at a time."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            last = np.ones(table.num_rows, bool)
-            for k in keys:
-                v = table.column(k).to_numpy()
-                last &= v == v[-1]
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if cut:
-                yield from work(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
+            node = batch.column("node").to_numpy()
+            change = np.flatnonzero(node[1:] != node[:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut or (held and held[-1].column("node")[0].as_py() != node[0]):
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
         if held:
             yield from work(pa.Table.from_batches(held))
 
@@ -210,8 +212,19 @@ class _Node:
         return i[keep], j[keep]
 
 
+def _flags(node: int, rep, comp, rows) -> tuple:
+    """Rows of a node as _MET: those of the largest component need not meet one another."""
+    rows = np.unique(rows)
+    values, of = np.unique(comp[rows], return_inverse=True)
+    return np.full(len(rows), node), rep[rows], of != np.bincount(of).argmax(), np.ones(len(rows), bool)
+
+
+def _met_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=_MET.names)
+
+
 def _nodes_in_task(percent: int, picks: int, depth: int, first: bool):
-    """Of whole nodes: in the first round the pairs of stars and forests; later the (node, rep) rows that may be linked to a row of another component."""
+    """Of whole nodes: in the first round the pairs of stars and forests; later the rows (as _MET) that may be linked to a row of another component."""
 
     def work(table):
         node, rep, n, comp = (table.column(c).to_numpy() for c in ("node", "rep", "n_shingles", "comp"))
@@ -227,33 +240,48 @@ def _nodes_in_task(percent: int, picks: int, depth: int, first: bool):
                 i, j = this.forest(i, j, same)
                 x, y = rep[a:b][i], rep[a:b][j]
                 out.append((np.minimum(x, y), np.maximum(x, y)))
-            else:
-                x = rep[a:b][np.union1d(i, j)]
-                out.append((np.full(len(x), node[a]), x))
+            elif len(i):
+                out.append(_flags(node[a], rep[a:b], comp[a:b], np.r_[i, j]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"] if first else ["node", "rep"])
+            yield _pair_batch(*(np.concatenate(x) for x in zip(*out, strict=True))) if first else _met_batch(out)
 
-    return _by_node(["node"], work)
+    return _by_node(work)
 
 
-def _blocks(percent: int):
-    """Rows of one block of a node against those of another (or the same)."""
+def _cells_in_task(percent: int):
+    """Of cells, the rows that may be linked: those of the left side to one of the right."""
 
     def work(table):
-        keys = [table.column(c).to_numpy() for c in ("node", "low", "high")]
-        rep, n, side, comp = (table.column(c).to_numpy() for c in ("rep", "n_shingles", "side", "comp"))
+        node, rep, n, comp, side = (table.column(c).to_numpy() for c in ("node", "rep", "n_shingles", "comp", "side"))
         tokens = _tokens(table.column("sketch"))
-        edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        for low, high in zip(edge, np.r_[edge[1:], len(rep)], strict=True):
+        edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        for low, high in zip(edge.tolist(), [*edge[1:].tolist(), len(rep)], strict=True):
             left, right = low + np.flatnonzero(side[low:high] == 0), low + np.flatnonzero(side[low:high] == 1)
             this = _Node(rep, n, comp, tokens, percent, 0, 0)
             for x in left:
                 this.compare(np.full(len(right), x), right)
             i, j = (np.concatenate(x) for x in list(zip(*this.found, strict=True))[:2]) if this.found else [np.zeros(0, np.int64)] * 2
             if len(i):
-                yield _pair_batch(np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]))
+                every = np.unique(rep[np.r_[i, j]])
+                yield _met_batch([(np.full(len(every), node[low]), every, np.isin(every, rep[i]), np.isin(every, rep[j]))])
+
+    return _by_node(work)
+
+
+def _like_pivots(percent: int):
+    """Pairs of rows and their node's pivots that can be similar enough."""
+    least = _alike(percent)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = b.column("n_shingles").to_numpy(), b.column("p_shingles").to_numpy()
+            ok = (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & ((_tokens(b.column("sketch")) == _tokens(b.column("p_sketch"))).sum(axis=1) >= least)
+            x, y = b.column("rep").to_numpy()[ok], b.column("pivot").to_numpy()[ok]
+            yield _pair_batch(np.minimum(x, y), np.maximum(x, y))
 
-    return _by_node(["node", "low", "high"], work)
+    return run
 
 
 def _branch(picks: int):
@@ -269,22 +297,16 @@ def _branch(picks: int):
                 at = (first + k * step) % TOKENS
                 value = tokens[np.arange(len(at)), at].astype(np.uint64)
                 out.append(mix(node ^ mix((value << np.uint64(8)) + at.astype(np.uint64))).view(np.int64))
-            rep = b.column("rep").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), pa.array(np.tile(rep, picks), pa.int64())], names=["node", "rep"])
+            more = [pa.array(np.tile(b.column(c).to_numpy(), picks), pa.int64()) for c in ("rep", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), *more], names=_NODE.names)
 
     return run
 
 
-def _full_sets(size: int, bitmap: bytes):
-    """The sets of the texts whose bit is set: those asked for, and a few others."""
-    flags = np.frombuffer(bitmap, np.uint8)
-
+def _full_sets(size: int):
     def run(batches):
         for table in in_pieces(batches):
-            bit = table.column("bit").to_numpy()
-            table = table.filter(pa.array((flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            if table.num_rows:
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([g.tobytes() for g in _shingles(table, size)], pa.binary())], names=["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([g.tobytes() for g in _shingles(table, size)], pa.binary())], names=["doc_id", "grams"])
 
     return run
 
@@ -314,20 +336,18 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def _exact_nodes(percent: int, block: int = 512):
-    """Links between rows of different components of whole nodes, by their full sets."""
+    """Links between left and right rows of different components of nodes or cells, by their full sets."""
 
     def work(table):
-        node, rep, comp = (table.column(c).to_numpy() for c in ("node", "rep", "comp"))
+        node, rep, comp, is_left, is_right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "comp", "left", "right"))
         grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams").combine_chunks()] if table.num_rows else []
         size = np.array([len(g) for g in grams])
         edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         for low, high in zip(edge.tolist(), [*edge[1:].tolist(), len(node)], strict=True):
-            values, of = np.unique(comp[low:high], return_inverse=True)
-            rest = low + np.flatnonzero(of != np.bincount(of).argmax())  # rows of the largest component need not meet
-            every = np.arange(low, high)
-            for a in range(0, len(rest), block):
-                for b in range(0, len(every), block):
-                    i, j = rest[a : a + block], every[b : b + block]
+            left, right = low + np.flatnonzero(is_left[low:high]), low + np.flatnonzero(is_right[low:high])
+            for a in range(0, len(left), block):
+                for b in range(0, len(right), block):
+                    i, j = left[a : a + block], right[b : b + block]
                     both = intersections([grams[k] for k in i], [grams[k] for k in j])
                     ok = (both > 0) & (100 * both >= percent * (size[i][:, None] + size[j] - both)) & (comp[i][:, None] != comp[j])
                     x, y = np.nonzero(ok)
@@ -336,7 +356,7 @@ def _exact_nodes(percent: int, block: int = 512):
                     if len(one):
                         yield _pair_batch(rep[x[one]], rep[y[one]])
 
-    return _by_node(["node"], work)
+    return _by_node(work)
 
 
 def _confirm(percent: int):
@@ -358,8 +378,8 @@ def _confirm(percent: int):
 class _Join:
     """One run of the join: the tables that its steps share."""
 
-    def __init__(self, spark, docs, percent, shingle, trees, picks, bound, depth):
-        self.spark, self.docs, self.percent, self.shingle, self.picks, self.bound, self.depth = spark, docs, percent, shingle, picks, bound, depth
+    def __init__(self, spark, docs, percent, shingle, trees, picks, bound, depth, cell):
+        self.spark, self.docs, self.percent, self.shingle, self.picks, self.bound, self.depth, self.cell = spark, docs, percent, shingle, picks, bound, depth, cell
         self.scratch = Scratch(spark, "near")
         self.sets = self.scratch.write(docs.where("doc_id is not null").mapInArrow(_sketcher(shingle, trees, picks), _SETS))
         some = self.sets.where("n_shingles > 0")
@@ -375,115 +395,155 @@ class _Join:
         self.grams = self.labels = None
 
     def nodes(self, rows: DataFrame) -> DataFrame:
-        """(node, rep) rows of nodes of two rows or more, with size, set size and sketch."""
-        sizes = self.scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("node", "n"))
-        met = self.scratch.write(rows.join(sizes, "node"))
-        return self.scratch.write(met.join(self.reps.select("rep", "n_shingles", "sketch"), "rep"))
+        """rows (node, rep, n_shingles) of nodes of two rows or more, with their number, the bytes of their full sets, and the sketch."""
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), (F.sum("n_shingles") * 8).alias("bytes")).where("n > 1")
+        return self.scratch.write(rows.join(sizes, "node").join(self.reps.select("rep", "sketch"), "rep"))
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """With `comp`, the component of rep so far."""
         if self.labels is None:
             return rows.withColumn("comp", F.col("rep"))
-        return rows.join(self.labels.withColumnsRenamed({"v": "rep", "c": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        return rows.join(self.labels.select(F.col("v").alias("rep"), F.col("c").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def apart(self, nodes: DataFrame) -> DataFrame:
+        """With comp, `out` (whether a row is outside its node's largest component), and how many rows and bytes are."""
+        rows = self.labelled(nodes)
+        sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), (F.sum("n_shingles") * 8).alias("size"))
+        main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp", "size")).alias("main"))
+        return rows.join(main, "node").withColumns({"out": F.col("comp") != F.col("main.comp"), "n_out": F.col("n") - F.col("main.k"), "out_bytes": F.col("bytes") - F.col("main.size")}).drop("main")
 
     def in_tasks(self, nodes: DataFrame, first: bool) -> DataFrame:
         rows = self.labelled(nodes).select("node", "rep", "n_shingles", "comp", "sketch")
-        return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_nodes_in_task(self.percent, self.picks, self.depth, first), _PAIR if first else _NODE)
-
-    def exact(self, nodes: DataFrame) -> None:
+        return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_nodes_in_task(self.percent, self.picks, self.depth, first), _PAIR if first else _MET)
+
+    def in_cells(self, nodes: DataFrame) -> DataFrame:
+        """Rows outside each node's largest component against all rows, in cells."""
+        rows = self.apart(nodes).where("n_out > 0")
+        blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / self.cell), F.ceil(F.col(size) / (HEAVY // 2)), F.lit(1)).cast("long")
+        rows = rows.withColumns({"lows": blocks("n_out", "out_bytes"), "highs": blocks("n", "bytes"), "h": F.xxhash64("rep")})
+        cell = lambda low, high, side: F.struct(F.xxhash64("node", low, high).alias("node"), F.lit(side).alias("side"))
+        each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+        right = each("lows", lambda k: cell(k, F.pmod("h", "highs"), 1))
+        left = F.when(F.col("out"), each("highs", lambda k: cell(F.pmod("h", "lows"), k, 0))).otherwise(F.array().cast("array<struct<node:bigint,side:int>>"))
+        rows = rows.select(F.explode(F.concat(left, right)).alias("cell"), "rep", "n_shingles", "comp", "sketch").select("cell.*", "rep", "n_shingles", "comp", "sketch")
+        return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_cells_in_task(self.percent), _MET)
+
+    def pivots(self, nodes: DataFrame, rounds: int = 2) -> DataFrame:
+        """Link the rows of large nodes to some pivots of theirs; the nodes with what is then left (see `apart`).
+
+        A pivot is the row of least hash, so that nodes of much the same rows have the same pivots."""
+        left = None
+        for _ in range(rounds):
+            some = nodes if left is None else left.where(f"out and n_out > {self.cell}")
+            if left is not None and some.isEmpty():
+                break
+            least = some.groupBy("node").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+            least = least.select("node", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("pivot"))
+            least = self.scratch.write(least.join(self.reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("p_shingles"), F.col("sketch").alias("p_sketch")), "pivot"))
+            met = some.select("node", "rep", "n_shingles", "sketch").join(least, "node").where("rep <> pivot")
+            self.confirm(met.mapInArrow(_like_pivots(self.percent), _PAIR))
+            self.scratch.drop(least, *([left] if left is not None else []))
+            left = self.scratch.write(self.apart(nodes))
+        return left
+
+    def exact(self, whole: list[DataFrame], celled: list[DataFrame]) -> None:
         """Link what still lies in different components of a node."""
-        rows = self.scratch.write(self.in_tasks(nodes, first=False))
+        rows = None
+        for found in [*(self.in_tasks(x, first=False) for x in whole), *map(self.in_cells, celled)]:
+            rows = found if rows is None else rows.union(found)
+        rows = self.scratch.write(rows)
         if rows.isEmpty():
             return
         self.fetch(rows.select(F.col("rep").alias("doc_id")).distinct())
-        rows = self.labelled(rows).join(self.grams.withColumnRenamed("doc_id", "rep"), "rep").select("node", "rep", "comp", "grams")
+        rows = self.labelled(rows).join(self.grams.withColumnRenamed("doc_id", "rep"), "rep").select("node", "rep", "comp", "left", "right", "grams")
         self.merge(rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_exact_nodes(self.percent), _PAIR))
 
-    def pairs_in_blocks(self, nodes: DataFrame) -> DataFrame:
-        """Each block of a node against each other block of it."""
-        rest = nodes.withColumn("blocks", F.ceil(F.col("n") / 512)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        cell = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
-        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: cell(F.least("own", k), F.greatest("own", k), F.when(F.col("own") <= k, 0).otherwise(1)))
-        cells = F.concat(cells, F.array(cell(F.col("own"), F.col("own"), F.lit(1))))
-        rows = self.labelled(rest).select("node", "rep", "n_shingles", "sketch", "comp", F.explode(cells).alias("cell")).select("node", "cell.*", "rep", "n_shingles", "sketch", "comp")
-        return rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInArrow(_blocks(self.percent), _PAIR)
-
     def fetch(self, ids: DataFrame) -> None:
-        """Have the full sets of these documents. A fixed-size bitmap of ids thins the scan before anything is shuffled."""
+        """Have the full sets of these documents."""
         if self.grams is not None:
             ids = ids.join(self.grams.select("doc_id"), "doc_id", "left_anti")
         ids = self.scratch.write(ids)
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
-        blocks = ids.select((bit / 32768).cast("long").alias("block"), (bit % 32768).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-        if not blocks:
-            return
-        bitmap = bytearray(_BITS // 8)
-        for r in blocks:
-            bitmap[r.block * 4096 : (r.block + 1) * 4096] = r.bits
-        found = self.docs.where("doc_id is not null").withColumn("bit", bit).mapInArrow(_full_sets(self.shingle, bytes(bitmap)), "doc_id long, grams binary")
-        found = self.scratch.write(self.scratch.write(found).join(ids, "doc_id", "left_semi"))
-        self.grams = found if self.grams is None else self.grams.union(found)
+        rows = ids.count()
+        if rows:
+            found = self.scratch.write(self.docs.join(to_all(ids, rows), "doc_id", "left_semi").mapInArrow(_full_sets(self.shingle), "doc_id long, grams binary"))
+            self.grams = found if self.grams is None else self.grams.union(found)
+        self.scratch.drop(ids)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Test these pairs on full sets, and bring the components up to date."""
         pairs = self.scratch.write(pairs.distinct())
-        if pairs.isEmpty():
-            return
-        self.fetch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sure = pairs.join(self.grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
-        sure = sure.join(self.grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-        self.merge(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR))
+        if not pairs.isEmpty():
+            self.fetch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+            sure = pairs.join(self.grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
+            sure = sure.join(self.grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+            self.merge(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR))
+        self.scratch.drop(pairs)
 
     def merge(self, edges: DataFrame) -> None:
-        if self.labels is not None:
-            edges = edges.union(self.labels.select("v", "c"))
+        before = self.labels
+        if before is not None:
+            edges = edges.union(before.select("v", "c"))
         self.labels = components(self.scratch, edges)
+        if before is not None:
+            self.scratch.drop(before)
 
-    def run(self) -> DataFrame | None:
+    def run(self) -> None:
+        """Find `labels`: v and c, the component, of every representative that is linked with another (None: there is none)."""
         if self.shared is not None:
             self.merge(self.shared)
-        nodes = self.nodes(self.reps.select(F.explode("roots").alias("node"), "rep"))
-        levels, rest = [nodes.where(F.col("n") <= self.bound)], nodes.where(F.col("n") > self.bound)
-        for _ in range(self.depth):
-            if rest.isEmpty():
+        nodes = self.nodes(self.reps.select(F.explode("roots").alias("node"), "rep", "n_shingles"))
+        whole, celled = [], []
+        for level in range(self.depth + 1):
+            fits = f"n <= {self.bound} and bytes <= {HEAVY}"
+            whole.append(nodes.where(fits))
+            large = nodes.where(f"not ({fits})").select("node", "rep", "n_shingles", "n", "bytes", "sketch")
+            if large.isEmpty():
                 break
-            nodes = self.nodes(rest.select("node", "rep", "sketch").mapInArrow(_branch(self.picks), _NODE))
-            levels.append(nodes.where(F.col("n") <= self.bound))
-            rest = nodes.where(F.col("n") > self.bound)
-        else:
-            if not rest.isEmpty():
-                pivots = self.scratch.write(rest.groupBy("node").agg(F.min("rep").alias("b")))
-                self.confirm(rest.join(pivots, "node").where("rep <> b").select(F.col("rep").alias("a"), "b"))
-        small = levels[0]
-        for x in levels[1:]:
+            left = self.pivots(large)
+            branches = f"n_out > {4 * self.cell}" if level < self.depth else "false"
+            celled.append(left.where(f"not ({branches})").select(large.columns))
+            on = left.where(branches)
+            if on.isEmpty():
+                break
+            nodes = self.nodes(on.select("node", "rep", "n_shingles", "sketch").mapInArrow(_branch(self.picks), _NODE))
+        small = whole[0]
+        for x in whole[1:]:
             small = small.union(x)
         self.confirm(self.in_tasks(small, first=True))
-        self.exact(small)
-        if len(levels) > self.depth and not rest.isEmpty():
-            self.confirm(self.pairs_in_blocks(rest))
-        return self.labels
+        self.exact([small], celled)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 5, picks: int = 2, bound: int = 1 << 13, depth: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+def _components(spark: SparkSession, docs: DataFrame, percent: int, shingle: int, trees: int = 5, picks: int = 2, bound: int = 1 << 10, depth: int = 6, cell: int = 1 << 10) -> tuple[DataFrame, Scratch]:
+    """What near_duplicates gives, and the tables that it is read from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    join = _Join(spark, docs, percent, shingle, trees, picks, bound, depth)
-    labels = join.run()
-    of = join.classes.withColumn("component_id", F.col("rep")) if labels is None else join.classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component_id", F.coalesce("c", "rep"))
-    of = of.select("s1", "s2", "component_id")
-    found = join.sets.select("doc_id", "n_shingles", "s1", "s2").join(join.scratch.write(of), ["s1", "s2"], "left")
+    join = _Join(spark, docs, percent, shingle, trees, picks, bound, depth, cell)
+    join.run()
+    of = join.classes.withColumn("component_id", F.col("rep")) if join.labels is None else join.classes.join(join.labels.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("component_id", F.coalesce("c", "rep"))
+    of = join.scratch.write(of.select("s1", "s2", "component_id"))
+    join.scratch.drop_others(join.sets, of)
+    found = join.sets.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2"], "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInArrow(_sketcher(shingle, 1, 1), _SETS).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return found.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), join.scratch
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, **how: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
+
+    how: trees, picks (of a node), bound (rows of a node that branches in a task), depth (levels), cell (rows of a side of a cell)."""
+    return _components(spark, docs, percent, shingle, **how)[0]
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """The rows of docs, all columns, without those that are near-duplicates of a document with a smaller id; a doc_id stays once."""
-    found = near_duplicates(spark, docs, percent, shingle)
-    kept = Scratch(spark, "kept").write(found.where("kept and doc_id is not null").select("doc_id").distinct())
-    once = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found, scratch = _components(spark, docs, percent, shingle)
+    gone = Scratch(spark, "gone").write(found.where("not kept").select("doc_id").distinct())
+    scratch.drop_others()
+    once = docs.join(to_all(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     rows, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if rows > ids:  # of rows that share an id, the one with the least text
-        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        once = once.select(F.struct("*").alias("row"), turn.alias("turn")).where("turn = 1").select("row.*")
-    return once.union(docs.where("doc_id is null"))
+    if rows == ids:
+        return once
+    # of rows that share an id, the one with the least text
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    one = once.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), F.coalesce("text", F.lit("")))).alias("row"))
+    return once.join(several, "doc_id", "left_anti").select(*docs.columns).union(one.select("row.*"))

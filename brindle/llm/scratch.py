@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
+
+
+def to_all(ids: DataFrame, rows: int) -> DataFrame:
+    """ids (one long column, so many rows) for a join: sent to all tasks if few, else as they are, for Spark to shuffle."""
+    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
+
+
 class Scratch:
     """Tables written under a folder of this object's own; each cuts the lineage of what follows."""
 
@@ -30,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/brindle-{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        self.live: list[str] = []
 
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -37,9 +47,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._brindle_path = path
+        self.live.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._brindle_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        self._delete([t._brindle_path for t in tables])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but these."""
+        keep = {t._brindle_path for t in kept}
+        self._delete([p for p in self.live if p not in keep])
+
+    def _delete(self, paths: list[str]) -> None:
+        for name in paths:
+            self.live.remove(name)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
