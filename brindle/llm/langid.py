@@ -92,10 +92,16 @@ class Model:
         self.marks, self.languages, self.weights = marks, languages, weights.astype(np.float32)
 
     def scores(self, t: Texts) -> np.ndarray:
-        out = np.zeros((len(t), len(self.languages)), np.float32)
+        return self.evidence(t)[0]
+
+    def evidence(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the languages, and the share of each text's n-grams that any landmark has."""
+        out, known = np.zeros((len(t), len(self.languages)), np.float32), np.zeros(len(t))
         for low, high in _rows_at_once(t):
-            out[low:high] = self.marks.kernels(presence(t, low, high)) @ self.weights
-        return out
+            flags = presence(t, low, high)
+            out[low:high] = self.marks.kernels(flags) @ self.weights
+            known[low:high] = flags[:, self.marks.columns].sum(axis=1, dtype=np.int64) / np.maximum(flags.sum(axis=1, dtype=np.int64), 1)
+        return out, known
 
 
 def _bins(batches):
@@ -191,8 +197,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, _OUT)
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter and a language of score `least` or more; all rows with a letter where there is no model."""
+def keep_known(docs: DataFrame, model: Model | None, least: float, known: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter, a language of score `least` or more, and a share of `known` n-grams that landmarks have; all rows with a letter where there is no model.
+
+    Scores add up to about 1 for any text in familiar letters, and are low for texts of a word; the share of known n-grams tells random letters and foreign scripts (0.1 to 0.5) from short clean texts (nearly 1)."""
     lettered = docs.where(F.col("text").rlike(r"\p{L}"))
     if model is None:
         return lettered
@@ -200,6 +208,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
 
     def run(batches):
         for table in in_pieces(batches):
-            yield from table.filter(pa.array(sent.value.scores(texts_of(table.column("text"))).max(axis=1) >= least)).to_batches()
+            scores, share = sent.value.evidence(texts_of(table.column("text")))
+            yield from table.filter(pa.array((scores.max(axis=1) >= least) & (share >= known))).to_batches()
 
     return lettered.mapInArrow(run, docs.schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import copy
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("brindle.llm")
 
-from test_llm import _brute_pieces  # noqa: E402
+from test_llm import _brute_near, _brute_pieces, _brute_repeats, _stats, _url  # noqa: E402
 
-from brindle.llm import bytewords, decontaminate, langid, sentence_pieces, token_counts  # noqa: E402
-from brindle.llm.queries import QUERIES, tokenizer  # noqa: E402
+from brindle.llm import bytewords, decontaminate, langid, near_dedup, quality_rules, quotations, sentence_pieces, substring_dedup, token_counts, url_filter  # noqa: E402
+from brindle.llm.queries import QUERIES, URL_RULES, tokenizer  # noqa: E402
 
 
 def test_language_sample_covers_late_ids_and_small_languages(spark):
@@ -116,3 +118,273 @@ def test_rollups_that_are_compacted_again(spark, tmp_path):
         roll.compact(str(tmp_path / "other"), ["zz"])
     with pytest.raises(ValueError, match="holds batches"):
         roll.compact(str(tmp_path / "r1"), [])
+
+
+@pytest.mark.parametrize("piece", [1, 400, 8 << 20])
+def test_repeats_are_the_same_however_texts_are_cut_into_pieces(spark, piece):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    shared = [[rng.choice(words) for _ in range(rng.randint(5, 40))] for _ in range(6)]
+    last = 9223372036854775807
+    rows = [(d, " ".join(sum(([rng.choice(words) for _ in range(rng.randint(0, 9))] + rng.choice(shared) for _ in range(rng.randint(0, 4))), []))) for d in [*range(60), -5, 7, 7, last, last]]
+    rows += [(100 + k, "the same header of very many texts that all begin alike here " * 2 + f"x{k}") for k in range(40)] + [(3, "a " * 300), (4, "a " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window in (13, 6):
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark, df, window, piece=piece).collect())
+        assert got == _brute_repeats(rows, window)
+
+
+def test_the_largest_id_is_kept(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(9223372036854775807, passage), (1, passage), (None, passage), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark, df).collect())
+    assert got == {(9223372036854775807, 20, 20): 1, (1, 20, 0): 1, (None, 20, 20): 1, (None, 0, 0): 1}
+    assert Counter(r.doc_id for r in substring_dedup.cut_repeats(spark, df).collect()) == Counter(d for d, _ in rows)
+
+
+def test_large_nodes_meet_pivots_and_cells(spark):
+    """Groups of variants that are larger than nodes, cells and the rest that pivots may leave."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"b{g}_{i}" for i in range(80)]
+        for k in range(45):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+                w[rng.randrange(len(w))] = f"n{rng.randint(0, 3)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(500 + k, " ".join(f"s{k}_{i}" for i in range(30)) + " one shared tail of words") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute_near(rows, 4)
+    found = near_dedup.near_duplicates(spark, df, shingle=4, bound=4, cell=2, depth=2)
+    assert Counter(map(tuple, found.collect())) == want
+
+
+def test_a_prompt_that_all_items_share_makes_no_pairs():
+    import time
+    import tracemalloc
+
+    prompt = " ".join(f"p{i}" for i in range(14))
+    bench = decontaminate.Benchmark([(k, f"{prompt} item {k} " + " ".join(f"q{k}_{j}" for j in range(20))) for k in range(2000)], 10)
+    table = pa.table({"text": [prompt] * 2000})
+    tracemalloc.start()
+    began = time.perf_counter()
+    out = decontaminate._judge(table, bench)
+    took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["n_hit"].tolist() == [14] * 2000 and out["longest"].tolist() == [14] * 2000
+    assert out["items"][1999].as_py() == sorted(map(str, range(2000)))
+    assert took < 10 and most < 300e6
+    loop = decontaminate._judge(pa.table({"text": ["a " * 30_000]}), decontaminate.Benchmark([(1, "a " * 500), (2, "a " * 499)], 10))
+    assert loop["n_hit"].tolist() == [30_000] and loop["longest"].tolist() == [500] and loop["items"].to_pylist() == [["1", "2"]]
+
+
+def test_conversations_are_in_order_of_replies(spark):
+    rows = [(1, i, (f"> line {i - 1}\n" if i % 2 else "> line 0\n" if i else "") + f"line {i}", "x") for i in range(60)] + [(2, 0, "alone", "y"), (None, 3, "> line 0", "z"), (2, 1, None, "y"), (1, 5, "> line 4\nline 5", "again")]
+    df = spark.createDataFrame(rows, "scope long, place long, text string, depth string")
+    out = quotations.in_order(quotations.conversations(spark, df)).collect()
+    one = [r for r in out if (r.root_scope, r.root_place) == (1, 0)]
+    assert [(r.depth, r.place) for r in one] == sorted((r.depth, r.place) for r in one) and len(one) == 61
+    assert [r.position for r in one] == sorted(r.position for r in one) and {r.position for r in one} == set(range(60))
+    at = {(r.scope, r.place): r.position for r in out}
+    assert all(r.to_place is None or at[r.to_scope, r.to_place] < r.position for r in out) and at[2, 0] == at[2, 1] == at[None, 3] == 0
+    assert sum((r.scope, r.place) == (1, 5) for r in out) == 2 and len(out) == len(rows)
+
+
+def test_one_chunk_of_very_many_characters():
+    import resource
+    import time
+
+    p = sentence_pieces.pieces_of(tokenizer("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghij0123456789") for _ in range(200_000))
+    began = time.perf_counter()
+    _, ids, at, score, many, all_ids, all_at = sentence_pieces.encode_n_best(p, pa.chunked_array([[text]]), 4)
+    assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 4e6
+    assert len(many[0]) == 4 and many[0] == sorted(many[0], reverse=True) and score[0] == many[0][0]
+    real = dict(zip(p.ids.tolist(), (-(-p.scores // (1 << 20))).tolist(), strict=True))
+    for k in range(4):
+        own = all_ids[all_at[k] : all_at[k + 1]].tolist()
+        assert sum(real[i] for i in own) == many[0][k] and "".join(p.text[i] for i in own) == "▁" + text
+    assert len({all_ids[all_at[k] : all_at[k + 1]].tobytes() for k in range(4)}) == 4
+
+
+def test_scores_of_many_pieces_are_exact():
+    p = sentence_pieces.pieces_of(tokenizer("piece_bpe_32k.model"))
+    one = sentence_pieces.encode_n_best(p, pa.chunked_array([["a"]]), 1)[3][0]
+    _, ids, at, score, many, *_ = sentence_pieces.encode_n_best(p, pa.chunked_array([[" ".join(["a"] * 1_100_001)]]), 2)
+    assert len(ids) == 1_100_001 and score == [one * 1_100_001] and many[0][0] == score[0]
+    for chunk in ("▁thntti", "▁aaaaaaa", "▁ababab"):
+        codes = np.frombuffer(chunk.encode("utf-32-le"), np.uint32)
+        at = np.array([0, len(codes)])
+        found = [sentence_pieces.Lattice(p, codes, at, unit).ranked(0, 9) for unit in (1 << 20, 1 << 6, sentence_pieces._WIDE)]
+        assert len({tuple(tuple(ids) for _, ids, _ in f) for f in found}) == 1
+        assert [[-(-s // u) for s, _, _ in f] for f, u in zip(found, (1 << 20, 1 << 6, sentence_pieces._WIDE), strict=True)] == [[-(-s // (1 << 20)) for s, _, _ in found[0]]] * 3
+        assert [ids for _, ids, _ in found[0]] == [ids for _, ids in _brute_pieces(p, chunk[1:], 9)]
+
+
+def test_junk_and_foreign_texts_go_and_short_clean_ones_stay(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    letters = lambda some, n: " ".join("".join(rng.choice(some) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    clean = [(100_000 + i, t) for i, t in enumerate(["De.", "A", "Avec.", "the", "Re.", "All rights reserved."])]
+    junk = [(200_000 + i, t) for i, t in enumerate([letters("abcdefghijklmnopqrstuvwxyz", 60), letters("жзикабвгд", 40), "日本語の文章です。これはテストです。", "x7Qz" + letters("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 99), "123 456", "", None])]
+    more = spark.createDataFrame([(d, t, None) for d, t in clean + junk], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(more), sf).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert kept == lettered | {d for d, _ in clean}
+
+
+# registered queries against brute force
+
+
+def _documents(spark, sf):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def _word_pieces(look, longest, unknown, s, n):
+    """Of a word: the ids of its best segmentation and the n best (score, -count), by dynamic programming over code points (look: piece to (score, id))."""
+    best, back, many = [(0, 0)], [None], [[(0, 0)]]
+    for v in range(1, len(s) + 1):
+        found, ways = [], []
+        for size in range(min(longest, v), 0, -1):
+            hit = look.get(s[v - size : v])
+            if hit is None and size == 1:
+                hit = (unknown, s[v - 1])
+            if hit is not None:
+                found.append((best[v - size][0] + hit[0], best[v - size][1] - 1, size, hit[1]))
+                ways += [(x + hit[0], c - 1) for x, c in many[v - size]]
+        top = max(found, key=lambda f: f[:3])
+        best.append(top[:2])
+        back.append(top[2:])
+        many.append(sorted(ways, reverse=True)[:n])
+    ids, v = [], len(s)
+    while v:
+        size, i = back[v]
+        ids.append(i)
+        v -= size
+    return ids[::-1], many[-1]
+
+
+def _best_pieces(look, longest, unknown, text, n, kept):
+    """The same for a text, whose pieces begin with the space mark or have none; of it the scores alone."""
+    ids, many = [], [(0, 0)]
+    for word in re.findall("▁+[^▁]*|[^▁]+", "▁" + text.replace(" ", "▁") if text else ""):
+        if word not in kept:
+            kept[word] = _word_pieces(look, longest, unknown, word, n)
+        own, ways = kept[word]
+        ids += own
+        many = sorted(((x + y, c + d) for x, c in many for y, d in ways), reverse=True)[:n]
+    return ids, [x for x, _ in many]
+
+
+def test_pieces_query(spark, sf):
+    p = sentence_pieces.pieces_of(tokenizer("piece_bpe_32k.model"))
+    look = {p.text[i]: (-(-int(x) // (1 << 20)), int(i)) for i, x in zip(p.ids, p.scores, strict=True)}
+    unknown = -(-int(p.unknown_score) // (1 << 20))
+    got = {r.doc_id: r for r in QUERIES["op2_sentence_pieces"](spark, sf).collect()}
+    docs = _documents(spark, sf)
+    assert not any("▁" in x.lstrip("▁") for x in look)
+    want, kept = {}, {}
+    for d, text in docs:
+        ids, scores = _best_pieces(look, p.longest, unknown, text, 4, kept)
+        ids = [x for i in ids for x in (p.bytes_of(ord(i)) if isinstance(i, str) else [i])]
+        want[d] = (len(ids), ids, scores)
+    hashes = {r.d: r.h for r in spark.createDataFrame([(d, w[1]) for d, w in want.items()], "d long, ids array<int>").select("d", F.xxhash64("ids").alias("h")).collect()}
+    assert {d: (r.n_pieces, r.ids_hash, list(r.nbest_scores), r.score, r.round_trip) for d, r in got.items()} == {d: (n, hashes[d], [float(x) for x in scores], float(scores[0]), True) for d, (n, _, scores) in want.items()}
+    assert all(len(set(r.nbest_hashes)) == len(r.nbest_hashes) == len(r.nbest_scores) and r.nbest_hashes[0] == r.ids_hash for r in got.values())
+
+
+def test_quality_query(spark, sf):
+    docs = _documents(spark, sf)
+    stats = quality_rules.statistics(spark.read.parquet(f"{sf}/documents.parquet"))
+    rules = quality_rules.fit(stats, spark.read.parquet(f"{sf}/labels.parquet"))
+    extra = {r.doc_id: r.asDict() for r in stats.collect()}
+    assert rules
+    for r in QUERIES["op4_quality_rules"](spark, sf).collect():
+        text = dict(docs)[r.doc_id]
+        n_words, chars, symbols, lines, repeats = _stats(text)
+        failed = n_words < 50 or 100 * repeats > 50 * n_words
+        x = extra[r.doc_id] | {"n_upper": sum("A" <= c <= "Z" for c in text), "n_digits": sum("0" <= c <= "9" for c in text), "n_marks": text.count("!") + text.count("?"), "n_lines": sum(bool(re.search(r"[^ \t-\r]", line)) for line in text.split("\n"))}
+        per_word, per_char = max(n_words, 1), max(chars, 1)
+        value = {"n_words": n_words, "word_length": chars / per_word, "symbols_per_word": symbols / per_word, "repeated_lines": lines / max(x["n_lines"], 1), "repeated_words": repeats / per_word, "upper_per_char": x["n_upper"] / per_char, "digits_per_char": x["n_digits"] / per_char, "marks_per_word": x["n_marks"] / per_word}
+        fires = any(all((value[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        assert tuple(r)[1:5] == (n_words, chars, symbols, lines) and r.n_repeat_words == repeats
+        assert r.base_failed == failed and r.kept == (not failed and not fires)
+
+
+def test_quality_at_the_edges(spark):
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(1, text(49)), (2, text(50)), (3, None), (4, "a b c " * 20)]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 1), (None, 0)], "doc_id long, quality int")
+    stats = quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert quality_rules.fit(stats, labels) == []  # too few to learn from
+    found = {r.doc_id: (r.n_words, r.n_repeat_words) for r in stats.collect()}
+    assert found == {1: (49, 0), 2: (50, 0), 3: (0, 0), 4: (60, 60)}
+
+
+def test_urls_query(spark, sf):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    got = QUERIES["op5_url_filter"](spark, sf).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, path = _url(pages[r.page_id])
+        fits = [(len(t), t, v) for t, v in URL_RULES for h, _, rest in [t.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + rest)]
+        assert (r.host, r.path) == (host, path)
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "block" if r.p_block > 0.5 else "allow"))
+
+
+def test_repeated_and_long_urls(spark):
+    urls = ["http://a.org/x"] * 3 + ["http://b.com/de/" + "y" * 20_000, None, None]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
+    assert len(out) == 6 and {r.verdict for r in out[:3]} == {out[0].verdict} and next(r for r in out if r.page_id == 3).rule == "com/de/"
+
+
+def test_records_query(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    want, start = [], 0
+    for d, text in sorted(_documents(spark, sf)):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op6_token_records"](spark, sf).collect())) == want
+
+
+def test_url_model_on_other_urls(spark):
+    rng = random.Random(7)
+    make = lambda bad, k: f"http://{rng.choice('abcdef')}{k}.{'cheap-pills' if bad else 'library'}.net/{rng.randint(0, 99)}"
+    df = spark.createDataFrame([(k, make(k % 2 == 0, k), k % 2 == 0) for k in range(300)], "k long, url string, blocked boolean").select("k", url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path"), "blocked")
+    out = url_filter.classify(df.where("k >= 150"), df.where("k < 150")).collect()
+    assert len(out) == 150 and sum((r.p_block > 0.5) == r.blocked for r in out) >= 147
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [w for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect() for w in (r.text or "").split()]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, passage = text(80), text(70), text(30)
+    near = a.split()
+    near[40] = "changed"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    rows = [(5, a), (3, a), (3, a), (9, " ".join(near)), (7, f"{text(20)} {passage}"), (8, f"{passage} {text(25)}"), (10, f"{text(10)} {bench} {text(10)}"), (11, None), (12, ""), (13, "12 34"), (None, b), (14, "De."), (9223372036854775807, text(40)), (15, f"{text(2000)}")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rest string, rank long, part int"
+    folder = str(tmp_path)
+    known = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 1000000 as doc_id", "text", "lang", "source", "n_chars", "'r' as rest", "1L as rank", "2 as part")
+    spark.createDataFrame([(d, t, None, "s", len(t or ""), "r", 1, 2) for d, t in rows], schema).union(known).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect())
+    mine = {d: n for d, n in got.items() if d is None or d < 1_000_000 or d == 9223372036854775807}
+    assert mine == {3: 1, 7: 1, 8: 1, None: 1, 14: 1, 9223372036854775807: 1, 15: 1}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).schema.names == schema.replace(",", "").split()[::2]
+    empty = str(tmp_path / "empty")
+    spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
