@@ -36,6 +36,16 @@ COVERS: dict[str, tuple[str, bool]] = {
 KEEPS = ("register",)
 
 
+def error_outcome(status: Column, message: Column) -> tuple[Column, Column]:
+    """The status and message that a client gets for an error: a known kind keeps its status and its message (or has its kind's own); any other is a server error."""
+    known = None
+    for code, own in (UNAUTHORIZED, FORBIDDEN, NO_PROJECT, INTERNAL):
+        said = F.coalesce(message, F.lit(own))
+        known = F.when(status == code, said) if known is None else known.when(status == code, said)
+    is_known = F.coalesce(status.isin(400, UNAUTHORIZED[0], FORBIDDEN[0], NO_PROJECT[0], INTERNAL[0]), F.lit(False))
+    return F.when(is_known, status).otherwise(OTHER[0]), F.when(is_known, known.when(status == 400, message)).otherwise(OTHER[1])
+
+
 @dataclass(frozen=True)
 class Cause:
     """When a command fails, with which inner status and message. `edge`: before the action itself, so that it reaches the client as it is."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,53 +78,83 @@ def _update_apart(projects: DataFrame, cmd: DataFrame, as_of: Column) -> tuple[D
     return patches, hits.select("request_id", "_id")
 
 
-def replay_updates(projects: pd.DataFrame, cmd: pd.DataFrame) -> tuple[dict, list]:
-    """One user's commands one after another: the projects after it by _id, and the project (or None) of each command."""
-    state = {r["_id"]: r for r in projects.sort_values("_id").to_dict("records")}
-    hits = []
-    for c in cmd.sort_values(["ts", "request_id"]).to_dict("records"):
-        title = c["projectTitle"]
-        hit = next((k for k, p in state.items() if p["projectTitle"] == title), None) if title else None
-        hits.append((c["request_id"], hit))
-        if hit is None or c["_bad"]:
-            continue
-        p = state[hit]
-        p["projectTitle"] = c["newTitle"] or p["projectTitle"]
-        p["description"] = c["newDescription"] or p["description"]
-        p["createdAt"] = p["createdAt"] if pd.isna(c["_at"]) else c["_at"]
-        p["updatedAt"], p["changed"] = c["_now"], True
-    return state, hits
-
-
-def _replayed(projects: DataFrame, cmd: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of kind `state` and `hit` of the users whose commands interact. A user's projects and commands are what one task holds."""
-    kinds = projects.schema
-    out = T.StructType([T.StructField("request_id", T.StringType()), *(T.StructField(c, kinds[c].dataType) for c in ("_id", "projectTitle", "description", "user", "createdAt", "updatedAt"))])
-
-    names, zoned = out.names, dict(projects.dtypes)["createdAt"] == "timestamp"
-
-    def run(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        mine["changed"] = False
-        theirs = theirs.astype({c: object for c in ("newTitle", "newDescription", "projectTitle")}).where(theirs.notna(), None)
-        state, hits = replay_updates(mine, theirs)
-        rows = [{"request_id": None, **{c: p[c] for c in names[1:]}} for p in state.values()]
-        rows += [dict.fromkeys(names) | {"request_id": r, "_id": h} for r, h in hits]
-        found = pd.DataFrame(rows, columns=names, dtype=object)
-        return found if zoned else found.astype({"createdAt": "datetime64[ns]", "updatedAt": "datetime64[ns]"})
-
-    mine = projects.join(cmd.select(F.col("user_id").alias("user")).distinct(), "user", "left_semi").select(projects.columns)
-    theirs = cmd.select("request_id", "ts", "user_id", "projectTitle", "newTitle", "newDescription", "_at", "_bad", as_of.alias("_now"))
-    return mine.groupBy("user").cogroup(theirs.groupBy("user_id")).applyInPandas(run, out)
+class _User:
+    """A user's projects, by title; commands come in order."""
+
+    def __init__(self):
+        self.ids: dict[str, list[str]] = {}  # heaps
+        self.state: dict[str, dict] = {}
+        self.changed: set[str] = set()
+
+    def add(self, _id: str, title: str, description: str, at) -> None:
+        self.state[_id] = {"projectTitle": title, "description": description, "createdAt": at}
+        heappush(self.ids.setdefault(title, []), _id)
+
+    def update(self, title: str, new_title: str, description: str, at, bad: bool) -> str | None:
+        """The project that the command finds: the least id of the title."""
+        found = self.ids.get(title) if title else None
+        if not found:
+            return None
+        _id = found[0]
+        if not bad:
+            p = self.state[_id]
+            if new_title and new_title != title:
+                heappush(self.ids.setdefault(new_title, []), heappop(found))
+                p["projectTitle"] = new_title
+            p["description"] = description or p["description"]
+            p["createdAt"] = p["createdAt"] if at is None else at
+            self.changed.add(_id)
+        return _id
+
+
+def _replay(fields: list[str], kind: pa.DataType):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string()] * (len(fields) - 1) + [kind]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=fields)
+
+    def run(batches):
+        name, user, rows = None, _User(), []
+        for b in batches:
+            for owner, key, title, new_title, description, at, bad in zip(*(b.column(c).to_pylist() for c in ("user", "key", "title", "new_title", "text", "at", "bad")), strict=True):
+                if owner != name:
+                    rows += [(None, k, p["projectTitle"], p["description"], p["createdAt"]) for k in user.changed for p in [user.state[k]]]
+                    name, user = owner, _User()
+                if bad is None:
+                    user.add(key, title, description, at)
+                else:
+                    rows.append((key, user.update(title, new_title, description, at, bad), None, None, None))
+            if rows:
+                yield batch(rows)
+                rows = []
+        rows = [(None, k, p["projectTitle"], p["description"], p["createdAt"]) for k in user.changed for p in [user.state[k]]]
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def _replayed(projects: DataFrame, cmd: DataFrame) -> DataFrame:
+    """Rows with request_id and _id of what each command found, and, without request_id, projects after them, of the users whose commands interact.
+
+    Projects and then commands of each user in order stream through a task; it holds the user's projects of titles that occur in commands."""
+    at = dict(projects.dtypes)["createdAt"]
+    none = F.lit(None)
+    titles = cmd.select(F.col("user_id").alias("user"), "projectTitle").distinct()
+    mine = projects.join(titles, ["user", "projectTitle"], "left_semi").select("user", F.col("_id").alias("key"), none.cast(dict(cmd.dtypes)["ts"]).alias("ts"), F.col("projectTitle").alias("title"), none.cast("string").alias("new_title"), F.col("description").alias("text"), F.col("createdAt").alias("at"), none.cast("boolean").alias("bad"))
+    theirs = cmd.select(F.col("user_id").alias("user"), F.col("request_id").alias("key"), "ts", F.col("projectTitle").alias("title"), F.col("newTitle").alias("new_title"), F.col("newDescription").alias("text"), F.col("_at").cast(at).alias("at"), F.coalesce("_bad", F.lit(False)).alias("bad"))
+    rows = mine.union(theirs).withColumn("order", F.col("bad").isNotNull()).repartition("user").sortWithinPartitions("user", "order", "ts", "key").drop("order")
+    out = T.StructType([T.StructField(c, T.StringType()) for c in ("request_id", "_id", "projectTitle", "description")] + [projects.schema["createdAt"]])
+    return rows.mapInArrow(_replay(out.names, pa.timestamp("us", tz="UTC" if at == "timestamp" else None)), out)
 
 
 def update_projects(projects: DataFrame, cmd: DataFrame, as_of: Column) -> Changed:
-    """Patch the first project (least _id) of (user, projectTitle). Users whose commands interact are replayed in order; all others take one aggregate and two joins."""
+    """Patch the first project (least _id) of (user, projectTitle). Users whose commands interact are replayed in order, those titles of theirs that occur in commands; all others take one aggregate and two joins."""
     cmd = _ordered(cmd)
     apart, chained = split_by_interaction(cmd)
     patches, hits = _update_apart(projects, apart, as_of)
-    replay = _replayed(projects, chained, as_of)
+    replay = _replayed(projects, chained)
     hits = hits.union(replay.where("request_id is not null").select("request_id", "_id"))
-    after = replay.where("request_id is null").select("_id", *(F.col(c).alias(f"r_{c}") for c in ("projectTitle", "description", "createdAt", "updatedAt")), F.lit(True).alias("replayed"))
+    after = replay.where("request_id is null").select("_id", *(F.col(c).alias(f"r_{c}") for c in ("projectTitle", "description", "createdAt")), as_of.alias("r_updatedAt"), F.lit(True).alias("replayed"))
     rows = projects.join(patches, "_id", "left").join(after, "_id", "left")
     pick = lambda c, fast: F.when(F.col("replayed"), F.col(f"r_{c}")).otherwise(fast).alias(c)
     state = rows.select(

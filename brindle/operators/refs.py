@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def resolve_refs(comments: DataFrame, users: DataFrame, tasks: DataFrame, projects: DataFrame) -> DataFrame:
-    """comments with username, task_title and project_title of what they refer to."""
-    return (
-        comments.join(users.select(F.col("_id").alias("userId"), "username"), "userId", "left")
-        .join(tasks.select(F.col("_id").alias("taskId"), F.col("title").alias("task_title")), "taskId", "left")
-        .join(projects.select(F.col("_id").alias("projectId"), F.col("projectTitle").alias("project_title")), "projectId", "left")
-        .select(*comments.columns, "username", "task_title", "project_title")
-    )
+    """comments with username, task_title and project_title of what they refer to.
+
+    Null references get keys of their own that match nothing, so that they don't all go to one task."""
+    rows = comments
+    for key, of, value, name in (("userId", users, "username", "username"), ("taskId", tasks, "title", "task_title"), ("projectId", projects, "projectTitle", "project_title")):
+        found = of.select(F.col("_id").alias("_key"), F.col(value).alias(name))
+        rows = rows.withColumn("_key", F.coalesce(key, F.concat(F.lit("none "), "_id"))).join(found, "_key", "left").drop("_key")
+    return rows.select(*comments.columns, "username", "task_title", "project_title")
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

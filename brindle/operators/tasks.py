@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,41 +36,29 @@ def search_tasks(tasks: DataFrame, project: str, val: str = "", search_type: str
     return found.where(matches(F.col("title"), val)) if search_type == "title" else found
 
 
-_DIFFERS = re.compile(r"\(\?(?![:=!]|<[=!])|\\[pPQEGkhHRXzZAbB<>]|[*+?}]\+|\[[^\]]*(?:&&|\[)")
+#: Constructs that compile but mean something else, or nothing, in the patterns of clients.
+_DIFFERS = r"\(\?(?![:=!]|<[=!])|\\[pPQEGkhHRXzZAbB<>]|[*+?}]\+|\[[^\]]*(?:&&|\[)"
 
 
-def usable_pattern(pattern: str) -> bool:
-    """Whether a search pattern compiles, with the same meaning here as in the tasks."""
-    try:
-        re.compile(pattern)
-    except (re.error, OverflowError, RecursionError):
-        return False
-    return not _DIFFERS.search(pattern)
-
-
-def vet(cmd: DataFrame) -> DataFrame:
-    """cmd (val, searchType) with `usable`. A pattern that doesn't compile would end the whole job, so each distinct one is tried first, in tasks of their own."""
-    patterns = cmd.where("searchType = 'title' and val is not null").select("val").distinct()
-
-    def run(batches):
-        for pdf in batches:
-            pdf["usable"] = pdf["val"].map(usable_pattern)
-            yield pdf
-
-    return cmd.join(patterns.mapInPandas(run, "val string, usable boolean"), "val", "left").withColumn("usable", F.coalesce("usable", F.lit(True)))
+def usable_pattern(pattern: Column) -> Column:
+    """Whether a search pattern compiles where it will run; one that doesn't would end the whole job."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?iu)(?:"), pattern, F.lit(")")))
+    alone = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return compiled.isNotNull() & alone.isNotNull() & ~F.rlike(pattern, F.lit(_DIFFERS))
 
 
 def search_tasks_batch(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame]:
     """The tasks that each command finds (with its request_id), and the outcomes."""
-    cmd = vet(validate(cmd.withColumns({"val": F.coalesce("val", F.lit("")), "searchType": F.coalesce("searchType", F.lit(""))}), "tasks_get", enforce, id_format))
+    cmd = validate(cmd.withColumns({"val": F.coalesce("val", F.lit("")), "searchType": F.coalesce("searchType", F.lit(""))}), "tasks_get", enforce, id_format)
+    cmd = cmd.withColumn("usable", usable_pattern(F.col("val")))
     rows = judged(
         cmd,
         "tasks_get",
         [Cause(F.col("rejected").isNotNull(), 400, F.col("rejected"), edge=True), Cause((F.col("searchType") == "title") & ~F.col("usable"), 500, "Invalid regular expression")],
     )
-    asked = rows.where("cause_status is null").select("request_id", "projectId", "val", "searchType")
+    asked = rows.where("cause_status is null").select("request_id", "projectId", "val", "searchType", "usable")
     by_title = F.col("searchType") == "title"
-    pattern = F.when(by_title, F.col("val")).otherwise("")
+    pattern = F.when(by_title & F.col("usable"), F.col("val")).otherwise("")
     found = asked.join(tasks, "projectId").where(~by_title | sure(matches(F.col("title"), pattern)))
     return found.select("request_id", *tasks.columns), outcomes(rows, "tasks_get", F.col("projectId"))
 

@@ -18,6 +18,12 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _task_id() -> Column:
+    """Of a row of lineitem; supplier and date tell rows of the same number and part apart."""
+    more = F.md5(F.concat(F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")).cast("binary"))
+    return F.concat(padded("l_orderkey", 9), F.col("l_linenumber").cast("string"), padded("l_partkey", 8), F.substring(more, 1, 6))
+
+
 class Workspace:
     """Frames over one set of tables; each is built when it is asked for."""
 
@@ -61,7 +67,7 @@ class Workspace:
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
         ship = F.col("l_shipdate").cast("timestamp_ntz")
         return lines.join(parts, "l_partkey").select(
-            F.concat(padded("l_orderkey", 9), F.col("l_linenumber").cast("string"), padded("l_partkey", 8), padded("l_suppkey", 6)).alias("_id"),
+            _task_id().alias("_id"),
             F.col("p_name").alias("title"),
             F.col("p_type").alias("description"),
             padded("l_orderkey").alias("projectId"),
@@ -70,7 +76,15 @@ class Workspace:
         )
 
     def comments(self) -> DataFrame:
-        return self.table("events").select(padded("event_id").alias("_id"), F.col("props").alias("text"), F.col("ts").alias("createdAt"), padded("event_id").alias("projectId"), _null("string").alias("taskId"), padded("user_id").alias("userId"))
+        """From events; those whose number is an order's are about its first task."""
+        e = self.table("events").select("event_id", "props", "ts", "user_id")
+        tasks = self.table("lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.min(_task_id()).alias("taskId"))
+        return e.join(tasks, "event_id", "left").select(padded("event_id").alias("_id"), F.col("props").alias("text"), F.col("ts").alias("createdAt"), padded("event_id").alias("projectId"), "taskId", padded("user_id").alias("userId"))
+
+    def stored_tokens(self) -> DataFrame:
+        """Tokens of customers from before the events, some of them older than 30 days."""
+        issued = F.expr("timestamp_ntz'2024-01-01 00:00:00' - make_interval(0, 0, 0, cast(c_custkey % 60 as int), 0, 0, 0)")
+        return self.table("customer").select(padded("c_custkey").alias("userId"), F.concat(F.lit("st-"), F.col("c_custkey").cast("string")).alias("refreshToken"), issued.alias("issued_at"))
 
     # commands
 
@@ -108,13 +122,14 @@ class Workspace:
             F.when(login, F.col("tok")).when(F.col("event_id") % 3 == 0, F.col("first_tok")).otherwise(F.col("last_tok")).alias("refreshToken"),
         )
 
+    def token_saves(self) -> DataFrame:
+        return self.session_events().where("action = 'login'").select("request_id", "ts", F.col("user_id").alias("userId"), "refreshToken")
+
     def tokens(self) -> DataFrame:
         """What is stored after all logins: one token a user."""
         from ..operators.sessions import save_tokens
 
-        none = self.spark.createDataFrame([], "userId string, refreshToken string, issued_at timestamp_ntz")
-        logins = self.session_events().where("action = 'login'").select("request_id", "ts", F.col("user_id").alias("userId"), "refreshToken")
-        return save_tokens(none, logins)
+        return save_tokens(self.spark.createDataFrame([], "userId string, refreshToken string, issued_at timestamp_ntz"), self.token_saves())
 
     def cmd_logout(self) -> DataFrame:
         return self.session_events().where("action = 'logout'").select("request_id", "ts", "user_id", "refreshToken")
@@ -150,10 +165,10 @@ class Workspace:
         return self.events("signup").select(*self._request(), padded("user_id").alias("user_id"), title.alias("projectTitle"), F.when(F.col("event_id") % 6 != 0, F.col("props")).alias("description"))
 
     def cmd_project_update(self) -> DataFrame:
-        """At most one command per (user, title)."""
+        """One of each purchase; a title that a user names again is that of the next project, if the first was renamed."""
         k = F.col("event_id")
         titles = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "no such title")))
-        e = self.events("purchase").select(
+        return self.events("purchase").select(
             *self._request(),
             padded("user_id").alias("user_id"),
             F.get(titles, (k % 6).cast("int")).alias("projectTitle"),
@@ -161,8 +176,6 @@ class Workspace:
             F.when(k % 3 != 0, F.col("props")).alias("newDescription"),
             F.when(k % 7 == 0, F.col("ts")).alias("newCreatedAt"),
         )
-        turn = F.row_number().over(Window.partitionBy("user_id", "projectTitle").orderBy("ts", "request_id"))
-        return e.withColumn("turn", turn).where("turn = 1").drop("turn")
 
     def cmd_rename_chain(self) -> DataFrame:
         """Renames around the titles that each user has, so that a command sees what those before it did."""
@@ -178,19 +191,21 @@ class Workspace:
         )
 
     def cmd_project_delete(self) -> DataFrame:
-        """Ids that exist, some of them twice, and ids that don't."""
+        """Two requests an order: ids that exist, some of them twice, and ids that don't."""
         o = self.table("orders").select(F.col("o_orderkey").alias("k"))
         name = lambda x: F.concat(F.lit(x), F.col("k").cast("string")).alias("request_id")
-        rows = o.where("k % 7 = 0").select(name("a"), padded("k").alias("id"))
-        rows = rows.union(o.where("k % 70 = 0").select(name("b"), padded("k").alias("id")))
-        rows = rows.union(o.where("k % 1000 = 0").select(name("c"), F.concat(F.lit("f"), padded("k", 23)).alias("id")))
+        other = lambda x: F.concat(F.lit(x), padded("k", 23))
+        rows = o.select(name("a"), F.when(F.col("k") % 3 == 0, other("f")).otherwise(padded("k")).alias("id"))
+        rows = rows.union(o.select(name("b"), F.when(F.col("k") % 10 == 0, padded("k")).otherwise(other("e")).alias("id")))
         return rows.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
 
     def cmd_tasks_get(self) -> DataFrame:
-        """A search in the project of each thirteenth-or-so order: by title, with a bad pattern, or without a search type."""
-        o = self.table("orders").select(F.col("o_orderkey").alias("k")).where("k % 13 = 0")
-        val = F.when(F.col("k") % 2 == 0, "RED|w.dg").when(F.col("k") % 5 == 0, "(").otherwise("")
-        return o.select(padded("k", 12).alias("request_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), padded("k").alias("projectId"), val.alias("val"), F.when(F.col("k") % 3 != 0, "title").alias("searchType"))
+        """A search in the project of each order: by title, with a pattern that doesn't compile, or without a search type."""
+        k = F.col("k")
+        o = self.table("orders").select(F.col("o_orderkey").alias("k"))
+        bad = F.get(F.array(*map(F.lit, ("(", "{", "a{,3}", "\\U0001F600"))), (k % 4).cast("int"))
+        val = F.when(k % 7 == 1, "RED|w.dg").when(k % 5 == 0, bad).otherwise("")
+        return o.select(padded("k", 12).alias("request_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), padded("k").alias("projectId"), val.alias("val"), F.when(k % 3 != 0, "title").alias("searchType"))
 
     def cmd_task_create(self) -> DataFrame:
         """From events of sign-up, some without a title or with a date that is none."""
@@ -199,8 +214,8 @@ class Workspace:
         return self.events("signup").select(*self._request(), padded("user_id").alias("user_id"), padded("event_id").alias("projectId"), data.alias("projectData"))
 
     def cmd_task_update(self) -> DataFrame:
-        """Up to three patches of a task: keys that are there, null, unknown, or no date."""
-        t = self.table("lineitem").where("l_partkey % 10 = 0").select(F.concat(padded("l_orderkey", 9), F.col("l_linenumber").cast("string"), padded("l_partkey", 8), padded("l_suppkey", 6)).alias("taskId"), F.col("l_orderkey").alias("k"))
+        """Up to three patches of each task: keys that are there, null, unknown, or no date."""
+        t = self.table("lineitem").select(_task_id().alias("taskId"), F.col("l_orderkey").alias("k"))
         t = t.select("*", F.explode(F.sequence(F.lit(1), (F.col("k") % 3 + 1).cast("int"))).alias("n"))
         name = F.concat(F.lit("patched "), F.col("n").cast("string"))
         data = (
@@ -214,18 +229,27 @@ class Workspace:
         return t.select(F.concat("taskId", F.lit("-"), F.col("n").cast("string")).alias("request_id"), at.alias("ts"), key.alias("taskId"), data.alias("updatedData"))
 
     def cmd_task_delete(self) -> DataFrame:
-        """Each fifteenth-or-so part's tasks; some after the first patch of the same task."""
-        t = self.table("lineitem").where("l_partkey % 15 = 0").select(F.concat(padded("l_orderkey", 9), F.col("l_linenumber").cast("string"), padded("l_partkey", 8), padded("l_suppkey", 6)).alias("taskId"))
+        """One of each task, most with an id that is none; some come after the first patch of the same task."""
+        t = self.table("lineitem").select(_task_id().alias("task"), F.col("l_partkey").alias("part"))
         at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-        return t.select(F.concat("taskId", F.lit("-1x")).alias("request_id"), at.alias("ts"), _null("string").alias("projectId"), "taskId")
+        key = F.when(F.col("part") % 15 == 0, F.col("task")).otherwise(F.concat(F.lit("e"), F.substring("task", 2, 23)))
+        return t.select(F.concat("task", F.lit("-1x")).alias("request_id"), at.alias("ts"), _null("string").alias("projectId"), key.alias("taskId"))
 
     def cmd_comment_create(self) -> DataFrame:
         k = F.col("event_id")
         return self.events("view").select(*self._request(), padded("user_id").alias("user_id"), F.when(k % 6 == 0, "no id").otherwise(padded("event_id")).alias("taskId"), F.when(k % 10 == 0, "").otherwise(F.col("props")).alias("text"))
 
     def cmd_comment_delete(self) -> DataFrame:
+        """Three of each error: its comment's id, that again or one that is none, and one that is none."""
         e = self.events("error").select(F.col("event_id").alias("k"), "ts")
-        once = e.select(F.concat(F.lit("a"), F.col("k").cast("string")).alias("request_id"), "ts", padded("k").alias("id"))
-        again = e.where("k % 4 = 0").select(F.concat(F.lit("b"), F.col("k").cast("string")).alias("request_id"), "ts", padded("k").alias("id"))
-        gone = e.where("k % 9 = 0").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("request_id"), "ts", F.concat(F.lit("f"), padded("k", 23)).alias("id"))
-        return once.union(again).union(gone)
+        name = lambda x: F.concat(F.lit(x), F.col("k").cast("string")).alias("request_id")
+        other = lambda x: F.concat(F.lit(x), padded("k", 23))
+        once = e.select(name("a"), "ts", padded("k").alias("id"))
+        again = e.select(name("b"), "ts", F.when(F.col("k") % 4 == 0, padded("k")).otherwise(other("e")).alias("id"))
+        return once.union(again).union(e.select(name("c"), "ts", other("f").alias("id")))
+
+    def errors(self) -> DataFrame:
+        """Errors of all events as (status, message): of known kinds with and without a message, and others."""
+        k = F.col("event_id")
+        status = F.get(F.array(*map(F.lit, (400, 401, 403, 404, 500, 418))), (k % 7).cast("int"))
+        return self.table("events").select(padded("event_id", 12).alias("request_id"), status.alias("status"), F.when((k % 7 == 0) | (k % 2 == 0), F.col("props")).alias("message"))

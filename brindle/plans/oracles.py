@@ -6,6 +6,18 @@ from .queries import AS_OF
 
 NOW = f"timestamp '{AS_OF}'"
 
+#: Commands on projects, each user's one by one: of round n, the projects (a list in order of ids) after the user's n-th command and what it found.
+_ONE_BY_ONE = """
+        select user_id, 0 as n, coalesce(ps, []) as ps, cast(null as varchar) as request_id, cast(null as varchar) as hit
+        from (select distinct user_id from {cmd}) left join (
+          select "user" as user_id, list({{'id': _id, 't': "projectTitle", 'd': description, 'c': "createdAt", 'u': false}} order by _id) as ps from projects group by 1) using (user_id)
+        union all
+        select r.user_id, r.n + 1, list_transform(r.ps, lambda p, i: case when i = spot then {{
+            'id': p.id, 't': coalesce(nullif("newTitle", ''), p.t), 'd': coalesce(nullif("newDescription", ''), p.d), 'c': coalesce("newCreatedAt", p.c), 'u': true}} else p end),
+          c.request_id, r.ps[spot].id
+        from {name} r join (select *, row_number() over (partition by user_id order by ts, request_id) as n from {cmd}) c on c.user_id = r.user_id and c.n = r.n + 1,
+          lateral (select coalesce(list_position(list_transform(r.ps, lambda p: p.t), c.title), 0) as spot)"""
+
 #: Frames as common table expressions, and those that each one stands on.
 FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
     "users": ((), """
@@ -16,13 +28,17 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
         select lpad(cast(o_orderkey as varchar), 24, '0') as _id, o_orderpriority as "projectTitle", 'status ' || o_orderstatus as description,
           lpad(cast(o_custkey as varchar), 24, '0') as "user", o_orderdate as "createdAt", o_orderdate as "updatedAt" from orders"""),
     "tasks": ((), """
-        select lpad(cast(l_orderkey as varchar), 9, '0') || l_linenumber || lpad(cast(l_partkey as varchar), 8, '0') || lpad(cast(l_suppkey as varchar), 6, '0') as _id,
+        select lpad(cast(l_orderkey as varchar), 9, '0') || l_linenumber || lpad(cast(l_partkey as varchar), 8, '0') || substr(md5(l_suppkey || strftime(l_shipdate, '%Y-%m-%d')), 1, 6) as _id,
           p_name as title, p_type as description, lpad(cast(l_orderkey as varchar), 24, '0') as "projectId", l_shipdate as deadline,
           l_shipdate - interval 30 day as "createdAt", l_orderkey as k, l_partkey as part
         from lineitem join part on p_partkey = l_partkey"""),
-    "comments": ((), """
+    "comments": (("tasks",), """
         select lpad(cast(event_id as varchar), 24, '0') as _id, props as text, ts as "createdAt", lpad(cast(event_id as varchar), 24, '0') as "projectId",
-          cast(null as varchar) as "taskId", lpad(cast(user_id as varchar), 24, '0') as "userId" from events"""),
+          t.id as "taskId", lpad(cast(user_id as varchar), 24, '0') as "userId"
+        from events left join (select k, min(_id) as id from tasks group by k) t on t.k = event_id"""),
+    "stored_tokens": ((), """
+        select lpad(cast(c_custkey as varchar), 24, '0') as "userId", 'st-' || c_custkey as "refreshToken",
+          timestamp '2024-01-01 00:00:00' - to_days(cast(c_custkey % 60 as integer)) as issued_at from customer"""),
     "cmd_register": ((), """
         select lpad(cast(event_id as varchar), 12, '0') as request_id, ts, 'user' || user_id || '@example.com' as email, 'User ' || user_id as username,
           case when event_id % 10 = 0 then 'short' else 'password' || (event_id % 1000) end as password from events where event_type = 'signup'"""),
@@ -64,22 +80,24 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
           case when event_id % 8 = 0 then '' else 'Project ' || event_id end as title, case when event_id % 6 <> 0 then props end as description
         from events where event_type = 'signup'"""),
     "cmd_project_update": ((), """
-        select * from (select lpad(cast(event_id as varchar), 12, '0') as request_id, ts, lpad(cast(user_id as varchar), 24, '0') as user_id,
+        select lpad(cast(event_id as varchar), 12, '0') as request_id, ts, lpad(cast(user_id as varchar), 24, '0') as user_id,
           case event_id % 6 when 0 then '1-URGENT' when 1 then '2-HIGH' when 2 then '3-MEDIUM' when 3 then '4-NOT SPECIFIED' when 4 then '5-LOW' else 'no such title' end as title,
           case when event_id % 4 = 0 then '' else 'renamed ' || event_id end as "newTitle", case when event_id % 3 = 0 then null else props end as "newDescription",
-          case when event_id % 7 = 0 then ts end as "newCreatedAt" from events where event_type = 'purchase')
-        qualify row_number() over (partition by user_id, title order by ts, request_id) = 1"""),
-    "updated": (("cmd_project_update", "projects"), """
-        select c.*, p._id from cmd_project_update c left join (select "user", "projectTitle", min(_id) as _id from projects group by all) p
-          on p."user" = c.user_id and p."projectTitle" = c.title"""),
+          case when event_id % 7 = 0 then ts end as "newCreatedAt" from events where event_type = 'purchase'"""),
+    "cmd_rename_chain": ((), """
+        select lpad(cast(event_id as varchar), 12, '0') as request_id, ts, lpad(cast(user_id as varchar), 24, '0') as user_id,
+          ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][event_id % 5 + 1] as title,
+          ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][(event_id + 1 + event_id % 3) % 5 + 1] as "newTitle",
+          case when event_id % 3 = 0 then null else props end as "newDescription", cast(null as timestamp) as "newCreatedAt"
+        from events where event_type = 'purchase'"""),
+    **{name: (("projects", cmd), _ONE_BY_ONE.format(name=name, cmd=cmd)) for name, cmd in (("updated", "cmd_project_update"), ("chained", "cmd_rename_chain"))},
     "cmd_project_delete": ((), """
-        select 'a' || o_orderkey as request_id, lpad(cast(o_orderkey as varchar), 24, '0') as id from orders where o_orderkey % 7 = 0
-        union all select 'b' || o_orderkey, lpad(cast(o_orderkey as varchar), 24, '0') from orders where o_orderkey % 70 = 0
-        union all select 'c' || o_orderkey, 'f' || lpad(cast(o_orderkey as varchar), 23, '0') from orders where o_orderkey % 1000 = 0"""),
+        select 'a' || o_orderkey as request_id, case when o_orderkey % 3 = 0 then 'f' || lpad(cast(o_orderkey as varchar), 23, '0') else lpad(cast(o_orderkey as varchar), 24, '0') end as id from orders
+        union all select 'b' || o_orderkey, case when o_orderkey % 10 = 0 then lpad(cast(o_orderkey as varchar), 24, '0') else 'e' || lpad(cast(o_orderkey as varchar), 23, '0') end from orders"""),
     "cmd_tasks_get": ((), """
         select lpad(cast(o_orderkey as varchar), 12, '0') as request_id, lpad(cast(o_orderkey as varchar), 24, '0') as "projectId",
-          case when o_orderkey % 2 = 0 then 'RED|w.dg' when o_orderkey % 5 = 0 then '(' else '' end as val, o_orderkey % 3 <> 0 as by_title
-        from orders where o_orderkey % 13 = 0"""),
+          case when o_orderkey % 7 = 1 then 'RED|w.dg' when o_orderkey % 5 = 0 then 'bad' else '' end as val, o_orderkey % 3 <> 0 as by_title
+        from orders"""),
     "cmd_task_create": ((), """
         select lpad(cast(event_id as varchar), 12, '0') as request_id, lpad(cast(event_id as varchar), 24, '0') as "projectId",
           case when event_id % 9 <> 0 then 'Task ' || event_id end as title, case when event_id % 7 <> 0 then props end as description,
@@ -88,7 +106,7 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
     "cmd_task_update": (("tasks",), """
         select t._id || '-' || n as request_id, case when k % 11 = 0 then 'f' || substr(t._id, 2) else t._id end as "taskId", n,
           case when (k + n) % 5 = 0 then 'null' when (k + n) % 7 = 0 then 'bad' when (k + n) % 3 = 0 then 'title' else 'both' end as kind
-        from tasks t, generate_series(1, k % 3 + 1) s(n) where part % 10 = 0"""),
+        from tasks t, generate_series(1, k % 3 + 1) s(n)"""),
     "patches": (("cmd_task_update", "tasks"), """
         select c.*, t._id, case when kind = 'title' then 'patched ' || n end as set_title, kind in ('null', 'both') as sets_description,
           case when kind = 'both' then 'patched ' || n end as set_description, case when kind = 'both' then timestamp '2024-06-01 12:00:00' end as set_deadline
@@ -97,15 +115,15 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
         select _id, arg_max(set_title, n) filter (where set_title is not null) as title, max(n) filter (where sets_description) as last_description,
           arg_max(coalesce(set_description, ''), n) filter (where sets_description) as description, max(set_deadline) as deadline
         from patches where _id is not null and kind <> 'bad' group by _id"""),
-    "cmd_task_delete": (("tasks",), """select _id || '-1x' as request_id, _id as "taskId" from tasks where part % 15 = 0"""),
+    "cmd_task_delete": (("tasks",), """select _id || '-1x' as request_id, case when part % 15 = 0 then _id else 'e' || substr(_id, 2) end as "taskId" from tasks"""),
     "cmd_comment_create": ((), """
         select lpad(cast(event_id as varchar), 12, '0') as request_id, lpad(cast(user_id as varchar), 24, '0') as user_id,
           case when event_id % 6 = 0 then 'no id' else lpad(cast(event_id as varchar), 24, '0') end as "taskId", case when event_id % 10 = 0 then '' else props end as text
         from events where event_type = 'view'"""),
     "cmd_comment_delete": ((), """
         select 'a' || event_id as request_id, lpad(cast(event_id as varchar), 24, '0') as id, 1 as turn, true as there from events where event_type = 'error'
-        union all select 'b' || event_id, lpad(cast(event_id as varchar), 24, '0'), 2, true from events where event_type = 'error' and event_id % 4 = 0
-        union all select 'c' || event_id, 'f' || lpad(cast(event_id as varchar), 23, '0'), 1, false from events where event_type = 'error' and event_id % 9 = 0"""),
+        union all select 'b' || event_id, case when event_id % 4 = 0 then lpad(cast(event_id as varchar), 24, '0') else 'e' || lpad(cast(event_id as varchar), 23, '0') end, 2, event_id % 4 = 0 from events where event_type = 'error'
+        union all select 'c' || event_id, 'f' || lpad(cast(event_id as varchar), 23, '0'), 1, false from events where event_type = 'error'"""),
 }
 
 
@@ -120,7 +138,7 @@ def _with(frames: tuple[str, ...], body: str) -> str:
 
     for f in frames:
         add(f)
-    return "with " + ",\n".join(f"{n} as ({FRAMES[n][1]})" for n in order) + "\n" + body
+    return "with recursive " + ",\n".join(f"{n} as ({FRAMES[n][1]})" for n in order) + "\n" + body
 
 
 def _judged(frame: str, causes: list[tuple[str, int, int, str]], id: str, done: int = 200, message: str = "null", more: str = "") -> str:
@@ -133,17 +151,17 @@ def _judged(frame: str, causes: list[tuple[str, int, int, str]], id: str, done:
 NEW_ID = "substr(md5(request_id), 1, 24)"
 _COALESCE = lambda a, b: f"coalesce(nullif({a}, ''), {b})"
 _PROJECT_UPDATE = f"""
-select p._id, {_COALESCE('u."newTitle"', 'p."projectTitle"')} as "projectTitle", {_COALESCE('u."newDescription"', 'p.description')} as description, p."user",
-  coalesce(u."newCreatedAt", p."createdAt") as "createdAt", case when u._id is not null then {NOW} else p."updatedAt" end as "updatedAt"
-from projects p left join updated u on u._id = p._id"""
+select _id, coalesce(x.p.t, "projectTitle") as "projectTitle", coalesce(x.p.d, description) as description, "user", coalesce(x.p.c, "createdAt") as "createdAt",
+  case when x.p.u then {NOW} else "updatedAt" end as "updatedAt"
+from projects left join (select unnest(ps) as p from (select arg_max(ps, n) as ps from {{}} group by user_id)) x on x.p.id = _id"""
 _PATCHED = """t._id, coalesce(f.title, t.title) as title, case when f.last_description is not null then nullif(f.description, '') else t.description end as description"""
 
 ORACLE_SQL: dict[str, str] = {
     "task_search": _with(("tasks",), """select _id, title, "projectId", deadline from tasks where regexp_matches(title, 'RED|w.dg', 'i')"""),
     "task_search_batch": _with(("tasks", "cmd_tasks_get"), """
         select c.request_id, t._id, t.title from cmd_tasks_get c join tasks t using ("projectId")
-        where not c.by_title or (c.val <> '(' and (c.val = '' or regexp_matches(t.title, 'RED|w.dg', 'i')))"""),
-    "task_search_outcomes": _with(("cmd_tasks_get",), _judged("cmd_tasks_get", [("by_title and val = '('", 500, 500, "'Error retrieving tasks'")], '"projectId"')),
+        where not c.by_title or (c.val <> 'bad' and (c.val = '' or regexp_matches(t.title, 'RED|w.dg', 'i')))"""),
+    "task_search_outcomes": _with(("cmd_tasks_get",), _judged("cmd_tasks_get", [("by_title and val = 'bad'", 500, 500, "'Error retrieving tasks'")], '"projectId"')),
     "tasks_by_project": _with(("tasks", "cmd_project_delete"), """select c.request_id, t._id, t."projectId" from cmd_project_delete c join tasks t on t."projectId" = c.id"""),
     "project_dto": _with(("projects",), 'select _id, "projectTitle" as title, description from projects'),
     "validate_register": _with(("cmd_register",), """
@@ -181,7 +199,8 @@ ORACLE_SQL: dict[str, str] = {
           select *, max(login) over (partition by user_id order by ts, request_id rows between unbounded preceding and 1 preceding) as login_ts from (
             select request_id, ts, user_id, cast(null as timestamp) as login from requests union all select request_id, ts, user_id, ts from logins))
         where login is null"""),
-    "token_upsert": _with(("tokens",), "select * from tokens"),
+    "token_upsert": _with(("tokens", "stored_tokens"), """
+        select * from tokens union all select * from stored_tokens where "userId" not in (select "userId" from tokens)"""),
     "logout_outcomes": _with(("logged_out",), _judged("logged_out", [
         ("coalesce(\"refreshToken\", '') = ''", 400, 500, "'Logout failed'"), ("not stored or turn > 1", 400, 500, "'Logout failed'")], "cast(null as varchar)", message="'Logout successful'")),
     "logout_tokens": _with(("cmd_logout", "tokens"), """select * from tokens t where not exists (select 1 from cmd_logout c where c."refreshToken" = t."refreshToken")"""),
@@ -190,11 +209,14 @@ ORACLE_SQL: dict[str, str] = {
         select request_id, "refreshToken", case when ok then "userId" end as "userId", ok as valid from (
           select c.request_id, c."refreshToken", t."userId", coalesce(c.ts >= issued_at and c.ts < issued_at + interval 30 day, false) as ok
           from cmd_logout c left join tokens t using ("refreshToken"))"""),
-    **{name: _with(("session_events",), f"""
-        select user_id as "userId", "refreshToken", ts as issued_at from (
-          select *, row_number() over (partition by user_id order by ts desc, request_id desc) as turn from session_events where action = 'login') l
-        where turn = 1 {age} and not exists (select 1 from session_events o where o.action = 'logout' and o."refreshToken" = l."refreshToken" and (o.ts, o.request_id) >= (l.ts, l.request_id))""")
-       for name, age in (("session_replay", ""), ("session_replay_expired", f"and ts + interval 30 day > {NOW}"))},
+    **{name: _with(("session_events", "stored_tokens"), f"""
+        select * from (
+          select user_id as "userId", "refreshToken", ts as issued_at from (
+            select *, row_number() over (partition by user_id order by ts desc, request_id desc) as turn from session_events where action = 'login') l
+          where turn = 1 and not exists (select 1 from session_events o where o.action = 'logout' and o."refreshToken" = l."refreshToken" and (o.ts, o.request_id) >= (l.ts, l.request_id))
+          union all select * from stored_tokens where "userId" not in (select user_id from session_events where action = 'login'))
+        {age}""")
+       for name, age in (("session_replay", ""), ("session_replay_expired", f"where issued_at + interval 30 day > {NOW}"))},
     "project_create": _with(("projects", "cmd_project_create"), f"""
         select * from projects union all
         select {NEW_ID}, title, description, user_id, {NOW}, {NOW} from cmd_project_create where title <> '' and description <> ''"""),
@@ -203,8 +225,9 @@ ORACLE_SQL: dict[str, str] = {
     "project_get": _with(("projects", "cmd_project_delete"), _judged(
         """(select c.request_id, c.id as wanted, p._id, p."projectTitle" as title, p.description from cmd_project_delete c left join projects p on p._id = c.id)""",
         [("_id is null", 400, 500, "'Error fetching project'")], "wanted", more=", title, description")),
-    "project_update": _with(("updated", "projects"), _PROJECT_UPDATE),
-    "project_update_outcomes": _with(("updated",), _judged("updated", [("_id is null", 400, 500, "'Error updating project: Project not found'")], "_id")),
+    **{f"{name}{part}": _with((frame, "projects"), body) for name, frame in (("project_update", "updated"), ("project_rename_chain", "chained")) for part, body in (
+        ("", _PROJECT_UPDATE.format(frame)),
+        ("_outcomes", _judged(f"(select request_id, hit from {frame} where n > 0)", [("hit is null", 400, 500, "'Error updating project: Project not found'")], "hit")))},
     "project_delete": _with(("projects", "cmd_project_delete"), "select * from projects where _id not in (select id from cmd_project_delete)"),
     "project_delete_outcomes": _with(("projects", "cmd_project_delete"), _judged(
         "(select c.request_id, c.id as wanted, p._id, row_number() over (partition by c.id order by c.request_id) as turn from cmd_project_delete c left join projects p on p._id = c.id)",
@@ -225,9 +248,9 @@ ORACLE_SQL: dict[str, str] = {
           case when ok then coalesce(last_value(set_deadline ignore nulls) over w, t.deadline) end as deadline
         from patches p left join tasks t on t._id = p._id, lateral (select p._id is not null and p.kind <> 'bad' as ok)
         window w as (partition by "taskId" order by n rows between unbounded preceding and current row)"""),
-    "task_delete": _with(("cmd_task_delete", "tasks"), """
-        select c.request_id, cast(null as integer) as cause_status, cast(200 as integer) as status, cast(null as varchar) as message, t._id as id, t.title, t."projectId"
-        from cmd_task_delete c join tasks t on t._id = c."taskId\""""),
+    "task_delete": _with(("cmd_task_delete", "tasks"), _judged(
+        """(select c.request_id, t._id, t.title, t."projectId" from cmd_task_delete c left join tasks t on t._id = c."taskId")""",
+        [("_id is null", 400, 500, "'Error deleting task: Task not found'")], "_id", more=', title, "projectId"')),
     "task_patch_delete": _with(("folded", "tasks", "cmd_task_delete"), f"""
         select {_PATCHED}, coalesce(f.deadline, t.deadline) as deadline from tasks t left join folded f on f._id = t._id where t._id not in (select "taskId" from cmd_task_delete)"""),
     "comment_create": _with(("comments", "cmd_comment_create"), f"""
@@ -236,9 +259,19 @@ ORACLE_SQL: dict[str, str] = {
     "comment_create_outcomes": _with(("cmd_comment_create",), _judged("cmd_comment_create", [
         ("\"taskId\" = 'no id'", 400, 400, "'Invalid task ID'"), ("text = ''", 400, 400, "'Comment content is required'")], NEW_ID)),
     "comment_delete": _with(("cmd_comment_delete",), _judged("(select request_id, id as wanted, turn, there from cmd_comment_delete)", [("not there or turn > 1", 404, 500, "'Error deleting comment'")], "wanted")),
-    "resolve_refs": _with(("comments", "users", "projects"), """
-        select c._id, c."userId", u.username, cast(null as varchar) as task_title, p."projectTitle" as project_title
-        from comments c left join users u on u._id = c."userId" left join projects p on p._id = c."projectId\""""),
+    "comment_delete_state": _with(("comments", "cmd_comment_delete"), "select * from comments where _id not in (select id from cmd_comment_delete)"),
+    "error_outcomes": """
+        select lpad(cast(event_id as varchar), 12, '0') as request_id, cast(case when event_id % 7 > 4 then 500 else [400, 401, 403, 404, 500][event_id % 7 + 1] end as integer) as status,
+          case when event_id % 7 > 4 then 'Server error' when event_id % 7 = 0 or event_id % 2 = 0 then props
+            else ['', 'User is not authorized', 'User is not admin', 'No project was found by requested id', 'Internal server error'][event_id % 7 + 1] end as message from events""",
+    "request_bodies": _with(("cmd_register",), """
+        select case when not cut then request_id end as request_id, case when not cut then email end as email, case when not cut then username end as username, case when not cut then password end as password,
+          case when cut then substr('{"request_id":"' || request_id || '"', 1, 20) end as broken
+        from (select *, cast(request_id as bigint) % 11 = 0 as cut from cmd_register)"""),
+    "read_users": _with(("users",), "select _id, username, email, password, cast(null as varchar) as token, cast(0 as bigint) as n_projects from users"),
+    "resolve_refs": _with(("comments", "users", "projects", "tasks"), """
+        select c._id, c."userId", u.username, t.title as task_title, p."projectTitle" as project_title
+        from comments c left join users u on u._id = c."userId" left join projects p on p._id = c."projectId" left join tasks t on t._id = c."taskId\""""),
     "orphan_tasks": _with(("tasks", "cmd_project_delete", "projects"), """
         select _id, "projectId" from tasks where "projectId" not in (select _id from projects where _id not in (select id from cmd_project_delete))"""),
     "responses": _with(("projects", "cmd_project_delete"), """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import comments, projects, refs, rules, sessions, tasks, users
-from ..sources.tables import to_responses
+from ..operators import comments, outcomes, projects, refs, rules, sessions, tasks, users
+from ..sources.tables import read_collection, read_requests, shared_folder, to_responses
 from .adapters import Workspace
 
 AS_OF = "2024-02-10 00:00:00"
@@ -16,8 +18,12 @@ def _now():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def _short(outcomes: DataFrame, *more: str) -> DataFrame:
-    return outcomes.select("request_id", "cause_status", "status", "message", "id", *more)
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex[:12]}"
+
+
+def _short(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("request_id", "cause_status", "status", "message", "id", *more)
 
 
 def task_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +117,9 @@ def authorize_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Workspace(spark, sf_dir).tokens()
+    """The tokens stored for customers, overwritten by those of logins."""
+    w = Workspace(spark, sf_dir)
+    return sessions.save_tokens(w.stored_tokens(), w.token_saves())
 
 
 def logout_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,15 +144,13 @@ def refresh_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    none = spark.createDataFrame([], "userId string, refreshToken string, issued_at timestamp_ntz")
-    return sessions.replay_sessions(none, w.session_events())
+    return sessions.replay_sessions(w.stored_tokens(), w.session_events())
 
 
 def session_replay_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, as of the middle of the events' time, without tokens older than 30 days."""
     w = Workspace(spark, sf_dir)
-    none = spark.createDataFrame([], "userId string, refreshToken string, issued_at timestamp_ntz")
-    return sessions.replay_sessions(none, w.session_events(), as_of=_now())
+    return sessions.replay_sessions(w.stored_tokens(), w.session_events(), as_of=_now())
 
 
 def project_create(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +183,11 @@ def project_rename_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.update_projects(w.projects(), w.cmd_rename_chain(), _now()).state
 
 
+def project_rename_chain_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Workspace(spark, sf_dir)
+    return _short(projects.update_projects(w.projects(), w.cmd_rename_chain(), _now()).outcomes)
+
+
 def project_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
     return projects.delete_projects(w.projects(), w.cmd_project_delete()).state
@@ -234,6 +245,36 @@ def comment_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(comments.delete_comments(w.comments(), w.cmd_comment_delete()).outcomes)
 
 
+def comment_delete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Workspace(spark, sf_dir)
+    return comments.delete_comments(w.comments(), w.cmd_comment_delete()).state
+
+
+def error_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clients get for errors of known and of other kinds."""
+    rows = Workspace(spark, sf_dir).errors()
+    status, message = outcomes.error_outcome(F.col("status"), F.col("message"))
+    return rows.select("request_id", status.alias("status"), message.alias("message"))
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of registrations, written as lines of JSON, some of them cut off, and parsed again under the declared schema."""
+    w = Workspace(spark, sf_dir)
+    folder = _new_folder(spark)
+    body = F.to_json(F.struct("request_id", F.col("email"), F.col("password"), F.col("username"), F.lit("dropped").alias("other")))
+    cut = F.col("request_id").cast("long") % 11 == 0
+    w.cmd_register().select(F.when(cut, F.substring(body, 1, 20)).otherwise(body).alias("value")).write.text(f"{folder}/bodies")
+    rows = read_requests(spark, f"{folder}/bodies", "register")
+    return rows.select("request_id", "email", "username", "password", F.col("_corrupt_record").alias("broken"))
+
+
+def read_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection at rest, read under its declared schema."""
+    folder = _new_folder(spark)
+    Workspace(spark, sf_dir).users().drop("token").write.parquet(f"{folder}/users")
+    return read_collection(spark, "users", f"{folder}/users").select("_id", "username", "email", "password", "token", F.size("projects").cast("long").alias("n_projects"))
+
+
 def resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
     return refs.resolve_refs(w.comments(), w.users(), w.tasks(), w.projects()).select("_id", "userId", "username", "task_title", "project_title")
@@ -254,17 +295,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def authorize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The authorised requests as the stream job finds them, from the events read as a stream."""
-    import uuid
-
     from ..functions.scalars import ACCESS_MINUTES
-    from ..sources.tables import shared_folder
     from ..streaming.jobs import authorize_stream as job
 
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(_stream_folder(sf_dir))
     at = F.col("ts").cast("timestamp")
     requests = events.where(F.col("event_type").isin("view", "purchase")).select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"), at.alias("ts"), "user_id")
     logins = events.where("event_type = 'click'").select("user_id", at.alias("ts"))
-    folder = f"{shared_folder(spark)}/brindle-stream-{uuid.uuid4().hex[:12]}"
+    folder = _new_folder(spark)
     passes = job(requests, logins, delay=f"{ACCESS_MINUTES} minutes")
     passes.writeStream.format("parquet").option("path", f"{folder}/passes").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(passes.schema).parquet(f"{folder}/passes").select("request_id", F.lpad(F.col("user_id").cast("string"), 24, "0").alias("user_id"))
@@ -272,14 +310,12 @@ def authorize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users after the registrations have come in as a stream, through the job of register_users."""
-    import uuid
-
-    from ..sources.tables import read_snapshot, shared_folder, write_snapshot
+    from ..sources.tables import read_snapshot, write_snapshot
     from ..streaming.jobs import run_stream
 
     w = Workspace(spark, sf_dir)
     before = w.users_before()
-    folder = f"{shared_folder(spark)}/brindle-stream-{uuid.uuid4().hex[:12]}"
+    folder = _new_folder(spark)
     write_snapshot(before, f"{folder}/state", 0)
     events = spark.readStream.schema(w.table("events").schema).parquet(_stream_folder(sf_dir))
 
@@ -302,8 +338,8 @@ QUERIES = {
         task_search, task_search_batch, task_search_outcomes, tasks_by_project, project_dto, validate_register, validate_tasks, conform_tasks,
         register_outcomes, register_users, register_tokens, login_outcomes, user_dto_projects, update_email, update_email_outcomes,
         authorize, authorize_asof, token_upsert, logout_outcomes, logout_tokens, find_tokens, refresh_valid, session_replay, session_replay_expired,
-        project_create, project_create_outcomes, project_get, project_update, project_update_outcomes, project_rename_chain, project_delete, project_delete_outcomes,
+        project_create, project_create_outcomes, project_get, project_update, project_update_outcomes, project_rename_chain, project_rename_chain_outcomes, project_delete, project_delete_outcomes,
         task_create, task_create_outcomes, task_patch, task_patch_outcomes, task_delete, task_patch_delete,
-        comment_create, comment_create_outcomes, comment_delete, resolve_refs, orphan_tasks, responses, authorize_stream, register_stream,
+        comment_create, comment_create_outcomes, comment_delete, comment_delete_state, resolve_refs, orphan_tasks, responses, error_outcomes, request_bodies, read_users, authorize_stream, register_stream,
     )
 }

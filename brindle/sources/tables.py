@@ -54,6 +54,25 @@ def write_snapshot(df: DataFrame, path: str, version: int, partition_by: list[st
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/v={version}")
 
 
+def drop_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the latest `keep` complete versions."""
+    for v in versions(spark, path)[: -keep or None]:
+        store, done = _version_path(spark, path, v)
+        store.delete(done.getParent(), True)
+
+
+def version_of(spark: SparkSession, path: str, batch: str) -> int:
+    """The version that a batch has in a state folder: one of its own, noted before anything is written under it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_batches")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    noted = dict(s.getPath().getName().rsplit("=", 1) for s in store.listStatus(root)) if store.exists(root) else {}
+    if batch not in noted:
+        known = [*versions(spark, path), *(int(v) for v in noted.values())]
+        noted[batch] = str(max(known, default=0) + 1)
+        store.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(root, f"{batch}={noted[batch]}"))
+    return int(noted[batch])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one where that is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,24 +10,32 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import ACCESS_MINUTES
-from ..sources.tables import has_version, read_snapshot, write_snapshot
+from ..sources.tables import drop_versions, has_version, read_snapshot, version_of, versions, write_snapshot
 
 Apply = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def run_stream(source: DataFrame, apply: Apply, state_path: str, state_schema: T.StructType, outcomes_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def run_stream(source: DataFrame, apply: Apply, state_path: str, state_schema: T.StructType, outcomes_path: str, checkpoint: str, available_now: bool = True, keep: int | None = None) -> StreamingQuery:
     """Run each micro-batch of commands through apply(state, commands) -> (new state, outcomes).
 
-    The state after batch n is snapshot version n + 1, the outcomes are written beside it.  A
-    replayed batch whose snapshot is complete is skipped, so each batch counts once."""
+    A batch is known by its stream (which the checkpoint names) and number; it has a snapshot
+    version of its own, noted before it is written, and its outcomes are written beside it.  A
+    replayed batch whose snapshot is complete is skipped and one that is not is written anew on
+    the version before, so each batch counts once; a stream with a new checkpoint goes on from
+    the state that is there.  With `keep`, so many of the latest versions stay."""
 
     def step(cmd: DataFrame, batch_id: int) -> None:
         spark = cmd.sparkSession
-        if has_version(spark, state_path, batch_id + 1):
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        version = version_of(spark, state_path, f"{stream}-{batch_id}")
+        if has_version(spark, state_path, version):
             return
-        state, out = apply(read_snapshot(spark, state_path, state_schema, batch_id if has_version(spark, state_path, batch_id) else None), cmd)
-        write_snapshot(out, outcomes_path, batch_id + 1)
-        write_snapshot(state, state_path, batch_id + 1)
+        before = max((v for v in versions(spark, state_path) if v < version), default=None)
+        state, out = apply(spark.createDataFrame([], state_schema) if before is None else read_snapshot(spark, state_path, state_schema, before), cmd)
+        write_snapshot(out, outcomes_path, version)
+        write_snapshot(state, state_path, version)
+        if keep:
+            drop_versions(spark, state_path, max(keep, 1))
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

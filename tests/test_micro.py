@@ -187,7 +187,7 @@ def _tasks(spark):
 def test_search_tasks(spark):
     t = _tasks(spark)
     cmd = spark.createDataFrame(
-        [("1", oid(90), "RING", "title"), ("2", oid(90), "", "title"), ("3", oid(90), "(", "title"), ("4", oid(90), "zzz", "other"), ("5", oid(90), "ÄRGER", "title"), ("6", oid(90), "(", None), ("7", oid(90), "a|b)(", "title"), ("8", oid(90), "x++", "title")],
+        [("1", oid(90), "RING", "title"), ("2", oid(90), "", "title"), ("3", oid(90), "(", "title"), ("4", oid(90), "zzz", "other"), ("5", oid(90), "ÄRGER", "title"), ("6", oid(90), "(", None), ("7", oid(90), "a|b)(", "title"), ("8", oid(90), "x++", "title"), *((f"j{k}", oid(90), p, "title") for k, p in enumerate(("{", "x{1", "a{,3}", "\\U0001F600", "[", "\\", "(?<n>a)")))],
         "request_id string, projectId string, val string, searchType string",
     )
     found, out = tasks.search_tasks_batch(t, cmd)
@@ -195,7 +195,7 @@ def test_search_tasks(spark):
     for r in found.collect():
         got.setdefault(r.request_id, set()).add(int(r._id, 16))
     assert got == {"1": {1}, "2": {1, 2}, "4": {1, 2, 3}, "5": {2}, "6": {1, 2, 3}}
-    assert {k for k, s in by_request(out, "status").items() if s == 500} == {"3", "7", "8"}
+    assert {k for k, s in by_request(out, "status").items() if s == 500} == {"3", "7", "8", *(f"j{k}" for k in range(7))}
     assert {int(r._id, 16) for r in tasks.search_tasks(t, oid(90), "är", "title").collect()} == {2}
     assert tasks.search_tasks(t, oid(91), "nothing", "").count() == 1
 
@@ -263,3 +263,24 @@ def test_empty_tables(spark):
     assert projects.update_projects(p, spark.createDataFrame([], UPDATE), now()).state.count() == 0
     state, out, after = tasks.change_tasks(t, spark.createDataFrame([], PATCH))
     assert state.count() == out.count() == after.count() == 0
+
+
+def test_no_pattern_ends_the_job(spark):
+    import random
+
+    rng = random.Random(3)
+    patterns = ["".join(rng.choice("ab(){}[]|*+?\\.^$,1-&:<>=!pUQE# ") for _ in range(rng.randint(1, 7))) for _ in range(1500)]
+    cmd = spark.createDataFrame([(str(k), oid(90), p, "title") for k, p in enumerate(patterns)], "request_id string, projectId string, val string, searchType string")
+    found, out = tasks.search_tasks_batch(_tasks(spark), cmd)
+    status = by_request(out, "status")
+    assert len(status) == 1500 and set(status.values()) == {200, 500} and found.count() > 0
+    assert {r.request_id for r in found.collect()} <= {k for k, s in status.items() if s == 200}
+
+
+def test_errors_of_other_kinds(spark):
+    from brindle.operators.outcomes import error_outcome
+
+    rows = [("1", 400, "said"), ("2", 401, None), ("3", 403, "no"), ("4", 404, None), ("5", 500, None), ("6", 418, "tea"), ("7", None, "what")]
+    df = spark.createDataFrame(rows, "request_id string, status int, message string")
+    status, message = error_outcome(F.col("status"), F.col("message"))
+    assert by_request(df.select("request_id", status.alias("s"), message.alias("m")), "s", "m") == {"1": (400, "said"), "2": (401, "User is not authorized"), "3": (403, "no"), "4": (404, "No project was found by requested id"), "5": (500, "Internal server error"), "6": (500, "Server error"), "7": (500, "Server error")}

@@ -72,3 +72,21 @@ def test_authorize_stream(spark, tmp_path):
     q = authorize_stream(r, login, "1 day").writeStream.format("memory").queryName("passes").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {x.request_id for x in spark.table("passes").collect()} == {"1", "2"}
+
+
+def test_a_new_checkpoint_goes_on_from_the_state(spark, tmp_path):
+    schema = "request_id string, ts timestamp, email string, username string, password string"
+
+    def apply(state, cmd):
+        done = register(state, cmd)
+        return done.users, done.outcomes
+
+    for k in range(2):
+        rows = [(f"{k}{i}", dt.datetime(2024, 1, 1, k, i), f"e{k}{i}@x.io", "u", "secret1") for i in range(3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{k}"))
+        run_stream(source, apply, str(tmp_path / "state"), COLLECTIONS["users"], str(tmp_path / "out"), str(tmp_path / f"check{k}"), keep=1).awaitTermination()
+    assert tables.read_snapshot(spark, str(tmp_path / "state"), COLLECTIONS["users"]).count() == 6
+    assert tables.versions(spark, str(tmp_path / "state")) == [2] and spark.read.parquet(str(tmp_path / "out")).count() == 6
+    # a batch that was noted, but whose snapshot is not complete, is written anew under its version
+    assert tables.version_of(spark, str(tmp_path / "state"), "s-7") == 3 == tables.version_of(spark, str(tmp_path / "state"), "s-7")
