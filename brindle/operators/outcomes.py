@@ -73,16 +73,17 @@ def judged(cmd: DataFrame, action: str, causes: list[Cause], done: int = 200, do
     return cmd.withColumn("_verdict", verdict).select(*cmd.columns, "_verdict.*")
 
 
-def outcomes(judged_rows: DataFrame, action: str, id: Column | None = None) -> DataFrame:
-    """One row per command: request_id, action, cause_status, status, message, errors and id."""
+def outcomes(judged_rows: DataFrame, action: str | Column, id: Column | None = None, *more: Column) -> DataFrame:
+    """One row per command: request_id, action, cause_status, status, message, errors and id (and more columns)."""
     failed = F.col("cause_status").isNotNull()
     errors = F.col("violations") if "violations" in judged_rows.columns else F.array().cast("array<struct<field:string,message:string>>")
     return judged_rows.select(
         "request_id",
-        F.lit(action).alias("action"),
+        (F.lit(action) if isinstance(action, str) else action).alias("action"),
         "cause_status",
         "status",
         "message",
         errors.alias("errors"),
         F.when(~failed, id if id is not None else F.lit(None).cast("string")).alias("id"),
+        *more,
     )

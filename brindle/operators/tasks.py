@@ -88,11 +88,8 @@ def _value(tasks: DataFrame, field: str) -> Column:
     return F.try_to_timestamp(raw).cast(kind) if kind.startswith("timestamp") else raw.cast(kind)
 
 
-def change_tasks(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None = None, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Patches (taskId, updatedData) and deletes (taskId) in order: what comes after the first delete of an id finds nothing.
-
-    Returns the new state, the outcomes of both kinds, and the row after each patch (before each delete).
-    Patches fold by a last value per field, where an explicit null is a value."""
+def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, enforce: bool, id_format: str) -> tuple[DataFrame, DataFrame]:
+    """The state after patches and deletes, and the judged commands with the task after each patch (before each delete)."""
     same = ["request_id", "ts", "taskId"]
     cmd = patches.select(*same, "updatedData", F.lit("task_update").alias("kind"))
     if deletes is not None:
@@ -104,37 +101,38 @@ def change_tasks(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None
     cmd = cmd.withColumn("bad_date", bad)
     ends = cmd.where("kind = 'task_delete' and rejected is null").groupBy("taskId").agg(F.min(order()).alias("end"))
     old = tasks.select(F.col("_id").alias("taskId"), F.struct(*(F.col(f) for f in FIELDS)).alias("old"))
-    cmd = cmd.join(ends, "taskId", "left").join(old, "taskId", "left")
+    cmd = (cmd.join(ends, "taskId", "left") if deletes is not None else cmd.withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))).join(old, "taskId", "left")
     live = F.col("rejected").isNull() & F.col("old").isNotNull() & (F.col("end").isNull() | (order() <= F.col("end")))
     patch = live & (F.col("kind") == "task_update") & ~F.col("bad_date")
     cmd = cmd.withColumns({"live": live, **{f"_{f}": F.when(patch & has[f], F.struct(_value(tasks, f).alias("v"))) for f in FIELDS}})
+    last = cmd.where("live and kind = 'task_update'").groupBy(F.col("taskId").alias("_id")).agg(*(F.max_by(f"_{f}", F.when(F.col(f"_{f}").isNotNull(), order())).alias(f"_{f}") for f in FIELDS))
+    state = tasks if deletes is None else tasks.join(ends.select(F.col("taskId").alias("_id")), "_id", "left_anti")
+    state = state.join(last, "_id", "left").select("_id", *(F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)).alias(f) for f in FIELDS))
     upto = Window.partitionBy("taskId").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
     cmd = cmd.withColumns({f"_{f}": F.last(f"_{f}", ignorenulls=True).over(upto) for f in FIELDS})
-    now = lambda f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f"old.{f}")).alias(f)
-    out, after = None, []
-    for kind in ("task_update", "task_delete"):
-        rows = judged(
-            cmd.where(F.col("kind") == kind),
-            kind,
-            [
-                Cause(F.col("rejected").isNotNull(), 400, F.col("rejected"), edge=True),
-                Cause(~F.col("live"), 400, "Task not found"),
-                Cause(F.col("bad_date"), 500, "Invalid date"),
-            ],
-        )
-        some = outcomes(rows, kind, F.col("taskId"))
-        out = some if out is None else out.unionByName(some)
-        after.append(rows.where("cause_status is null").select("request_id", F.col("taskId").alias("_id"), *(now(f) for f in FIELDS)))
-    last = cmd.where("live and kind = 'task_update'").groupBy(F.col("taskId").alias("_id")).agg(*(F.max_by(f"_{f}", order()).alias(f"_{f}") for f in FIELDS))
-    state = tasks.join(ends.select(F.col("taskId").alias("_id")), "_id", "left_anti").join(last, "_id", "left")
-    state = state.select("_id", *(F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)).alias(f) for f in FIELDS))
-    return state, out, after[0].unionByName(after[1])
-
-
-def patch_tasks(tasks: DataFrame, cmd: DataFrame, **how) -> Changed:
-    """Partial updates by id: keys that are there are set (a null too), unknown ones dropped."""
-    state, out, after = change_tasks(tasks, cmd, **how)
-    return Changed(state, out.join(after.select("request_id", *FIELDS), "request_id", "left"))
+    causes = [
+        Cause(F.col("rejected").isNotNull(), 400, F.col("rejected"), edge=True),
+        Cause(~F.col("live"), 400, "Task not found"),
+        Cause(F.col("bad_date"), 500, "Invalid date"),
+    ]
+    rows = judged(cmd, "task_update", causes).withColumn("_said", F.col("message")).drop("cause_status", "status", "message")
+    rows = judged(rows, "task_delete", causes).withColumn("message", F.when(F.col("kind") == "task_update", F.col("_said")).otherwise(F.col("message")))  # the statuses are the same
+    now = lambda f: F.when(F.col("cause_status").isNull(), F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f"old.{f}"))).alias(f)
+    return state, outcomes(rows, F.col("kind"), F.col("taskId"), *(now(f) for f in FIELDS))
+
+
+def change_tasks(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None = None, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patches (taskId, updatedData) and deletes (taskId) in order: what comes after the first delete of an id finds nothing.
+
+    Returns the new state, the outcomes of both kinds, and the row after each patch (before each delete).
+    Patches fold by a last value per field, where an explicit null is a value."""
+    state, rows = _changed(tasks, patches, deletes, enforce, id_format)
+    return state, rows.drop(*FIELDS), rows.where("cause_status is null").select("request_id", F.col("id").alias("_id"), *FIELDS)
+
+
+def patch_tasks(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> Changed:
+    """Partial updates by id: keys that are there are set (a null too), unknown ones dropped. Outcomes have the task after the patch."""
+    return Changed(*_changed(tasks, cmd, None, enforce, id_format))
 
 
 def delete_tasks(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> Changed:
