@@ -43,15 +43,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return found.getField("rule"), found.getField("verdict")
 
 
-def _grams(text: Column, n: int, mark: str) -> Column:
-    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
-    return F.transform(starts, lambda i: F.concat(F.lit(mark), *(F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n))))
+def _grams(text: Column, sizes: tuple[int, ...], mark: str) -> Column:
+    def run(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), *(F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n))))
+
+    # the text is split once: within the inner lambdas `chars` is a variable, not the split, which would be done again for each character
+    chars = F.array(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""))
+    return F.get(F.transform(chars, lambda c: F.concat(*(run(c, n) for n in sizes))), F.lit(0))
 
 
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """Character n-grams of host and path, each marked with where it is from."""
-    return F.concat(*(_grams(text, n, mark) for mark, text in (("h", host), ("p", path)) for n in sizes))
+    return F.concat(*(_grams(text, sizes, mark) for mark, text in (("h", host), ("p", path))))
 
 
 def _features(urls: DataFrame, bins: int) -> DataFrame:

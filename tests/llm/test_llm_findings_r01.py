@@ -343,6 +343,17 @@ def test_repeated_and_long_urls(spark):
     assert len(out) == 6 and {r.verdict for r in out[:3]} == {out[0].verdict} and next(r for r in out if r.page_id == 3).rule == "com/de/"
 
 
+def test_grams_of_hosts_and_paths(spark):
+    def grams(mark, text):
+        text = f"^{text}$"
+        return [mark + text[i : i + n] for n in (2, 3, 4) for i in range(max(len(text) - n + 1, 1))]
+
+    rows = [("a.org", "/x"), ("", ""), ("é", "/" + "ab" * 3_000)]
+    urls = spark.createDataFrame(rows, "host string, path string")
+    got = urls.select("host", "path", url_filter.grams(F.col("host"), F.col("path")).alias("g")).collect()
+    assert {(r.host, r.path): r.g for r in got} == {(h, p): grams("h", h) + grams("p", p) for h, p in rows}
+
+
 def test_records_query(spark, sf):
     from tokenizers import Tokenizer
 
