@@ -168,5 +168,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup)}
+def op11_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeat_intervals import remove_repeats
+
+    out = remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup, op11_repeat_intervals)}
 ORACLE_SQL: dict[str, str] = {"op1_quotation_links": OP1_SQL, "op3_token_counts": OP3_SQL}
