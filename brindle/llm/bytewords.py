@@ -125,6 +125,24 @@ def find_words(t: Texts, table: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, t.offset))
 
 
+def unicode_space(buf: np.ndarray) -> np.ndarray:
+    """Flags of the bytes of white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000."""
+    out = np.zeros(len(buf), bool)
+    high = np.flatnonzero(buf >= 0xC2)
+    one, two = (np.r_[buf, 0, 0][high + k] for k in (1, 2))
+    lead = buf[high]
+    pair = high[(lead == 0xC2) & ((one == 0x85) | (one == 0xA0))]
+    spaces = (lead == 0xE1) & (one == 0x9A) & (two == 0x80)
+    spaces |= (lead == 0xE2) & (one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))
+    spaces |= (lead == 0xE2) & (one == 0x81) & (two == 0x9F)
+    spaces |= (lead == 0xE3) & (one == 0x80) & (two == 0x80)
+    triple = high[spaces]
+    for at, size in ((pair, 2), (triple, 3)):
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of buf[start:end]."""
     size = np.asarray(end - start)

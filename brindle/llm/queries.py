@@ -175,5 +175,11 @@ def op11_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup, op11_repeat_intervals)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    from .token_alignment import align
+
+    return align(spark, table(spark, sf_dir, "documents"), a_path or tokenizer("byte_bpe_50k.json"), b_path or tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup, op11_repeat_intervals, op12_token_alignment)}
 ORACLE_SQL: dict[str, str] = {"op1_quotation_links": OP1_SQL, "op3_token_counts": OP3_SQL}
