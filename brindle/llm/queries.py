@@ -181,5 +181,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None =
     return align(spark, table(spark, sf_dir, "documents"), a_path or tokenizer("byte_bpe_50k.json"), b_path or tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup, op11_repeat_intervals, op12_token_alignment)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_url_filter, op6_token_records, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_near_dedup, op11_repeat_intervals, op12_token_alignment, op13_collocations)}
 ORACLE_SQL: dict[str, str] = {"op1_quotation_links": OP1_SQL, "op3_token_counts": OP3_SQL}
