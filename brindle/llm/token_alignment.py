@@ -3,8 +3,8 @@
 Texts are cut before each space that follows a character other than white space: both
 tokenizers begin a token there, so a chunk's alignment is the same wherever it occurs and
 is found once per worker (within a bound).  In a chunk the shorter list of token ends
-drives an exponential and then binary (galloping) search into the longer one; the common
-ends cut the tokens into groups.  In a group the ranks of the ends that lie around a
+drives an exponential and then binary (galloping) search into the longer one, many chunks
+in step; the common ends cut the tokens into groups.  The ranks of the ends around a
 token's bytes give the range of tokens of the other side that it overlaps: its links.
 
 How many documents hold a pair of ids linked is counted for each piece of text before it
@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,27 +58,39 @@ def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def groups_of(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """The groups between common ends as ranges of ranks: a from, a to, b from, b to."""
-    out, i, j = [], 0, 0
-    for x, y in common_ends(a, b):
-        out.append((i, x + 1, j, y + 1))
-        i, j = x + 1, y + 1
-    return out
+def gallop(short: np.ndarray, s_low, s_high, long: np.ndarray, l_low, l_high) -> tuple[np.ndarray, np.ndarray]:
+    """As common_ends, of many pairs of lists at once: places in short and long that hold equal values.
 
-
-def links_of(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Ranks of the tokens that overlap, of two lists of ends that share the last one."""
-    out = []
-    for i, to_i, j, to_j in groups_of(a, b):
-        if to_i - i == 1 or to_j - j == 1:  # one token on a side overlaps all of the other
-            out += [(x, y) for x in range(i, to_i) for y in range(j, to_j)]
-        else:
-            low = a[i - 1] if i else 0
-            for x in range(i, to_i):
-                out += [(x, y) for y in range(bisect_right(b, low, j, to_j), bisect_left(b, a[x], j, to_j) + 1)]
-                low = a[x]
-    return out
+    List k is short[s_low[k]:s_high[k]] and long[l_low[k]:l_high[k]]; one step of all pairs is taken together, and the last few pairs are finished one by one."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    s, s_high, low, l_high = (np.array(x) for x in (s_low, s_high, l_low, l_high))
+    while True:
+        on = (s < s_high) & (low < l_high)
+        s, s_high, low, l_high = s[on], s_high[on], low[on], l_high[on]
+        if len(s) <= 16:
+            break
+        x, high, step = short[s], low.copy(), np.ones(len(s), np.int64)
+        go = np.flatnonzero(long[high] < x)
+        while len(go):
+            low[go] = high[go] + 1
+            high[go] += step[go]
+            step[go] *= 2
+            go = go[high[go] < l_high[go]]
+            go = go[long[high[go]] < x[go]]
+        high = np.minimum(high, l_high)
+        while len(go := np.flatnonzero(low < high)):
+            mid = (low[go] + high[go]) >> 1
+            less = long[mid] < x[go]
+            low[go[less]], high[go[~less]] = mid[less] + 1, mid[~less]
+        hit = low < l_high
+        hit[hit] = long[low[hit]] == x[hit]
+        found.append((s[hit], low[hit]))
+        low[hit] += 1
+        s = s + 1
+    for a, b, c, d in zip(s.tolist(), s_high.tolist(), low.tolist(), l_high.tolist(), strict=True):
+        pairs = np.array(common_ends(short[a:b].tolist(), long[c:d].tolist()), np.int64).reshape(-1, 2)
+        found.append((pairs[:, 0] + a, pairs[:, 1] + c))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
 def byte_level(token: str) -> bytes:
@@ -97,7 +110,7 @@ def piece_bytes(piece: str) -> bytes:
 class Aligner:
     """Alignments of chunks by hash; forgets all once it holds `most` chunks or 8 times as many links."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 300_000):
+    def __init__(self, a_path: str, b_path: str, texts: bool = True, most: int = 300_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -111,7 +124,10 @@ class Aligner:
             raise ValueError("pieces with a space after another character can't be cut at spaces")
         self.b_bytes = [piece_bytes(p) for p in pieces]
         self.space = self.b.piece_to_id("▁")
-        self.most = most
+        self.a_widths, self.b_widths = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_strings = np.array([[f"{mark}{i}" for i in range(len(self.a_bytes))] for mark in ("", ";", ",")], object)
+        self.b_strings = np.array([[f"{mark}{i}" for i in range(len(self.b_bytes))] for mark in ("", "|", ",")], object)
+        self.most, self.with_texts = most, texts
         self.forget()
 
     def forget(self) -> None:
@@ -121,38 +137,67 @@ class Aligner:
         self.links, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        sizes, links, ends = [], [], []
-        for base in range(0, len(chunks), 4096):
-            some = chunks[base : base + 4096]
-            texts = [c.decode() for c in some]
-            a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)
-            for chunk, a, b in zip(some, a_ids, b_ids, strict=True):
-                b = b or [self.space]  # a space alone
-                x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-                if b"".join(x) != chunk or b"".join(y) != chunk:
-                    sizes.append((0, 0, 0, 0))
-                    self.texts.append("")
-                else:
-                    p, q = _ends(x), _ends(y)
-                    groups = groups_of(p, q)
-                    links += [a[i] << 32 | b[j] for i, j in links_of(p, q)]
-                    sizes.append((len(a), len(b), len(groups), 1))
-                    self.texts.append(";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups))
-                ends.append(len(links))
-        first = len(self.at) - 1
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        self.at = np.r_[self.at, self.at[-1] + np.array(ends)]
-        self.links = np.r_[self.links, np.array(links, np.int64)]
+        first, links, ends = len(self.at) - 1, [self.links], [self.at]
+        for base in range(0, len(chunks), 1 << 15):
+            more, at = self._align(chunks[base : base + (1 << 15)])
+            links.append(more)
+            ends.append(ends[-1][-1] + at)
+        self.links, self.at = np.concatenate(links), np.concatenate(ends)
         hashes, slot = np.r_[self.hashes, hashes], np.r_[self.slot, np.arange(len(chunks)) + first]
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.slot = hashes[order], slot[order]
 
+    def _align(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Add sizes and groups of chunks; their links, and where each chunk's end."""
+        texts = [c.decode() for c in chunks]
+        lists = ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], [x or [self.space] for x in self.b.encode([t[1:] for t in texts], num_threads=1)])  # a space alone has no ids
+        number = [np.array([len(x) for x in side]) for side in lists]
+        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(lists, number, strict=True)]
+        fit = np.ones(len(chunks), bool)
+        for k, (table, widths) in enumerate(((self.a_bytes, self.a_widths), (self.b_bytes, self.b_widths))):
+            width = _sums(widths[ids[k]], np.r_[0, np.cumsum(number[k])])
+            fit &= width == np.array([len(c) for c in chunks])
+            same = np.flatnonzero(fit)
+            raw = [np.frombuffer(b"".join(x), np.uint8) for x in ([chunks[i] for i in same.tolist()], [table[i] for i in ids[k][np.repeat(fit, number[k])].tolist()])]
+            if len(same):
+                fit[same] = np.logical_and.reduceat(raw[0] == raw[1], np.r_[0, np.cumsum(width[same])[:-1]])
+        ids = [x[np.repeat(fit, n)] for x, n in zip(ids, number, strict=True)]
+        number = [n * fit for n in number]
+        at = [np.r_[0, np.cumsum(n)] for n in number]
+        end = [np.cumsum(w[x]) for w, x in zip((self.a_widths, self.b_widths), ids, strict=True)]
+        common = [np.zeros(len(x), bool) for x in ids]
+        shorter = number[0] <= number[1]
+        for x, y, some in ((0, 1, shorter), (1, 0, ~shorter)):
+            i, j = gallop(end[x], at[x][:-1][some], at[x][1:][some], end[y], at[y][:-1][some], at[y][1:][some])
+            common[x][i] = common[y][j] = True
+        if self.with_texts:
+            self.texts += self._groups(ids, number, at, common)
+        self.sizes = np.concatenate([self.sizes, np.stack([*number, _sums(common[0], at[0]), fit.astype(np.int64)], axis=1)])
+        low = np.searchsorted(end[1], end[0] - self.a_widths[ids[0]], "right")  # the ranks of the tokens in which a token's first
+        n = np.searchsorted(end[1], end[0], "left") - low + 1  # and last bytes lie
+        place = np.r_[0, np.cumsum(n)]
+        links = np.repeat(ids[0] << 32, n) | ids[1][np.repeat(low - place[:-1], n) + np.arange(place[-1])]
+        return links, place[at[0][1:]]
+
+    def _groups(self, ids, number, at, common) -> list[str]:
+        """The groups of each chunk, written out."""
+        flat, group = [], []
+        for k, strings in enumerate((self.a_strings, self.b_strings)):
+            opens = np.r_[True, common[k][:-1]] if len(common[k]) else common[k]
+            mark = np.where(opens, 1, 2)
+            if not k:
+                mark[at[k][:-1][number[k] > 0]] = 0
+            flat.append(strings[mark, ids[k]])
+            group.append(2 * (np.cumsum(opens) - 1) + k)
+        flat = np.concatenate(flat)[np.argsort(np.concatenate(group), kind="stable")].tolist()
+        cut = (at[0] + at[1]).tolist()
+        return ["".join(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+
     def slots(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts, one text after another (each with a space before it), and where each text's begin; empty texts have one chunk."""
         plain = texts_of(column)
         t = Texts(np.insert(plain.buf, plain.offset[:-1], 32), plain.offset + np.arange(len(plain.offset)))
-        if len(self.texts) > self.most or len(self.links) > 8 * self.most:
+        if len(self.sizes) > self.most or len(self.links) > 8 * self.most:
             self.forget()
         after = _CUT_AFTER[t.buf] | unicode_space(t.buf)
         cut = np.zeros(len(t.buf), bool)
@@ -178,17 +223,14 @@ class Aligner:
         return self.links[np.repeat(low - place[:-1], n) + np.arange(place[-1])], place
 
 
-def _ends(tokens: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
+@lru_cache(1)
+def aligner(a_path: str, b_path: str, texts: bool = True) -> Aligner:
+    return Aligner(a_path, b_path, texts)
 
 
-@lru_cache(1)
-def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def _sums(values: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -206,18 +248,18 @@ def _pair_counts(a_path: str, b_path: str):
 
     def run(batches):
         for table in in_pieces(batches):
-            found = aligner(a_path, b_path)
+            found = aligner(a_path, b_path, False)
             column = table.column("text")
             slots, first = found.slots(column)
             whole = _whole(found, slots, first, np.diff(texts_of(column).offset))
             doc = np.repeat(np.arange(len(whole)), np.diff(first))
-            number = len(found.texts)
-            once = np.unique((doc * number + slots)[whole[doc]])
+            number = len(found.sizes)
+            once = _distinct((doc * number + slots)[whole[doc]])
             links, place = found.links_in(once % number)
             if not len(links):
                 continue
             which, pairs = pd.factorize(links)
-            both = np.unique(np.repeat(once // number, np.diff(place)) * len(pairs) + which)
+            both = _distinct(np.repeat(once // number, np.diff(place)) * len(pairs) + which)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(both % len(pairs), minlength=len(pairs)).astype(np.int64))], names=["pair", "n"])
 
     return run
@@ -233,7 +275,7 @@ def _rows(a_path: str, b_path: str, head, texts: bool):
             column = table.column("text")
             slots, first = found.slots(column)
             whole = _whole(found, slots, first, np.diff(texts_of(column).offset))
-            some, which = np.unique(slots, return_inverse=True)
+            which, some = pd.factorize(slots)
             links, place = found.links_in(some)
             at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
             known = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("brindle.llm")
@@ -127,6 +128,25 @@ def test_galloping():
         assert alignment.common_ends(a, b) == [(a.index(x), b.index(x)) for x in sorted({*a} & {*b})]
 
 
+def test_galloping_in_step():
+    rng = random.Random(3)
+    short, long, s_at, l_at, low = [], [], [0], [0], 0
+    want = []
+    for k in range(200):
+        size = 400 if k % 50 == 0 else 30
+        values = range(low, low + size)
+        low += size
+        a, b = sorted((sorted(rng.sample(values, rng.randint(0, size))) for _ in range(2)), key=len)
+        want += [(len(short) + i, len(long) + j) for i, j in alignment.common_ends(a, b)]
+        short += a
+        long += b
+        s_at.append(len(short))
+        l_at.append(len(long))
+    s_at, l_at = np.array(s_at), np.array(l_at)
+    i, j = alignment.gallop(np.array(short), s_at[:-1], s_at[1:], np.array(long), l_at[:-1], l_at[1:])
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 def test_empty(spark):
     assert alignment.align(spark, spark.createDataFrame([], "doc_id long, text string"), tokenizer(A), tokenizer(B)).collect() == []
 
