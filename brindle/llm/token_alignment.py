@@ -36,6 +36,7 @@ from .bytewords import Texts, class_table, hash_spans, in_pieces, texts_of, unic
 from .scratch import Scratch
 
 HEAD = 1 << 21
+_PIECE = 2 << 20  # bytes of text that are looked at together
 _CUT_AFTER = class_table(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string, rest array<long>"
 
@@ -110,7 +111,7 @@ def piece_bytes(piece: str) -> bytes:
 class Aligner:
     """Alignments of chunks by hash; forgets all once it holds `most` chunks or 8 times as many links."""
 
-    def __init__(self, a_path: str, b_path: str, texts: bool = True, most: int = 300_000):
+    def __init__(self, a_path: str, b_path: str, texts: bool = True, most: int = 200_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -138,8 +139,8 @@ class Aligner:
 
     def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         first, links, ends = len(self.at) - 1, [self.links], [self.at]
-        for base in range(0, len(chunks), 1 << 15):
-            more, at = self._align(chunks[base : base + (1 << 15)])
+        for base in range(0, len(chunks), 1 << 13):
+            more, at = self._align(chunks[base : base + (1 << 13)])
             links.append(more)
             ends.append(ends[-1][-1] + at)
         self.links, self.at = np.concatenate(links), np.concatenate(ends)
@@ -247,7 +248,7 @@ def _pair_counts(a_path: str, b_path: str):
     """In how many documents of a piece of text each pair is linked."""
 
     def run(batches):
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=_PIECE):
             found = aligner(a_path, b_path, False)
             column = table.column("text")
             slots, first = found.slots(column)
@@ -270,7 +271,7 @@ def _rows(a_path: str, b_path: str, head, texts: bool):
 
     def run(batches):
         pairs, counts, best = head.value
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=_PIECE):
             found = aligner(a_path, b_path)
             column = table.column("text")
             slots, first = found.slots(column)
