@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import BOUNDED_TITLE, matches, title_matches, ways
 from ..functions.scalars import new_id, order, present, sure
 from ..schemas import COLLECTIONS
 from .outcomes import Cause, judged, outcomes
@@ -23,43 +24,34 @@ def tasks_by_project(tasks: DataFrame, project: str | DataFrame) -> DataFrame:
     return tasks.where(F.col("projectId") == project)
 
 
-def matches(title: Column, pattern: str | Column) -> Column:
-    """Case-insensitive search, for all of Unicode."""
-    if isinstance(pattern, str):
-        return title.rlike(f"(?iu)(?:{pattern})")
-    return F.rlike(title, F.concat(F.lit("(?iu)(?:"), pattern, F.lit(")")))
-
-
 def search_tasks(tasks: DataFrame, project: str, val: str = "", search_type: str = "") -> DataFrame:
     """The tasks of a project; with search_type `title`, those whose title matches val."""
     found = tasks_by_project(tasks, project)
-    return found.where(matches(F.col("title"), val)) if search_type == "title" else found
-
-
-#: Constructs that compile but mean something else, or nothing, in the patterns of clients.
-_DIFFERS = r"\(\?(?![:=!]|<[=!])|\\[pPQEGkhHRXzZAbB<>]|[*+?}]\+|\[[^\]]*(?:&&|\[)"
-
-
-def usable_pattern(pattern: Column) -> Column:
-    """Whether a search pattern compiles where it will run; one that doesn't would end the whole job."""
-    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?iu)(?:"), pattern, F.lit(")")))
-    alone = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
-    return compiled.isNotNull() & alone.isNotNull() & ~F.rlike(pattern, F.lit(_DIFFERS))
+    return found.where(title_matches(F.col("title"), val)) if search_type == "title" else found
 
 
 def search_tasks_batch(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame]:
-    """The tasks that each command finds (with its request_id), and the outcomes."""
+    """The tasks that each command finds (with its request_id), and the outcomes.
+
+    Patterns take the ways of functions/patterns.py, so that none ends a job or its time; a
+    refused one fails its own command alone, and so does one that needs backtracking where
+    the project has a title longer than that way takes."""
     cmd = validate(cmd.withColumns({"val": F.coalesce("val", F.lit("")), "searchType": F.coalesce("searchType", F.lit(""))}), "tasks_get", enforce, id_format)
-    cmd = cmd.withColumn("usable", usable_pattern(F.col("val")))
+    by_title = F.col("searchType") == "title"
+    cmd = cmd.withColumn("_way", ways(F.when(by_title, F.col("val")).otherwise(""))).withColumns({"way": F.col("_way.way"), "form": F.col("_way.form")}).drop("_way")
+    bounded = cmd.where("way = 'bounded'").select("request_id", "projectId")
+    costly = bounded.join(tasks.where(F.length("title") > BOUNDED_TITLE).select("projectId").distinct(), "projectId").select("request_id", F.lit(True).alias("costly"))
     rows = judged(
-        cmd,
+        cmd.join(costly, "request_id", "left"),
         "tasks_get",
-        [Cause(F.col("rejected").isNotNull(), 400, F.col("rejected"), edge=True), Cause((F.col("searchType") == "title") & ~F.col("usable"), 500, "Invalid regular expression")],
+        [
+            Cause(F.col("rejected").isNotNull(), 400, F.col("rejected"), edge=True),
+            Cause(F.col("way").isNull(), 500, "Invalid regular expression"),
+            Cause(sure(F.col("costly")), 500, "Regular expression is too costly"),
+        ],
     )
-    asked = rows.where("cause_status is null").select("request_id", "projectId", "val", "searchType", "usable")
-    by_title = F.col("searchType") == "title"
-    pattern = F.when(by_title & F.col("usable"), F.col("val")).otherwise("")
-    found = asked.join(tasks, "projectId").where(~by_title | sure(matches(F.col("title"), pattern)))
+    asked = rows.where("cause_status is null").select("request_id", "projectId", "searchType", "way", "form")
+    found = asked.join(tasks, "projectId").where(~by_title | sure(matches(F.col("title"), F.col("way"), F.col("form"))))
     return found.select("request_id", *tasks.columns), outcomes(rows, "tasks_get", F.col("projectId"))
 
 

@@ -49,8 +49,9 @@ class Workspace:
         )
 
     def users_before(self) -> DataFrame:
-        """Users that exist before the batch of registrations."""
-        return self.users().where(F.col("_id").cast("long") % 2 == 0)
+        """Users that exist before the batch of registrations; every other one has another e-mail by then."""
+        changed = F.col("_id").cast("long") % 2 == 1
+        return self.users().withColumn("email", F.when(changed, F.concat(F.lit("old."), F.col("email"))).otherwise(F.col("email")))
 
     def projects(self) -> DataFrame:
         return self.table("orders").select(
@@ -75,6 +76,11 @@ class Workspace:
             (ship - F.expr("interval 30 days")).alias("createdAt"),
         )
 
+    def long_tasks(self) -> DataFrame:
+        """The tasks; the first of every 500th order has a title of more than 100,000 characters."""
+        long = (F.substring("projectId", -9, 9).cast("long") % 500 == 3) & (F.substring("_id", 10, 1) == "1")
+        return self.tasks().withColumn("title", F.when(long, F.repeat(F.concat("title", F.lit(" ab")), F.lit(10_000))).otherwise(F.col("title")))
+
     def comments(self) -> DataFrame:
         """From events; those whose number is an order's are about its first task."""
         e = self.table("events").select("event_id", "props", "ts", "user_id")
@@ -200,11 +206,14 @@ class Workspace:
         return rows.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
 
     def cmd_tasks_get(self) -> DataFrame:
-        """A search in the project of each order: by title, with a pattern that doesn't compile, or without a search type."""
+        """A search in the project of each order: by title, with a pattern that repeats groups or names them, that needs lookaround, that doesn't compile, or without a search type."""
         k = F.col("k")
         o = self.table("orders").select(F.col("o_orderkey").alias("k"))
         bad = F.get(F.array(*map(F.lit, ("(", "{", "a{,3}", "\\U0001F600"))), (k % 4).cast("int"))
-        val = F.when(k % 7 == 1, "RED|w.dg").when(k % 5 == 0, bad).otherwise("")
+        val = F.when(k % 7 == 1, "RED|w.dg").when(k % 5 == 0, bad)
+        for turn, pattern in enumerate((r"\bred\b", "(a|b)*c", "(?<first>[a-z[]+) (wid|gad)+get$", "(?=.*red).*w", "([a-z ]*)*[A-Z]#")):
+            val = val.when(k % 11 == turn + 2, pattern)
+        val = val.otherwise("")
         return o.select(padded("k", 12).alias("request_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), padded("k").alias("projectId"), val.alias("val"), F.when(k % 3 != 0, "title").alias("searchType"))
 
     def cmd_task_create(self) -> DataFrame:

@@ -23,7 +23,7 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
     "users": ((), """
         select lpad(cast(c_custkey as varchar), 24, '0') as _id, c_name as username, 'user' || c_custkey || '@example.com' as email,
           case when c_acctbal < 0 then null else c_mktsegment end as password from customer"""),
-    "users_before": (("users",), "select * from users where cast(_id as bigint) % 2 = 0"),
+    "users_before": (("users",), "select * replace (case when cast(_id as bigint) % 2 = 1 then 'old.' || email else email end as email) from users"),
     "projects": ((), """
         select lpad(cast(o_orderkey as varchar), 24, '0') as _id, o_orderpriority as "projectTitle", 'status ' || o_orderstatus as description,
           lpad(cast(o_custkey as varchar), 24, '0') as "user", o_orderdate as "createdAt", o_orderdate as "updatedAt" from orders"""),
@@ -96,8 +96,12 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
         union all select 'b' || o_orderkey, case when o_orderkey % 10 = 0 then lpad(cast(o_orderkey as varchar), 24, '0') else 'e' || lpad(cast(o_orderkey as varchar), 23, '0') end from orders"""),
     "cmd_tasks_get": ((), """
         select lpad(cast(o_orderkey as varchar), 12, '0') as request_id, lpad(cast(o_orderkey as varchar), 24, '0') as "projectId",
-          case when o_orderkey % 7 = 1 then 'RED|w.dg' when o_orderkey % 5 = 0 then 'bad' else '' end as val, o_orderkey % 3 <> 0 as by_title
+          case when o_orderkey % 7 = 1 then 'RED|w.dg' when o_orderkey % 5 = 0 then 'bad' when o_orderkey % 11 = 2 then '\\bred\\b' when o_orderkey % 11 = 3 then '(a|b)*c'
+            when o_orderkey % 11 = 4 then '([a-z\\[]+) (wid|gad)+get$' when o_orderkey % 11 = 5 then 'look' when o_orderkey % 11 = 6 then '([a-z ]*)*[A-Z]#' else '' end as val,
+          o_orderkey % 3 <> 0 as by_title, o_orderkey as k
         from orders"""),
+    "long_tasks": (("tasks",), """
+        select * replace (case when k % 500 = 3 and substr(_id, 10, 1) = '1' then repeat(title || ' ab', 10000) else title end as title) from tasks"""),
     "cmd_task_create": ((), """
         select lpad(cast(event_id as varchar), 12, '0') as request_id, lpad(cast(event_id as varchar), 24, '0') as "projectId",
           case when event_id % 9 <> 0 then 'Task ' || event_id end as title, case when event_id % 7 <> 0 then props end as description,
@@ -158,10 +162,14 @@ _PATCHED = """t._id, coalesce(f.title, t.title) as title, case when f.last_descr
 
 ORACLE_SQL: dict[str, str] = {
     "task_search": _with(("tasks",), """select _id, title, "projectId", deadline from tasks where regexp_matches(title, 'RED|w.dg', 'i')"""),
-    "task_search_batch": _with(("tasks", "cmd_tasks_get"), """
-        select c.request_id, t._id, t.title from cmd_tasks_get c join tasks t using ("projectId")
-        where not c.by_title or (c.val <> 'bad' and (c.val = '' or regexp_matches(t.title, 'RED|w.dg', 'i')))"""),
-    "task_search_outcomes": _with(("cmd_tasks_get",), _judged("cmd_tasks_get", [("by_title and val = 'bad'", 500, 500, "'Error retrieving tasks'")], '"projectId"')),
+    "task_search_batch": _with(("long_tasks", "cmd_tasks_get"), """
+        select c.request_id, t._id, case when length(t.title) > 1000 then md5(t.title) else t.title end as title
+        from cmd_tasks_get c join long_tasks t using ("projectId")
+        where not c.by_title or case c.val when 'bad' then false
+          when 'look' then regexp_matches(t.title, 'red', 'i') and regexp_matches(t.title, 'w', 'i') and not exists (select 1 from long_tasks o where o."projectId" = c."projectId" and length(o.title) > 1000)
+          else regexp_matches(t.title, c.val, 'i') end"""),
+    "task_search_outcomes": _with(("long_tasks", "cmd_tasks_get"), _judged("cmd_tasks_get", [
+        ("by_title and (val = 'bad' or val = 'look' and k in (select k from long_tasks where length(title) > 1000))", 500, 500, "'Error retrieving tasks'")], '"projectId"')),
     "tasks_by_project": _with(("tasks", "cmd_project_delete"), """select c.request_id, t._id, t."projectId" from cmd_project_delete c join tasks t on t."projectId" = c.id"""),
     "project_dto": _with(("projects",), 'select _id, "projectTitle" as title, description from projects'),
     "validate_register": _with(("cmd_register",), """

@@ -29,17 +29,17 @@ def _short(found: DataFrame, *more: str) -> DataFrame:
 def task_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tasks whose title matches, of any project."""
     t = Workspace(spark, sf_dir).tasks()
-    return t.where(tasks.matches(F.col("title"), "RED|w.dg")).select("_id", "title", "projectId", "deadline")
+    return t.where(tasks.title_matches(F.col("title"), "RED|w.dg")).select("_id", "title", "projectId", "deadline")
 
 
 def task_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return tasks.search_tasks_batch(w.tasks(), w.cmd_tasks_get())[0].select("request_id", "_id", "title")
+    return tasks.search_tasks_batch(w.long_tasks(), w.cmd_tasks_get())[0].select("request_id", "_id", F.when(F.length("title") > 1000, F.md5(F.col("title").cast("binary"))).otherwise(F.col("title")).alias("title"))
 
 
 def task_search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return _short(tasks.search_tasks_batch(w.tasks(), w.cmd_tasks_get())[1])
+    return _short(tasks.search_tasks_batch(w.long_tasks(), w.cmd_tasks_get())[1])
 
 
 def tasks_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def _tasks(spark):
 def test_search_tasks(spark):
     t = _tasks(spark)
     cmd = spark.createDataFrame(
-        [("1", oid(90), "RING", "title"), ("2", oid(90), "", "title"), ("3", oid(90), "(", "title"), ("4", oid(90), "zzz", "other"), ("5", oid(90), "ÄRGER", "title"), ("6", oid(90), "(", None), ("7", oid(90), "a|b)(", "title"), ("8", oid(90), "x++", "title"), *((f"j{k}", oid(90), p, "title") for k, p in enumerate(("{", "x{1", "a{,3}", "\\U0001F600", "[", "\\", "(?<n>a)")))],
+        [("1", oid(90), "RING", "title"), ("2", oid(90), "", "title"), ("3", oid(90), "(", "title"), ("4", oid(90), "zzz", "other"), ("5", oid(90), "ÄRGER", "title"), ("6", oid(90), "(", None), ("7", oid(90), "a|b)(", "title"), ("8", oid(90), "x++", "title"), *((f"j{k}", oid(90), p, "title") for k, p in enumerate(("{", "x{1", "a{,3}", "\\U0001F600", "[", "\\", "(?i)a")))],
         "request_id string, projectId string, val string, searchType string",
     )
     found, out = tasks.search_tasks_batch(t, cmd)
@@ -265,6 +265,35 @@ def test_empty_tables(spark):
     assert state.count() == out.count() == after.count() == 0
 
 
+def test_patterns_and_their_ways(spark):
+    """Word boundaries, named groups and brackets in classes are valid; nested repeats are matched on titles of any length; backtracking is bounded or refused."""
+    titles = {1: "a Red hat", 2: "hatred", 3: "ab" * 50_000, 4: "ab" * 50_000 + "C", 5: "x[y", 6: "tel 12-34", 7: "a" * 100_000, 8: "naïve ÉCLAIR", 9: None, 10: "tab\tand\x0bline", 11: "abab"}
+    short = {k for k, t in titles.items() if t and len(t) < 100}
+    expected = {
+        r"\bred\b": {1}, r"red": {1, 2}, "(a|b)*c": {4, 8}, "^(a|b)*c$": {4}, "(?<first>a)b*$": {3, 7, 11}, "[a-z[]\\[": {5}, "[[]": {5}, r"\d+-\d{2}": {6}, "(a+)+$": {7},
+        "(x+x+)+y": set(), r"é\u0063lair": {8}, r"\x63lair": {8}, r"\s\v": set(), r"b\sand": {10}, r"d\sline": {10}, r"[\s]line": {10}, "": set(titles) - {9}, "a|x": set(titles) - {6, 9},
+    }
+    backtracking = {"(?=.*hat)a": {1}, r"(ab)\1": {11}, "(?<!hat)red": {1}, "^(?!.*red).*a": {8, 10, 11}, ".{5000}": set()}
+    refused = ["(a+)+(?=b)", r"(a|b)*\1", "a{2000}" + "(?=b)*", "(?=a)" + "x" * 1000, "^*", "a**", "(?i)a", r"\p{L}", "a)(?=b", "(?=a", "[]", "(?=a)[b"]
+    rows = [(oid(k), t, "d", oid(90 if k in short or t is None else 91), T0, T0) for k, t in titles.items()]
+    asked = [*expected, *backtracking, *refused]
+    cmd = spark.createDataFrame([(f"{k}-{p}", oid(p), v, "title") for k, v in enumerate(asked) for p in (90, 91)], "request_id string, projectId string, val string, searchType string")
+    found, out = tasks.search_tasks_batch(spark.createDataFrame(rows, TASKS), cmd)
+    got = {}
+    for r in found.collect():
+        got.setdefault(asked[int(r.request_id.split("-")[0])], set()).add(int(r._id, 16))
+    status = by_request(out, "status")
+    for k, v in enumerate(asked):
+        refuses = v in refused
+        assert status[f"{k}-90"] == (500 if refuses else 200), v
+        assert status[f"{k}-91"] == (500 if refuses or v in backtracking else 200), v
+        want = set() if refuses else {x for x in (backtracking | expected)[v] if v in expected or x in short}
+        assert got.get(v, set()) == want, v
+    assert {int(r._id, 16) for r in tasks.search_tasks(spark.createDataFrame(rows, TASKS), oid(91), "(a|b)*c", "title").collect()} == {4}
+    with pytest.raises(ValueError):
+        tasks.search_tasks(spark.createDataFrame(rows, TASKS), oid(91), "(a+)+(?=b)", "title")
+
+
 def test_no_pattern_ends_the_job(spark):
     import random
 
