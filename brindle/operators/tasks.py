@@ -122,6 +122,21 @@ def change_tasks(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None
     return state, rows.drop(*FIELDS), rows.where("cause_status is null").select("request_id", F.col("id").alias("_id"), *FIELDS)
 
 
+def task_changes(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None = None, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame]:
+    """The tasks that change_tasks changes, as they are then, with `_deleted` for those that go; and the outcomes.
+
+    Only touched tasks are read on, by a semi join with the ids of the commands."""
+    ids = patches.select(F.col("taskId").alias("_id"))
+    if deletes is not None:
+        ids = ids.union(deletes.select("taskId"))
+    touched = tasks.join(ids.distinct(), "_id", "left_semi").select(tasks.columns)
+    state, rows = _changed(touched, patches, deletes, enforce, id_format)
+    state = state.withColumn("_deleted", F.lit(False))
+    if deletes is not None:
+        state = state.unionByName(touched.join(state.select("_id"), "_id", "left_anti").withColumn("_deleted", F.lit(True)))
+    return state, rows.drop(*FIELDS)
+
+
 def patch_tasks(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> Changed:
     """Partial updates by id: keys that are there are set (a null too), unknown ones dropped. Outcomes have the task after the patch."""
     return Changed(*_changed(tasks, cmd, None, enforce, id_format))

@@ -16,6 +16,7 @@ class Registered(NamedTuple):
     users: DataFrame
     tokens: DataFrame
     outcomes: DataFrame
+    inserted: DataFrame
 
 
 class LoggedIn(NamedTuple):
@@ -56,7 +57,7 @@ def register(users: DataFrame, cmd: DataFrame, enforce: bool = True) -> Register
     new = rows.where("cause_status is null").withColumn("_id", new_id(F.col("request_id")))
     inserted = new.select("_id", "username", "email", "password", F.lit(None).cast("string").alias("token"), F.array().cast("array<string>").alias("projects"))
     tokens = new.select("request_id", "ts", F.col("_id").alias("userId"), _token(cmd).alias("refreshToken"))
-    return Registered(users.unionByName(inserted, allowMissingColumns=True), tokens, outcomes(rows, "register", new_id(F.col("request_id"))))
+    return Registered(users.unionByName(inserted, allowMissingColumns=True), tokens, outcomes(rows, "register", new_id(F.col("request_id"))), inserted)
 
 
 def resolve_logins(users: DataFrame, cmd: DataFrame, enforce: bool = True) -> LoggedIn:

@@ -259,8 +259,8 @@ ORACLE_SQL: dict[str, str] = {
     "task_delete": _with(("cmd_task_delete", "tasks"), _judged(
         """(select c.request_id, t._id, t.title, t."projectId" from cmd_task_delete c left join tasks t on t._id = c."taskId")""",
         [("_id is null", 400, 500, "'Error deleting task: Task not found'")], "_id", more=', title, "projectId"')),
-    "task_patch_delete": _with(("folded", "tasks", "cmd_task_delete"), f"""
-        select {_PATCHED}, coalesce(f.deadline, t.deadline) as deadline from tasks t left join folded f on f._id = t._id where t._id not in (select "taskId" from cmd_task_delete)"""),
+    **{name: _with(("folded", "tasks", "cmd_task_delete"), f"""
+        select {_PATCHED}, coalesce(f.deadline, t.deadline) as deadline from tasks t left join folded f on f._id = t._id where t._id not in (select "taskId" from cmd_task_delete)""") for name in ("task_patch_delete", "task_log")},
     "comment_create": _with(("comments", "cmd_comment_create"), f"""
         select * from comments union all
         select {NEW_ID}, text, {NOW}, null, "taskId", user_id from cmd_comment_create where "taskId" <> 'no id' and text <> ''"""),

@@ -309,22 +309,39 @@ def authorize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users after the registrations have come in as a stream, through the job of register_users."""
-    from ..sources.tables import read_snapshot, write_snapshot
-    from ..streaming.jobs import run_stream
+    """The users after the registrations have come in as a stream, through the job of register_users; each batch writes the users that it adds."""
+    from ..sources.statelog import StateLog
+    from ..streaming.jobs import run_changes
 
     w = Workspace(spark, sf_dir)
     before = w.users_before()
     folder = _new_folder(spark)
-    write_snapshot(before, f"{folder}/state", 0)
+    log = StateLog(spark, f"{folder}/state", before.schema)
+    log.write_base(before, 0)
     events = spark.readStream.schema(w.table("events").schema).parquet(_stream_folder(sf_dir))
 
     def apply(state: DataFrame, cmd: DataFrame) -> tuple[DataFrame, DataFrame]:
         done = users.register(state, cmd)
-        return done.users, done.outcomes
+        return done.inserted, done.outcomes
 
-    run_stream(Workspace.registrations(events), apply, f"{folder}/state", before.schema, f"{folder}/outcomes", f"{folder}/checkpoint").awaitTermination()
-    return read_snapshot(spark, f"{folder}/state", before.schema).select("_id", "username", "email", "password")
+    run_changes(Workspace.registrations(events), apply, log, f"{folder}/outcomes", f"{folder}/checkpoint").awaitTermination()
+    return log.read().select("_id", "username", "email", "password")
+
+
+def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks after patches and deletes that were written as changes of two batches, first patches and the rest, and compacted."""
+    from ..sources.statelog import StateLog
+
+    w = Workspace(spark, sf_dir)
+    before = w.tasks()
+    log = StateLog(spark, f"{_new_folder(spark)}/tasks", before.schema)
+    log.write_base(before, 0)
+    first = F.col("request_id").endswith("-1")
+    patches, deletes = w.cmd_task_update(), w.cmd_task_delete()
+    log.write_changes(tasks.task_changes(log.read(), patches.where(first))[0], 1)
+    log.write_changes(tasks.task_changes(log.read(), patches.where(~first), deletes)[0], 2)
+    log.compact()
+    return log.read().select("_id", "title", "description", "deadline")
 
 
 def _stream_folder(sf_dir: str) -> str:
@@ -340,6 +357,6 @@ QUERIES = {
         authorize, authorize_asof, token_upsert, logout_outcomes, logout_tokens, find_tokens, refresh_valid, session_replay, session_replay_expired,
         project_create, project_create_outcomes, project_get, project_update, project_update_outcomes, project_rename_chain, project_rename_chain_outcomes, project_delete, project_delete_outcomes,
         task_create, task_create_outcomes, task_patch, task_patch_outcomes, task_delete, task_patch_delete,
-        comment_create, comment_create_outcomes, comment_delete, comment_delete_state, resolve_refs, orphan_tasks, responses, error_outcomes, request_bodies, read_users, authorize_stream, register_stream,
+        comment_create, comment_create_outcomes, comment_delete, comment_delete_state, resolve_refs, orphan_tasks, responses, error_outcomes, request_bodies, read_users, authorize_stream, register_stream, task_log,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import ACCESS_MINUTES
+from ..sources.statelog import StateLog
 from ..sources.tables import drop_versions, has_version, read_snapshot, version_of, versions, write_snapshot
 
 Apply = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
@@ -41,6 +42,29 @@ def run_stream(source: DataFrame, apply: Apply, state_path: str, state_schema: T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_changes(source: DataFrame, apply: Apply, log: StateLog, outcomes_path: str, checkpoint: str, available_now: bool = True, share: float = 0.5, keep: int | None = None) -> StreamingQuery:
+    """As run_stream, with apply(state, commands) -> (changed rows, outcomes): each batch writes what it changes, and the state is written whole only once the changes have a `share` of its bytes.
+
+    With `keep`, what no version of the latest `keep` needs is deleted."""
+
+    def step(cmd: DataFrame, batch_id: int) -> None:
+        spark = cmd.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        own = StateLog(spark, log.path, log.schema, log.key)
+        version = own.version_of(stream, batch_id)
+        if own.has(version):
+            return
+        changed, out = apply(own.read(version - 1), cmd)
+        write_snapshot(out, outcomes_path, version)
+        own.write_changes(changed, version)
+        own.compact(share)
+        if keep:
+            own.drop_old(keep)
+
+    writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def authorize_stream(requests: DataFrame, logins: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Requests (request_id, ts, user_id) that a login (ts, user_id) less than 180 minutes before authorises; each once. Rows later than the delay are dropped."""
     left = requests.withWatermark("ts", delay)

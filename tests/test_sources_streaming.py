@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from brindle.operators.users import register
 from brindle.schemas import COLLECTIONS, COMMANDS
 from brindle.sources import tables
-from brindle.streaming.jobs import authorize_stream, run_stream
+from brindle.sources.statelog import StateLog
+from brindle.streaming.jobs import authorize_stream, run_changes, run_stream
 
 
 def test_requests_and_collections(spark, tmp_path):
@@ -90,3 +91,63 @@ def test_a_new_checkpoint_goes_on_from_the_state(spark, tmp_path):
     assert tables.versions(spark, str(tmp_path / "state")) == [2] and spark.read.parquet(str(tmp_path / "out")).count() == 6
     # a batch that was noted, but whose snapshot is not complete, is written anew under its version
     assert tables.version_of(spark, str(tmp_path / "state"), "s-7") == 3 == tables.version_of(spark, str(tmp_path / "state"), "s-7")
+
+
+TOKENS = COLLECTIONS["tokens"]
+
+
+def state_of(log, version=None):
+    return {(r.userId, r.refreshToken) for r in log.read(version).collect()}
+
+
+def test_state_log(spark, tmp_path):
+    """Changes, deletes, versions read back, compaction and pruning; null keys and keys that aren't there."""
+    log = StateLog(spark, str(tmp_path / "log"), TOKENS, "userId")
+    rows = lambda *r: spark.createDataFrame([(u, t, None, d) for u, t, d in r], "userId string, refreshToken string, issued_at timestamp_ntz, _deleted boolean")
+    assert state_of(log) == set() and not log.compact()
+    log.write_changes(rows(("a", "0", None)).drop("_deleted"), 1)
+    assert state_of(log) == {("a", "0")}
+    log.write_base(rows(("a", "1", None), ("b", "1", None), ("c", "1", None), (None, "1", None)), 2)
+    log.write_changes(rows(("a", "2", False), ("b", "1", True), ("z", "9", True)), 3)
+    log.write_changes(rows(("a", "3", None), ("b", "4", False), ("d", "4", False), ("c", "1", True)), 4)
+    (tmp_path / "log" / "d=5").mkdir()  # a batch that failed half-way
+    expected = {2: {("a", "1"), ("b", "1"), ("c", "1"), (None, "1")}, 3: {("a", "2"), ("c", "1"), (None, "1")}, 4: {("a", "3"), ("b", "4"), ("d", "4"), (None, "1")}}
+    assert {v: state_of(log, v) for v in expected} == expected and state_of(log) == expected[4] and log.versions() == [1, 2, 3, 4]
+    assert not log.compact(share=1000) and log.compact(share=0) and log.bases() == [2, 4] and state_of(log) == expected[4] and state_of(log, 3) == expected[3]
+    log.drop_old(2)  # version 3 needs base 2
+    assert state_of(log, 3) == expected[3] and log.changes() == [3, 4]
+    log.drop_old(1)
+    assert log.bases() == [4] and log.changes() == [] and state_of(log) == expected[4]
+
+
+def test_batches_write_what_they_change(spark, tmp_path, monkeypatch):
+    schema = "request_id string, ts timestamp, email string, username string, password string"
+    log = StateLog(spark, str(tmp_path / "state"), COLLECTIONS["users"])
+    log.write_base(spark.range(20_000).selectExpr("cast(id as string) as _id", "concat('n', id) as username", "concat('old', id, '@x.io') as email", "sha2(cast(id as string), 256) as password", "cast(null as string) as token", "cast(array() as array<string>) as projects"), 0)
+    rows = [(f"{i:02d}", dt.datetime(2024, 1, 1, 0, i), f"e{i % 7}@x.io" if i % 5 else "old3@x.io", "u", "secret1") for i in range(20)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 7 : k * 7 + 7], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    calls = []
+
+    def apply(state, cmd):
+        done = register(state, cmd)
+        calls.append(1)
+        if len(calls) == 2 and "failed" not in calls:  # the second batch fails once, after its number is noted
+            calls.append("failed")
+            raise ValueError("lost")
+        return done.inserted, done.outcomes
+
+    for _ in range(3):
+        try:
+            run_changes(source, apply, log, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        except Exception:
+            assert "failed" in calls
+    assert log.bases() == [0] and log.changes() == [1, 2, 3]
+    assert sum(log.bytes_of(f"d={v}") for v in (1, 2, 3)) < log.bytes_of("v=0") / 20
+    added = {r.email for r in log.read().where("email not like 'old%'").collect()}
+    assert added == {f"e{i}@x.io" for i in range(7)} and log.read().count() == 20_007
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 20 and out.where("status = 200").count() == 7
+    assert len(list((tmp_path / "state" / "_batches").iterdir())) == 1  # only the last batch's note stays
+    assert log.compact(share=0) and log.read().count() == 20_007
