@@ -36,7 +36,8 @@ from .bytewords import Texts, class_table, hash_spans, in_pieces, texts_of, unic
 from .scratch import Scratch
 
 HEAD = 1 << 21
-_PIECE = 2 << 20  # bytes of text that are looked at together
+_PIECE = 4 << 20  # bytes of text that are looked at together
+_FALSE_SPACE = "▁".encode()  # becomes a space
 _CUT_AFTER = class_table(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string, rest array<long>"
 
@@ -111,7 +112,7 @@ def piece_bytes(piece: str) -> bytes:
 class Aligner:
     """Alignments of chunks by hash; forgets all once it holds `most` chunks or 8 times as many links."""
 
-    def __init__(self, a_path: str, b_path: str, texts: bool = True, most: int = 200_000):
+    def __init__(self, a_path: str, b_path: str, texts: bool = True, most: int = 300_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -138,30 +139,48 @@ class Aligner:
         self.links, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        joins = np.array([1 < len(c) < 256 and (0x20 < c[-1] < 0x7F or c[-2] == 0xC3) and _FALSE_SPACE not in c for c in chunks], bool)
         first, links, ends = len(self.at) - 1, [self.links], [self.at]
-        for base in range(0, len(chunks), 1 << 13):
-            more, at = self._align(chunks[base : base + (1 << 13)])
-            links.append(more)
-            ends.append(ends[-1][-1] + at)
+        order = np.r_[np.flatnonzero(joins), np.flatnonzero(~joins)]
+        for part, encode in ((np.flatnonzero(joins), self._encode_joined), (np.flatnonzero(~joins), self._encode_alone)):
+            for base in range(0, len(part), 1 << 13):
+                some = [chunks[i] for i in part[base : base + (1 << 13)].tolist()]
+                more, at = self._align(*encode(some))
+                links.append(more)
+                ends.append(ends[-1][-1] + at)
         self.links, self.at = np.concatenate(links), np.concatenate(ends)
-        hashes, slot = np.r_[self.hashes, hashes], np.r_[self.slot, np.arange(len(chunks)) + first]
+        hashes, slot = np.r_[self.hashes, hashes[order]], np.r_[self.slot, np.arange(len(chunks)) + first]
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.slot = hashes[order], slot[order]
 
-    def _align(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Add sizes and groups of chunks; their links, and where each chunk's end."""
+    def _encode_joined(self, chunks: list[bytes]):
+        """As _encode_alone, of chunks that end in a printable ASCII character or one of U+00C0 to U+00FF, many in one text: tokens end where chunks do."""
+        whole = b"".join(chunks)
+        texts = [b"".join(chunks[i : i + 256]).decode() for i in range(0, len(chunks), 256)]
+        lists = ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1))
+        ends = np.cumsum([len(c) for c in chunks])
+        ids, number = [], []
+        for side, table, widths in zip(lists, (self.a_bytes, self.b_bytes), (self.a_widths, self.b_widths), strict=True):
+            flat = list(chain.from_iterable(side))
+            ids.append(np.array(flat, np.int64))
+            at = np.cumsum(widths[ids[-1]])
+            rank = np.searchsorted(at, ends)
+            if b"".join(map(table.__getitem__, flat)) != whole or not np.array_equal(at[rank], ends):
+                return self._encode_alone(chunks)
+            number.append(np.diff(np.r_[-1, rank]))
+        return ids, number, np.ones(len(chunks), bool)
+
+    def _encode_alone(self, chunks: list[bytes]):
+        """Ids of both sides, how many each chunk has, and which chunks' bytes both sides give back."""
         texts = [c.decode() for c in chunks]
         lists = ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], [x or [self.space] for x in self.b.encode([t[1:] for t in texts], num_threads=1)])  # a space alone has no ids
         number = [np.array([len(x) for x in side]) for side in lists]
         ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(lists, number, strict=True)]
-        fit = np.ones(len(chunks), bool)
-        for k, (table, widths) in enumerate(((self.a_bytes, self.a_widths), (self.b_bytes, self.b_widths))):
-            width = _sums(widths[ids[k]], np.r_[0, np.cumsum(number[k])])
-            fit &= width == np.array([len(c) for c in chunks])
-            same = np.flatnonzero(fit)
-            raw = [np.frombuffer(b"".join(x), np.uint8) for x in ([chunks[i] for i in same.tolist()], [table[i] for i in ids[k][np.repeat(fit, number[k])].tolist()])]
-            if len(same):
-                fit[same] = np.logical_and.reduceat(raw[0] == raw[1], np.r_[0, np.cumsum(width[same])[:-1]])
+        fit = np.array([all(b"".join(map(t.__getitem__, x)) == c for t, x in ((self.a_bytes, x), (self.b_bytes, y))) for c, x, y in zip(chunks, *lists, strict=True)], bool)
+        return ids, number, fit
+
+    def _align(self, ids: list[np.ndarray], number: list[np.ndarray], fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add sizes and groups of chunks; their links, and where each chunk's end."""
         ids = [x[np.repeat(fit, n)] for x, n in zip(ids, number, strict=True)]
         number = [n * fit for n in number]
         at = [np.r_[0, np.cumsum(n)] for n in number]
