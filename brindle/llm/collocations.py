@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytewords import Texts, class_table, find_words, hash_spans, in_pieces, mix, texts_of
+from .bytewords import class_table, find_words, hash_spans, in_pieces, mix, texts_of
 from .scratch import Scratch
 
 MILLION = 1_000_000
