@@ -36,6 +36,7 @@ from .scratch import Scratch
 MILLION = 1_000_000
 FILTER_BITS = 1 << 29  # of a filter at most: 64 MB
 _SALTS = 64
+_PIECE = 4 << 20  # bytes of text that are counted together
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK, _SEPARATOR = class_table(_BREAKS), class_table(_BREAKS + b" \t")
 _LOWER_KEY, _UPPER_KEY = np.uint64(0xD1342543DE82EF95), np.uint64(0xAEF17502108EF2D9)
@@ -113,7 +114,7 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 def _word_counts(batches):
     """Words with their numbers, and the number of all words of each language (h is null)."""
-    for table in in_pieces(batches):
+    for table in in_pieces(batches, at_most=_PIECE):
         words = _Words(table)
         at, n = _counted(words.h)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), _longs(words.h[at]), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
@@ -125,7 +126,7 @@ def _pair_counts(frequent):
     """Pairs of frequent words with their numbers; and each frequent word once (h2 is null)."""
 
     def run(batches):
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=_PIECE):
             words = _Words(table)
             often = frequent.value.holds(words.h)
             second = np.flatnonzero(words.follows & often & np.r_[False, often[:-1]])
@@ -150,7 +151,7 @@ def _triple_counts(pairs, expanded):
     """Phrases of three words whose pairs are both frequent, one of them among those to expand."""
 
     def run(batches):
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=_PIECE):
             h, follows = (words := _Words(table)).h, words.follows
             second = np.flatnonzero(follows)
             pair = join_hash(h[second - 1], h[second])
