@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BOUNDED_TITLE, matches, title_matches, ways
 from ..functions.scalars import new_id, order, present, sure
+from ..functions.segments import cuts, for_each_segment, running_last, with_segments
 from ..schemas import COLLECTIONS
 from .outcomes import Cause, judged, outcomes
 from .rules import apply_defaults, as_time, has_required, validate
@@ -82,7 +83,7 @@ def _value(tasks: DataFrame, field: str) -> Column:
 
 def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, enforce: bool, id_format: str) -> tuple[DataFrame, DataFrame]:
     """The state after patches and deletes, and the judged commands with the task after each patch (before each delete)."""
-    same = ["request_id", "ts", "taskId"]
+    same, at = ["request_id", "ts", "taskId"], ["ts", "request_id"]
     cmd = patches.select(*same, "updatedData", F.lit("task_update").alias("kind"))
     if deletes is not None:
         cmd = cmd.unionByName(deletes.select(*same, F.lit("task_delete").alias("kind")), allowMissingColumns=True)
@@ -91,17 +92,21 @@ def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, en
     times = [f for f in FIELDS if dict(tasks.dtypes)[f].startswith("timestamp")]
     bad = reduce(lambda a, b: a | b, (sure(F.col("updatedData").getItem(f).isNotNull() & _value(tasks, f).isNull()) for f in times))
     cmd = cmd.withColumn("bad_date", bad)
+    # a patch that is valid counts for its task whether or not that is there: without it nothing asks for the values
+    counts = F.col("rejected").isNull() & (F.col("kind") == "task_update") & ~F.col("bad_date")
+    values = [f"_{f}" for f in FIELDS]
+    cmd = cmd.withColumns({f"_{f}": F.when(counts & has[f], F.struct(_value(tasks, f).alias("v"))) for f in FIELDS}).drop("updatedData")
+    last = cmd.where(reduce(lambda a, b: a | b, (F.col(v).isNotNull() for v in values))).groupBy(F.col("taskId").alias("_id")).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), order())).alias(v) for v in values))
     ends = cmd.where("kind = 'task_delete' and rejected is null").groupBy("taskId").agg(F.min(order()).alias("end"))
-    old = tasks.select(F.col("_id").alias("taskId"), F.struct(*(F.col(f) for f in FIELDS)).alias("old"))
-    cmd = (cmd.join(ends, "taskId", "left") if deletes is not None else cmd.withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))).join(old, "taskId", "left")
-    live = F.col("rejected").isNull() & F.col("old").isNotNull() & (F.col("end").isNull() | (order() <= F.col("end")))
-    patch = live & (F.col("kind") == "task_update") & ~F.col("bad_date")
-    cmd = cmd.withColumns({"live": live, **{f"_{f}": F.when(patch & has[f], F.struct(_value(tasks, f).alias("v"))) for f in FIELDS}})
-    last = cmd.where("live and kind = 'task_update'").groupBy(F.col("taskId").alias("_id")).agg(*(F.max_by(f"_{f}", F.when(F.col(f"_{f}").isNotNull(), order())).alias(f"_{f}") for f in FIELDS))
     state = tasks if deletes is None else tasks.join(ends.select(F.col("taskId").alias("_id")), "_id", "left_anti")
     state = state.join(last, "_id", "left").select("_id", *(F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)).alias(f) for f in FIELDS))
-    upto = Window.partitionBy("taskId").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    cmd = cmd.withColumns({f"_{f}": F.last(f"_{f}", ignorenulls=True).over(upto) for f in FIELDS})
+    # the commands meet all else by (taskId, seg), in one exchange of theirs
+    found = cuts(cmd, "taskId", at)
+    cmd = running_last(with_segments(cmd, "taskId", at, found), "taskId", at, values, found)
+    old = tasks.select(F.col("_id").alias("taskId"), F.struct(*(F.col(f) for f in FIELDS)).alias("old"))
+    cmd = cmd.join(for_each_segment(old, "taskId", found), ["taskId", "seg"], "left")
+    cmd = cmd.join(for_each_segment(ends, "taskId", found), ["taskId", "seg"], "left") if deletes is not None else cmd.withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))
+    cmd = cmd.withColumn("live", F.col("rejected").isNull() & F.col("old").isNotNull() & (F.col("end").isNull() | (order() <= F.col("end"))))
     causes = [
         Cause(F.col("rejected").isNotNull(), 400, F.col("rejected"), edge=True),
         Cause(~F.col("live"), 400, "Task not found"),

@@ -128,3 +128,57 @@ def test_task_changes(spark, seed):
     got, out, _ = tasks.change_tasks(t, spark.createDataFrame(patches, "request_id string, ts timestamp_ntz, taskId string, updatedData map<string,string>"), spark.createDataFrame(deletes, "request_id string, ts timestamp_ntz, taskId string"))
     assert {r.request_id: r.cause_status for r in out.collect()} == status
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, state.values()), key=repr)
+
+
+def test_hot_task(spark):
+    """One task has a third of all patches: its rows are cut into segments, and come out as one after another."""
+    from brindle.functions import segments
+
+    rng = random.Random(5)
+    rows = [(oid(i), f"t{i}", "d", oid(99), T0, T0) for i in range(300)]
+    patches = []
+    for i in range(3000):
+        key = oid(7) if i % 3 == 0 else oid(rng.randint(0, 320)) if i % 31 else None
+        data = rng.choice([{"title": f"n{i}"}, {"title": None}, {"description": f"x{i}"}, {"junk": "1"}, {"junk": "2"}, {"deadline": "no date"}])
+        patches.append((f"{i:05d}", T0 + dt.timedelta(minutes=rng.randint(0, 50)), key, data))
+    deletes = [("d0", T0 + dt.timedelta(minutes=45), oid(7)), ("d1", T0 + dt.timedelta(minutes=48), oid(7))]
+    state, status, shown = {r[0]: list(r) for r in rows}, {}, {}
+    for c in sorted([*patches, *deletes], key=lambda c: (c[1], c[0])):
+        if c[2] not in state:
+            status[c[0]] = 400
+        elif len(c) == 3:
+            shown[c[0]] = tuple(state.pop(c[2]))
+            status[c[0]] = None
+        elif "deadline" in c[3]:
+            status[c[0]] = 500
+        else:
+            status[c[0]] = None
+            for k, v in c[3].items():
+                if k in ("title", "description"):
+                    state[c[2]][{"title": 1, "description": 2}[k]] = v
+            shown[c[0]] = tuple(state[c[2]])
+    t = spark.createDataFrame(rows, "_id string, title string, description string, projectId string, deadline timestamp_ntz, createdAt timestamp_ntz")
+    p = spark.createDataFrame(patches, "request_id string, ts timestamp_ntz, taskId string, updatedData map<string,string>")
+    got, out, after = tasks.change_tasks(t, p, spark.createDataFrame(deletes, "request_id string, ts timestamp_ntz, taskId string"))
+    assert {r.request_id: r.cause_status for r in out.collect()} == status
+    assert {r[0]: tuple(r[1:]) for r in after.collect()} == shown
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, state.values()), key=repr)
+    at = ["ts", "request_id"]
+    cut = segments.with_segments(p, "taskId", at, segments.cuts(p, "taskId", at)).where(F.col("taskId") == oid(7)).groupBy("seg").count().collect()
+    assert len(cut) > 50 and max(r["count"] for r in cut) < 40
+
+
+def test_segments_do_not_change_running_values(spark):
+    from pyspark.sql import Window
+
+    from brindle.functions import segments
+
+    rows = spark.range(2000).select((F.col("id") % 2 * (F.col("id") % 7)).cast("string").alias("k"), (F.col("id") * 37 % 101).alias("t"), F.col("id").cast("string").alias("r"), F.when(F.hash("id") % 5 == 0, F.col("id")).alias("v"))
+    upto = Window.partitionBy("k").orderBy("t", "r").rowsBetween(Window.unboundedPreceding, 0)
+    plainly = {(r.r, r.v) for r in rows.withColumn("v", F.last("v", ignorenulls=True).over(upto)).collect()}
+    for samples, every in ((1, 1), (7, 1), (64, 3), (segments.SAMPLES, 1), (segments.SAMPLES, 8)):
+        found = segments.cuts(rows, "k", ["t", "r"], samples, every)
+        got = segments.running_last(segments.with_segments(rows, "k", ["t", "r"], found), "k", ["t", "r"], ["v"], found)
+        assert {(r.r, r.v) for r in got.collect()} == plainly
+    none = rows.where("false")
+    assert segments.cuts(none, "k", ["t", "r"]).count() == 0
