@@ -93,10 +93,11 @@ def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, en
     bad = reduce(lambda a, b: a | b, (sure(F.col("updatedData").getItem(f).isNotNull() & _value(tasks, f).isNull()) for f in times))
     cmd = cmd.withColumn("bad_date", bad)
     # a patch that is valid counts for its task whether or not that is there: without it nothing asks for the values
-    counts = F.col("rejected").isNull() & (F.col("kind") == "task_update") & ~F.col("bad_date")
+    cmd = cmd.withColumn("_counts", F.col("rejected").isNull() & (F.col("kind") == "task_update") & ~F.col("bad_date"))
     values = [f"_{f}" for f in FIELDS]
-    cmd = cmd.withColumns({f"_{f}": F.when(counts & has[f], F.struct(_value(tasks, f).alias("v"))) for f in FIELDS}).drop("updatedData")
-    last = cmd.where(reduce(lambda a, b: a | b, (F.col(v).isNotNull() for v in values))).groupBy(F.col("taskId").alias("_id")).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), order())).alias(v) for v in values))
+    said = {f"_{f}": F.when(has[f], F.struct("ts", "request_id", _value(tasks, f).alias("v"))) for f in FIELDS}
+    last = cmd.where("_counts").groupBy(F.col("taskId").alias("_id")).agg(*(F.max(v).alias(k) for k, v in said.items()))
+    cmd = cmd.withColumns({k: F.when(F.col("_counts"), v) for k, v in said.items()}).drop("updatedData", "_counts")
     ends = cmd.where("kind = 'task_delete' and rejected is null").groupBy("taskId").agg(F.min(order()).alias("end"))
     state = tasks if deletes is None else tasks.join(ends.select(F.col("taskId").alias("_id")), "_id", "left_anti")
     state = state.join(last, "_id", "left").select("_id", *(F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)).alias(f) for f in FIELDS))
