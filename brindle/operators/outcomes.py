@@ -46,6 +46,15 @@ def error_outcome(status: Column, message: Column) -> tuple[Column, Column]:
     return F.when(is_known, status).otherwise(OTHER[0]), F.when(is_known, known.when(status == 400, message)).otherwise(OTHER[1])
 
 
+def judge_bodies(rows: DataFrame, broken: str = "_corrupt_record") -> DataFrame:
+    """Request bodies with cause_status, status and message: a broken one fails before any action, as an error of no known kind; of others all three are null.
+
+    Whoever applies the commands takes those without a cause_status, and whoever answers the rest, of one pass over the bodies."""
+    bad = F.col(broken).isNotNull()
+    status, message = error_outcome(F.lit(None).cast("int"), F.lit(None).cast("string"))
+    return rows.withColumns({"cause_status": F.when(bad, OTHER[0]), "status": F.when(bad, status), "message": F.when(bad, message)})
+
+
 @dataclass(frozen=True)
 class Cause:
     """When a command fails, with which inner status and message. `edge`: before the action itself, so that it reaches the client as it is."""

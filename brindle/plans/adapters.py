@@ -53,6 +53,12 @@ class Workspace:
         changed = F.col("_id").cast("long") % 2 == 1
         return self.users().withColumn("email", F.when(changed, F.concat(F.lit("old."), F.col("email"))).otherwise(F.col("email")))
 
+    def members(self) -> DataFrame:
+        """The users with the ids of their projects; of every fifth one the first is there again, after a null."""
+        ids = self.projects().groupBy(F.col("user").alias("_id")).agg(F.sort_array(F.collect_list(F.col("_id"))).alias("ids"))
+        again = F.when(F.col("_id").cast("long") % 5 == 0, F.concat("ids", F.array(_null("string")), F.slice("ids", 1, 1))).otherwise(F.col("ids"))
+        return self.users().drop("projects").join(ids, "_id", "left").withColumn("projects", F.coalesce(again, F.array().cast("array<string>"))).drop("ids")
+
     def projects(self) -> DataFrame:
         return self.table("orders").select(
             padded("o_orderkey").alias("_id"),

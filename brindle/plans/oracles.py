@@ -27,6 +27,11 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
     "projects": ((), """
         select lpad(cast(o_orderkey as varchar), 24, '0') as _id, o_orderpriority as "projectTitle", 'status ' || o_orderstatus as description,
           lpad(cast(o_custkey as varchar), 24, '0') as "user", o_orderdate as "createdAt", o_orderdate as "updatedAt" from orders"""),
+    "members": (("users", "projects"), """
+        select u._id, u.email, case when cast(u._id as bigint) % 5 = 0 and ids is not null then list_concat(ids, [null, ids[1]]) else coalesce(ids, []) end as ids
+        from users u left join (select "user", list(_id order by _id) as ids from projects group by 1) p on p."user" = u._id"""),
+    "member_refs": (("members",), """select _id, ref, pos, email from (select _id, email, unnest(ids) as ref, generate_subscripts(ids, 1) - 1 as pos from members)"""),
+    "left_projects": (("projects", "cmd_project_delete"), "select * from projects where _id not in (select id from cmd_project_delete)"),
     "tasks": ((), """
         select lpad(cast(l_orderkey as varchar), 9, '0') || l_linenumber || lpad(cast(l_partkey as varchar), 8, '0') || substr(md5(l_suppkey || strftime(l_shipdate, '%Y-%m-%d')), 1, 6) as _id,
           p_name as title, p_type as description, lpad(cast(l_orderkey as varchar), 24, '0') as "projectId", l_shipdate as deadline,
@@ -276,15 +281,31 @@ ORACLE_SQL: dict[str, str] = {
         select case when not cut then request_id end as request_id, case when not cut then email end as email, case when not cut then username end as username, case when not cut then password end as password,
           case when cut then substr('{"request_id":"' || request_id || '"', 1, 20) end as broken
         from (select *, cast(request_id as bigint) % 11 = 0 as cut from cmd_register)"""),
+    "request_body_outcomes": _with(("cmd_register",), """
+        select case when not cut then request_id end as request_id, case when cut then substr('{"request_id":"' || request_id || '"', 1, 20) end as broken,
+          cast(case when cut then 500 end as integer) as cause_status, cast(case when cut then 500 end as integer) as status, case when cut then 'Server error' end as message, true as located
+        from (select *, cast(request_id as bigint) % 11 = 0 as cut from cmd_register)"""),
     "read_users": _with(("users",), "select _id, username, email, password, cast(null as varchar) as token, cast(0 as bigint) as n_projects from users"),
     "resolve_refs": _with(("comments", "users", "projects", "tasks"), """
         select c._id, c."userId", u.username, t.title as task_title, p."projectTitle" as project_title
         from comments c left join users u on u._id = c."userId" left join projects p on p._id = c."projectId" left join tasks t on t._id = c."taskId\""""),
     "orphan_tasks": _with(("tasks", "cmd_project_delete", "projects"), """
         select _id, "projectId" from tasks where "projectId" not in (select _id from projects where _id not in (select id from cmd_project_delete))"""),
+    "dead_project_refs": _with(("member_refs", "left_projects"), "select _id, cast(pos as bigint) as pos, ref from member_refs where ref is not null and ref not in (select _id from left_projects)"),
+    "clean_project_refs": _with(("members", "member_refs", "left_projects"), """
+        select m._id, m.email, coalesce(r.ids, '') as projects from members m left join (
+          select _id, string_agg(coalesce(ref, '-'), ',' order by pos) as ids from member_refs where ref is null or ref in (select _id from left_projects) group by 1) r using (_id)"""),
+    "populate_projects": _with(("members", "member_refs", "left_projects"), """
+        select m._id, coalesce(r.titles, '') as titles from members m left join (
+          select r._id, string_agg(p."projectTitle", ',' order by pos) as titles from member_refs r join left_projects p on p._id = r.ref group by 1) r using (_id)"""),
     "responses": _with(("projects", "cmd_project_delete"), """
         select c.request_id, case when p._id is null then '{"status":500,"message":"Error fetching project"}' else '{"status":200,"projectTitle":"' || p."projectTitle" || '"}' end as body
         from cmd_project_delete c left join projects p on p._id = c.id"""),
+    "authorize_stream_asof": _with(("requests", "logins"), """
+        select request_id, user_id, case when ts < login_ts + interval 180 minute then login_ts end as login_ts, cast(case when ts < login_ts + interval 180 minute then 200 else 401 end as integer) as status from (
+          select *, max(login) over (partition by user_id order by ts, request_id rows between unbounded preceding and 1 preceding) as login_ts from (
+            select request_id, ts, user_id, cast(null as timestamp) as login from requests union all select request_id, ts, user_id, ts from logins))
+        where login is null and epoch_us(ts) <= (select epoch_ms(max(ts)) * 1000 from (select ts from requests union all select ts from logins)) - 10800000000"""),
     "authorize_stream": _with(("requests", "logins"), """
         select r.request_id, r.user_id from requests r
         where exists (select 1 from logins l where l.user_id = r.user_id and r.ts >= l.ts and r.ts < l.ts + interval 180 minute)"""),

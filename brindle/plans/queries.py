@@ -257,17 +257,27 @@ def error_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", status.alias("status"), message.alias("message"))
 
 
-def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of registrations, written as lines of JSON, some of them cut off, and parsed again under the declared schema."""
-    w = Workspace(spark, sf_dir)
+def _bodies(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with bodies of registrations as lines of JSON, some of them cut off."""
     folder = _new_folder(spark)
     body = F.to_json(F.struct("request_id", F.col("email"), F.col("password"), F.col("username"), F.lit("dropped").alias("other")))
     cut = F.col("request_id").cast("long") % 11 == 0
-    w.cmd_register().select(F.when(cut, F.substring(body, 1, 20)).otherwise(body).alias("value")).write.text(f"{folder}/bodies")
-    rows = read_requests(spark, f"{folder}/bodies", "register")
+    Workspace(spark, sf_dir).cmd_register().select(F.when(cut, F.substring(body, 1, 20)).otherwise(body).alias("value")).write.text(f"{folder}/bodies")
+    return f"{folder}/bodies"
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of registrations, written as lines of JSON, some of them cut off, and parsed again under the declared schema."""
+    rows = read_requests(spark, _bodies(spark, sf_dir), "register")
     return rows.select("request_id", "email", "username", "password", F.col("_corrupt_record").alias("broken"))
 
 
+def request_body_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the senders of those bodies get before any action; that of commands is null until they are applied."""
+    rows = outcomes.judge_bodies(read_requests(spark, _bodies(spark, sf_dir), "register", origin=True))
+    return rows.select("request_id", F.col("_corrupt_record").alias("broken"), "cause_status", "status", "message", (F.col("_file").isNotNull() & F.col("_block").isNotNull()).alias("located"))
+
+
 def read_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection at rest, read under its declared schema."""
     folder = _new_folder(spark)
@@ -280,6 +290,28 @@ def resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.resolve_refs(w.comments(), w.users(), w.tasks(), w.projects()).select("_id", "userId", "username", "task_title", "project_title")
 
 
+def dead_project_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of users to projects that are gone after deletes."""
+    w = Workspace(spark, sf_dir)
+    left = projects.delete_projects(w.projects(), w.cmd_project_delete()).state
+    return refs.dead_refs(w.members(), "projects", left).select("_id", F.col("pos").cast("long").alias("pos"), "ref")
+
+
+def clean_project_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users without those references; nulls stay."""
+    w = Workspace(spark, sf_dir)
+    left = projects.delete_projects(w.projects(), w.cmd_project_delete()).state
+    kept = refs.drop_dead_refs(w.members(), "projects", left)
+    return kept.select("_id", "email", F.concat_ws(",", F.transform("projects", lambda x: F.coalesce(x, F.lit("-")))).alias("projects"))
+
+
+def populate_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users with the titles of the projects that are left, in order."""
+    w = Workspace(spark, sf_dir)
+    left = projects.delete_projects(w.projects(), w.cmd_project_delete()).state
+    return refs.populate(w.members(), "projects", left, "projectTitle").select("_id", F.concat_ws(",", F.transform("projects", lambda p: p["projectTitle"])).alias("titles"))
+
+
 def orphan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
     left = projects.delete_projects(w.projects(), w.cmd_project_delete()).state
@@ -308,6 +340,20 @@ def authorize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(passes.schema).parquet(f"{folder}/passes").select("request_id", F.lpad(F.col("user_id").cast("string"), 24, "0").alias("user_id"))
 
 
+def authorize_stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all requests that the watermark passes, refusals included, from the events read as a stream."""
+    from ..functions.scalars import ACCESS_MINUTES
+    from ..streaming.jobs import authorize_stream_asof as job
+
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(_stream_folder(sf_dir))
+    row = lambda *kinds: events.where(F.col("event_type").isin(*kinds)).select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.lpad(F.col("user_id").cast("string"), 24, "0").alias("user_id"))
+    folder = _new_folder(spark)
+    found = job(row("view", "purchase"), row("click"), delay=f"{ACCESS_MINUTES} minutes")
+    found.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    zone = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.schema(found.schema).parquet(f"{folder}/answers").select("request_id", "user_id", zone("login_ts"), "status")
+
+
 def register_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users after the registrations have come in as a stream, through the job of register_users; each batch writes the users that it adds."""
     from ..sources.statelog import StateLog
@@ -357,6 +403,7 @@ QUERIES = {
         authorize, authorize_asof, token_upsert, logout_outcomes, logout_tokens, find_tokens, refresh_valid, session_replay, session_replay_expired,
         project_create, project_create_outcomes, project_get, project_update, project_update_outcomes, project_rename_chain, project_rename_chain_outcomes, project_delete, project_delete_outcomes,
         task_create, task_create_outcomes, task_patch, task_patch_outcomes, task_delete, task_patch_delete,
-        comment_create, comment_create_outcomes, comment_delete, comment_delete_state, resolve_refs, orphan_tasks, responses, error_outcomes, request_bodies, read_users, authorize_stream, register_stream, task_log,
+        comment_create, comment_create_outcomes, comment_delete, comment_delete_state, resolve_refs, orphan_tasks, dead_project_refs, clean_project_refs, populate_projects,
+        responses, error_outcomes, request_bodies, request_body_outcomes, read_users, authorize_stream, authorize_stream_asof, register_stream, task_log,
     )
 }

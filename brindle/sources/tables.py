@@ -16,10 +16,11 @@ def read_collection(spark: SparkSession, name: str, path: str, format: str = "pa
     return spark.read.schema(COLLECTIONS[name]).format(format).load(path)
 
 
-def read_requests(spark: SparkSession, path: str, action: str) -> DataFrame:
-    """JSON request bodies as command columns; a line that is no JSON keeps its text in _corrupt_record."""
+def read_requests(spark: SparkSession, path: str, action: str, origin: bool = False) -> DataFrame:
+    """JSON request bodies as command columns; a line that is no JSON keeps its text in _corrupt_record. With `origin`, the file and where in it the block begins that was read (_file, _block)."""
     schema = T.StructType([*COMMANDS[action].fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).json(path)
+    rows = spark.read.schema(schema).json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")) if origin else rows
 
 
 def parse_requests(rows: DataFrame, action: str, body: str = "body") -> DataFrame:

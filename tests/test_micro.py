@@ -313,3 +313,17 @@ def test_errors_of_other_kinds(spark):
     df = spark.createDataFrame(rows, "request_id string, status int, message string")
     status, message = error_outcome(F.col("status"), F.col("message"))
     assert by_request(df.select("request_id", status.alias("s"), message.alias("m")), "s", "m") == {"1": (400, "said"), "2": (401, "User is not authorized"), "3": (403, "no"), "4": (404, "No project was found by requested id"), "5": (500, "Internal server error"), "6": (500, "Server error"), "7": (500, "Server error")}
+
+
+def test_array_references(spark):
+    rows = [("u", "A", "a@x.io", "pw", None, [oid(3), oid(9), oid(1), None, oid(3)]), ("v", "B", "b@x.io", "pw", None, []), ("w", "C", "c@x.io", "pw", None, None), ("x", "D", "d@x.io", "pw", None, [oid(8), oid(9)]), (None, "E", "e@x.io", "pw", None, [oid(9)])]
+    u = spark.createDataFrame(rows, USERS).withColumn("pos", F.lit("extra"))
+    p = _projects(spark)
+    assert sorted((r._id or "", r.pos, r.ref) for r in refs.dead_refs(u, "projects", p).collect()) == [("", 0, oid(9)), ("u", 1, oid(9)), ("x", 0, oid(8)), ("x", 1, oid(9))]
+    kept = refs.drop_dead_refs(u, "projects", p)
+    assert kept.columns == u.columns and {r._id: r.projects for r in kept.collect()} == {"u": [oid(3), oid(1), None, oid(3)], "v": [], "w": None, "x": [], None: [oid(9)]}
+    titles = {r._id: [d.projectTitle for d in r.projects] for r in refs.populate(u, "projects", p, "projectTitle").collect()}
+    by_id = {r._id: r.projectTitle for r in p.collect()}
+    assert titles == {"u": [by_id[oid(3)], by_id[oid(1)], by_id[oid(3)]], "v": [], "w": [], "x": [], None: []}
+    none = spark.createDataFrame([], PROJECTS)
+    assert {r._id: r.projects for r in refs.drop_dead_refs(u, "projects", none).collect()}["u"] == [None] and refs.dead_refs(u.limit(0), "projects", p).count() == 0

@@ -151,3 +151,40 @@ def test_batches_write_what_they_change(spark, tmp_path, monkeypatch):
     assert out.count() == 20 and out.where("status = 200").count() == 7
     assert len(list((tmp_path / "state" / "_batches").iterdir())) == 1  # only the last batch's note stays
     assert log.compact(share=0) and log.read().count() == 20_007
+
+
+def test_authorize_stream_with_refusals(spark, tmp_path):
+    """Over several batches, the answers are those of the batch job for all that the watermark passes."""
+    import random
+
+    from brindle.operators.sessions import authorize_asof
+    from brindle.streaming.jobs import authorize_stream_asof
+
+    rng = random.Random(3)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema = "request_id string, ts timestamp, user_id string, login boolean"
+    rows = []
+    for part in range(5):  # each batch lies within the delay of the one before
+        some = [(f"{part}-{i:03d}", at(part * 200 + rng.randint(-50, 250)), rng.choice(["u", "u", "v", None, f"w{i}"]), rng.random() < 0.15) for i in range(60)]
+        rows += some
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    rows.append(("end", at(9000), "nobody", True))
+    spark.createDataFrame(rows[-1:], schema).write.mode("append").parquet(str(tmp_path / "e"))
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    pick = lambda of, login: of.where(F.col("login") == login).select("request_id", "ts", "user_id")
+    q = authorize_stream_asof(pick(e, False), pick(e, True), "400 minutes", shares=3).writeStream.format("memory").queryName("answers").trigger(availableNow=True).start()
+    q.awaitTermination()
+    whole = spark.createDataFrame(rows, schema)
+    wanted = authorize_asof(pick(whole, False), pick(whole, True)).select("request_id", "ts", "user_id", "login_ts", "status", "message").collect()
+    got = spark.table("answers").select("request_id", "ts", "user_id", "login_ts", "status", "message").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, wanted), key=repr)
+    assert {r.status for r in got} == {200, 401}
+
+
+def test_broken_bodies_have_outcomes(spark, tmp_path):
+    from brindle.operators.outcomes import judge_bodies
+
+    (tmp_path / "a.json").write_text('{"email": "a@x.io"}\n{"email": \n"x"\n')
+    rows = judge_bodies(tables.read_requests(spark, str(tmp_path / "a.json"), "register", origin=True)).collect()
+    assert sorted(((r.email, r._corrupt_record, r.status, r.message, r.cause_status) for r in rows), key=repr) == sorted([("a@x.io", None, None, None, None), (None, '{"email": ', 500, "Server error", 500), (None, '"x"', 500, "Server error", 500)], key=repr)
+    assert all(r._file.endswith("a.json") and r._block == 0 for r in rows)
