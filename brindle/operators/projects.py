@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.components import connected
 from ..functions.scalars import new_id, or_else, order, present, sure
 from .keyed import delete_by_id
 from .outcomes import Cause, judged, outcomes
@@ -133,26 +134,46 @@ def _replay(fields: list[str], kind: pa.DataType):
     return run
 
 
-def _replayed(projects: DataFrame, cmd: DataFrame) -> DataFrame:
+def title_parts(cmd: DataFrame, folder: str) -> DataFrame:
+    """(user_id, projectTitle, part) of the titles that commands look for: titles of a user have the same part if a chain of renames leads from one to the other.
+
+    A rename to a title that no command of the user looks for binds nothing. Nodes are
+    64-bit hashes, of which equal ones would only bind parts that could be apart. The
+    components' tables are written to the folder, one that the cluster shares."""
+    node = lambda title: F.xxhash64("user_id", title)
+    asked = cmd.where("user_id is not null and projectTitle <> ''").select("user_id", "projectTitle").distinct().withColumn("node", node("projectTitle"))
+    renames = cmd.where("user_id is not null and projectTitle <> '' and newTitle <> ''").select("user_id", "projectTitle", "newTitle").distinct()
+    edges = renames.join(asked.select("user_id", F.col("projectTitle").alias("newTitle")), ["user_id", "newTitle"], "left_semi").select(node("projectTitle").alias("a"), node("newTitle").alias("b"))
+    return asked.join(connected(edges, folder), "node", "left").select("user_id", "projectTitle", F.coalesce("component", "node").alias("part"))
+
+
+def _replayed(projects: DataFrame, cmd: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Rows with request_id and _id of what each command found, and, without request_id, projects after them, of the users whose commands interact.
 
-    Projects and then commands of each user in order stream through a task; it holds the user's projects of titles that occur in commands."""
+    Projects and then commands of each user (with parts: of each part of a user's titles) in order stream through a task; it holds the projects of titles that occur in commands."""
     at = dict(projects.dtypes)["createdAt"]
     none = F.lit(None)
-    titles = cmd.select(F.col("user_id").alias("user"), "projectTitle").distinct()
-    mine = projects.join(titles, ["user", "projectTitle"], "left_semi").select("user", F.col("_id").alias("key"), none.cast(dict(cmd.dtypes)["ts"]).alias("ts"), F.col("projectTitle").alias("title"), none.cast("string").alias("new_title"), F.col("description").alias("text"), F.col("createdAt").alias("at"), none.cast("boolean").alias("bad"))
-    theirs = cmd.select(F.col("user_id").alias("user"), F.col("request_id").alias("key"), "ts", F.col("projectTitle").alias("title"), F.col("newTitle").alias("new_title"), F.col("newDescription").alias("text"), F.col("_at").cast(at).alias("at"), F.coalesce("_bad", F.lit(False)).alias("bad"))
+    if parts is None:
+        parts = cmd.select("user_id", "projectTitle").distinct().withColumn("part", F.lit(0))
+        cmd = cmd.withColumn("part", F.lit(0))
+    else:  # a command without a title finds nothing, wherever it is
+        cmd = cmd.join(parts, ["user_id", "projectTitle"], "left").withColumn("part", F.coalesce("part", F.xxhash64("request_id")))
+    owner = F.concat_ws(":", "part", "user").alias("user")
+    mine = projects.join(parts.withColumnRenamed("user_id", "user"), ["user", "projectTitle"]).select(owner, F.col("_id").alias("key"), none.cast(dict(cmd.dtypes)["ts"]).alias("ts"), F.col("projectTitle").alias("title"), none.cast("string").alias("new_title"), F.col("description").alias("text"), F.col("createdAt").alias("at"), none.cast("boolean").alias("bad"))
+    theirs = cmd.withColumnRenamed("user_id", "user").select(owner, F.col("request_id").alias("key"), "ts", F.col("projectTitle").alias("title"), F.col("newTitle").alias("new_title"), F.col("newDescription").alias("text"), F.col("_at").cast(at).alias("at"), F.coalesce("_bad", F.lit(False)).alias("bad"))
     rows = mine.union(theirs).withColumn("order", F.col("bad").isNotNull()).repartition("user").sortWithinPartitions("user", "order", "ts", "key").drop("order")
     out = T.StructType([T.StructField(c, T.StringType()) for c in ("request_id", "_id", "projectTitle", "description")] + [projects.schema["createdAt"]])
     return rows.mapInArrow(_replay(out.names, pa.timestamp("us", tz="UTC" if at == "timestamp" else None)), out)
 
 
-def update_projects(projects: DataFrame, cmd: DataFrame, as_of: Column) -> Changed:
-    """Patch the first project (least _id) of (user, projectTitle). Users whose commands interact are replayed in order, those titles of theirs that occur in commands; all others take one aggregate and two joins."""
+def update_projects(projects: DataFrame, cmd: DataFrame, as_of: Column, parts: DataFrame | None = None) -> Changed:
+    """Patch the first project (least _id) of (user, projectTitle). Users whose commands interact are replayed in order, those titles of theirs that occur in commands; all others take one aggregate and two joins.
+
+    With the parts of titles (title_parts), each part of a user is replayed by itself, so that a user with very many commands spreads over tasks."""
     cmd = _ordered(cmd)
     apart, chained = split_by_interaction(cmd)
     patches, hits = _update_apart(projects, apart, as_of)
-    replay = _replayed(projects, chained)
+    replay = _replayed(projects, chained, parts)
     hits = hits.union(replay.where("request_id is not null").select("request_id", "_id"))
     after = replay.where("request_id is null").select("_id", *(F.col(c).alias(f"r_{c}") for c in ("projectTitle", "description", "createdAt")), as_of.alias("r_updatedAt"), F.lit(True).alias("replayed"))
     rows = projects.join(patches, "_id", "left").join(after, "_id", "left")
@@ -177,4 +198,4 @@ def update_projects(projects: DataFrame, cmd: DataFrame, as_of: Column) -> Chang
     return Changed(state, outcomes(judged_rows, "project_update", F.col("_id")))
 
 
-__all__ = ["create_projects", "delete_projects", "get_projects", "order", "project_dto", "update_projects"]
+__all__ = ["create_projects", "delete_projects", "get_projects", "order", "project_dto", "title_parts", "update_projects"]

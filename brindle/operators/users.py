@@ -34,13 +34,16 @@ def _token(cmd: DataFrame):
     return F.col("refreshToken") if "refreshToken" in cmd.columns else F.concat(F.lit("rt-"), F.col("request_id"))
 
 
-def register(users: DataFrame, cmd: DataFrame, enforce: bool = True) -> Registered:
+def register(users: DataFrame, cmd: DataFrame, enforce: bool = True, known: DataFrame | None = None) -> Registered:
     """Insert users with new e-mails. Of commands with the same e-mail the first acceptable one wins.
 
+    With `known`, a frame of e-mails, those of the commands that users have are taken from there (sources/known.py
+    finds them without reading all users); it must have each of them.
+
     The winner of each e-mail is found by an aggregate (summed up before it is shuffled, so an
     e-mail that bots send is no bottleneck) and joined back."""
     cmd = validate(cmd, "register", enforce).withColumn("complete", has_required("users"))
-    known = users.select("email").where("email is not null").distinct().withColumn("exists", F.lit(True))
+    known = (users if known is None else known).select("email").where("email is not null").distinct().withColumn("exists", F.lit(True))
     cmd = cmd.join(known, "email", "left")
     winners = cmd.where("rejected is null and exists is null and complete").groupBy("email").agg(F.min(order()).alias("winner"))
     cmd = cmd.join(winners, "email", "left")

@@ -167,12 +167,12 @@ _PATCHED = """t._id, coalesce(f.title, t.title) as title, case when f.last_descr
 
 ORACLE_SQL: dict[str, str] = {
     "task_search": _with(("tasks",), """select _id, title, "projectId", deadline from tasks where regexp_matches(title, 'RED|w.dg', 'i')"""),
-    "task_search_batch": _with(("long_tasks", "cmd_tasks_get"), """
+    **{name: _with(("long_tasks", "cmd_tasks_get"), """
         select c.request_id, t._id, case when length(t.title) > 1000 then md5(t.title) else t.title end as title
         from cmd_tasks_get c join long_tasks t using ("projectId")
         where not c.by_title or case c.val when 'bad' then false
           when 'look' then regexp_matches(t.title, 'red', 'i') and regexp_matches(t.title, 'w', 'i') and not exists (select 1 from long_tasks o where o."projectId" = c."projectId" and length(o.title) > 1000)
-          else regexp_matches(t.title, c.val, 'i') end"""),
+          else regexp_matches(t.title, c.val, 'i') end""") for name in ("task_search_batch", "task_search_pruned")},
     "task_search_outcomes": _with(("long_tasks", "cmd_tasks_get"), _judged("cmd_tasks_get", [
         ("by_title and (val = 'bad' or val = 'look' and k in (select k from long_tasks where length(title) > 1000))", 500, 500, "'Error retrieving tasks'")], '"projectId"')),
     "tasks_by_project": _with(("tasks", "cmd_project_delete"), """select c.request_id, t._id, t."projectId" from cmd_project_delete c join tasks t on t."projectId" = c.id"""),
@@ -184,9 +184,9 @@ ORACLE_SQL: dict[str, str] = {
         select request_id, cast(title is null as bigint) as n_violations, case when title is null then 'Task title is required' end as rejected,
           title is not null and description is not null and description <> '' as complete from cmd_task_create"""),
     "conform_tasks": _with(("cmd_task_create",), f"""select request_id as _id, title, description, "projectId", deadline, {NOW} as "createdAt", not bad_date as castable from cmd_task_create"""),
-    "register_outcomes": _with(("registered",), _judged("registered", [
+    **{name: _with(("registered",), _judged("registered", [
         ("bad", 400, 400, "'Password must be between 6 and 24 characters'"),
-        ("known or turn > 1", 400, 400, "'User with this email already exists.'")], NEW_ID)),
+        ("known or turn > 1", 400, 400, "'User with this email already exists.'")], NEW_ID)) for name in ("register_outcomes", "register_known_outcomes")},
     **{name: _with(("registered",), f"""
         select _id, username, email, password from users_before union all
         select {NEW_ID}, username, email, password from registered where not bad and not known and turn = 1""") for name in ("register_users", "register_stream")},
@@ -238,7 +238,7 @@ ORACLE_SQL: dict[str, str] = {
     "project_get": _with(("projects", "cmd_project_delete"), _judged(
         """(select c.request_id, c.id as wanted, p._id, p."projectTitle" as title, p.description from cmd_project_delete c left join projects p on p._id = c.id)""",
         [("_id is null", 400, 500, "'Error fetching project'")], "wanted", more=", title, description")),
-    **{f"{name}{part}": _with((frame, "projects"), body) for name, frame in (("project_update", "updated"), ("project_rename_chain", "chained")) for part, body in (
+    **{f"{name}{part}": _with((frame, "projects"), body) for name, frame in (("project_update", "updated"), ("project_rename_chain", "chained"), ("project_rename_parts", "chained")) for part, body in (
         ("", _PROJECT_UPDATE.format(frame)),
         ("_outcomes", _judged(f"(select request_id, hit from {frame} where n > 0)", [("hit is null", 400, 500, "'Error updating project: Project not found'")], "hit")))},
     "project_delete": _with(("projects", "cmd_project_delete"), "select * from projects where _id not in (select id from cmd_project_delete)"),
@@ -265,7 +265,7 @@ ORACLE_SQL: dict[str, str] = {
         """(select c.request_id, t._id, t.title, t."projectId" from cmd_task_delete c left join tasks t on t._id = c."taskId")""",
         [("_id is null", 400, 500, "'Error deleting task: Task not found'")], "_id", more=', title, "projectId"')),
     **{name: _with(("folded", "tasks", "cmd_task_delete"), f"""
-        select {_PATCHED}, coalesce(f.deadline, t.deadline) as deadline from tasks t left join folded f on f._id = t._id where t._id not in (select "taskId" from cmd_task_delete)""") for name in ("task_patch_delete", "task_log")},
+        select {_PATCHED}, coalesce(f.deadline, t.deadline) as deadline from tasks t left join folded f on f._id = t._id where t._id not in (select "taskId" from cmd_task_delete)""") for name in ("task_patch_delete", "task_log", "task_patch_bucketed")},
     "comment_create": _with(("comments", "cmd_comment_create"), f"""
         select * from comments union all
         select {NEW_ID}, text, {NOW}, null, "taskId", user_id from cmd_comment_create where "taskId" <> 'no id' and text <> ''"""),

@@ -390,6 +390,61 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.read().select("_id", "title", "description", "deadline")
 
 
+def task_search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches over tasks that are laid out by their project: buckets without a command are not read."""
+    from ..sources.layout import KeyedFolders
+
+    w = Workspace(spark, sf_dir)
+    before, cmd = w.long_tasks(), w.cmd_tasks_get()
+    laid = KeyedFolders(spark, f"{_new_folder(spark)}/tasks", before.schema, "projectId", 64)
+    laid.write(before)
+    found = tasks.search_tasks_batch(laid.near(cmd), cmd)[0]
+    return found.select("request_id", "_id", F.when(F.length("title") > 1000, F.md5(F.col("title").cast("binary"))).otherwise(F.col("title")).alias("title"))
+
+
+def register_known_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrations in two batches; which e-mails users have is told by Bloom filters, to which the first batch adds."""
+    from ..sources.known import KnownValues
+
+    w = Workspace(spark, sf_dir)
+    before, cmd = w.users_before(), w.cmd_register()
+    known = KnownValues(spark, f"{_new_folder(spark)}/emails", "email", 64)
+    known.add(before, 1)
+    half = cmd.agg(F.percentile_approx(F.col("ts").cast("timestamp"), 0.5).cast("timestamp_ntz").alias("half")).scalar()
+    early = F.coalesce(F.col("ts") < half, F.lit(True))
+    first = users.register(before, cmd.where(early), known=known.known(cmd.where(early)))
+    known.add(first.inserted, 2)
+    second = users.register(before, cmd.where(~early), known=known.known(cmd.where(~early)))
+    return _short(first.outcomes.union(second.outcomes))
+
+
+def _chained(spark: SparkSession, sf_dir: str):
+    w = Workspace(spark, sf_dir)
+    cmd = w.cmd_rename_chain()
+    return projects.update_projects(w.projects(), cmd, _now(), projects.title_parts(cmd, f"{_new_folder(spark)}/titles"))
+
+
+def project_rename_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job of project_rename_chain, by parts of each user's titles."""
+    return _chained(spark, sf_dir).state
+
+
+def project_rename_parts_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(_chained(spark, sf_dir).outcomes)
+
+
+def task_patch_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job of task_patch_delete over tasks in a bucketed base: commands come to the tasks, and the changes to the base."""
+    from ..sources.statelog import StateLog
+
+    w = Workspace(spark, sf_dir)
+    before = w.tasks()
+    log = StateLog(spark, f"{_new_folder(spark)}/tasks", before.schema, buckets=16)
+    log.write_base(before, 0)
+    log.write_changes(tasks.task_changes(log.read(), w.cmd_task_update(), w.cmd_task_delete())[0], 1)
+    return log.read().select("_id", "title", "description", "deadline")
+
+
 def _stream_folder(sf_dir: str) -> str:
     """A stream reads folders; a glob takes a table that is a single file, too."""
     return f"{sf_dir}/events.parque[t]"
@@ -405,5 +460,6 @@ QUERIES = {
         task_create, task_create_outcomes, task_patch, task_patch_outcomes, task_delete, task_patch_delete,
         comment_create, comment_create_outcomes, comment_delete, comment_delete_state, resolve_refs, orphan_tasks, dead_project_refs, clean_project_refs, populate_projects,
         responses, error_outcomes, request_bodies, request_body_outcomes, read_users, authorize_stream, authorize_stream_asof, register_stream, task_log,
+        task_search_pruned, register_known_outcomes, project_rename_parts, project_rename_parts_outcomes, task_patch_bucketed,
     )
 }

@@ -6,7 +6,9 @@ is complete.  A read takes the latest base and, of the later changes, the last o
 key: one anti join on the changed keys, without a shuffle of the base where Spark finds
 those small enough to send around.  Compaction writes the state as a base of its version once the
 changes have grown to a share of the base, so that all writing together stays in
-proportion to the changes; what is older can go then.
+proportion to the changes; what is older can go then.  With `buckets` a base is a bucketed
+table: joins of the state by its key (the changes, commands by id) then move the other side
+alone, however large that is.
 
 Defined results: rows of the base with a null key stay; a change of a key that isn't there
 adds it; a delete of such a key does nothing; of several rows of a key in one batch any one
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .layout import read_bucketed, write_bucketed
+
 DELETED = "_deleted"
 
 
 class StateLog:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "_id"):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "_id", buckets: int | None = None):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
 
     def _at(self, name: str = ""):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -60,7 +64,15 @@ class StateLog:
         return store.getContentSummary(p).getLength() if store.exists(p) else 0
 
     def write_base(self, state: DataFrame, version: int) -> None:
-        state.select(self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        rows, path = state.select(self.schema.names), f"{self.path}/v={version}"
+        if self.buckets:
+            write_bucketed(rows, path, self.key, self.buckets)
+        else:
+            rows.write.mode("overwrite").parquet(path)
+
+    def _base(self, version: int) -> DataFrame:
+        path = f"{self.path}/v={version}"
+        return read_bucketed(self.spark, path, self.schema, self.key, self.buckets) if self.buckets else self.spark.read.schema(self.schema).parquet(path)
 
     def write_changes(self, changed: DataFrame, version: int) -> None:
         """changed: the rows after the change, for deletes too; with a column _deleted, if there are any."""
@@ -72,7 +84,7 @@ class StateLog:
         upto = [v for v in self.bases() if version is None or v <= version]
         base = max(upto, default=None)
         later = [v for v in self.changes() if (base is None or v > base) and (version is None or v <= version)]
-        state = self.spark.createDataFrame([], self.schema) if base is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v={base}")
+        state = self.spark.createDataFrame([], self.schema) if base is None else self._base(base)
         if not later:
             return state
         schema = T.StructType([*self.schema, T.StructField(DELETED, T.BooleanType()), T.StructField("d", T.LongType())])
