@@ -5,7 +5,8 @@ control characters.  Equal chunks of a batch are segmented once, all together: p
 are found by rolling hashes, forward Viterbi scores come from one vectorised pass over
 ends, and backward scores give each chunk's gap to its second best segmentation.  The
 N best segmentations of a whole text can differ from the best in the N - 1 chunks of
-least gap only (of equal gaps, by the order below), so those chunks alone go through the A* search: backwards from the
+least gap only (of equal gaps, by the order below), so those chunks alone are ranked: short ones all at once, by the n
+best ways to each of their nodes, and long ones by an A* search: backwards from the
 chunk's end, with the forward Viterbi scores as exact heuristics, so that complete
 segmentations leave the heap best first.  As the heuristics are exact, a hypothesis costs
 what its departures from the best edges lose; the one that is expanded follows its best
@@ -43,6 +44,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _PIECES = 1 << 20  # a score's unit, so that the count of pieces breaks ties
 _WIDE = 1 << 40  # the same where no unit fits 64 bits: such scores are Python integers
+_SHORT = 128  # characters of chunks whose best segmentations are found all at once
 _NO_GAP = np.iinfo(np.int64).max  # of chunks with one segmentation
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("round_trip", T.BooleanType())])
 
@@ -78,18 +80,27 @@ class Pieces:
         self.unknown_score = code(least)
         codes = [_code_points(self.text[i]) for i in usable]
         self.longest = max(map(len, codes), default=1)
-        marked = [x for x in codes if (x[1:] == _MARK).any() and not (x == _MARK).all()]
+        # over the code points of all pieces, one after another: a worker reads the model in less than a second
+        size = np.array([len(x) for x in codes], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *codes])
+        piece, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        place = np.arange(len(flat)) - first[piece]
+        marked = [codes[i] for i in np.unique(piece[(flat == _MARK) & (place > 0)]).tolist() if not (codes[i] == _MARK).all()]
         self.cut_at_mark = not any((x[:-1] != _MARK)[x[1:] == _MARK].any() for x in marked)
-        controls = [c for c in range(32) if not any((x == c).any() and len(x) > 1 for x in codes)]
         self.controls = np.zeros(33, bool)
-        self.controls[controls] = True
+        self.controls[:32] = True
+        self.controls[flat[(flat < 32) & (size[piece] > 1)]] = False
         up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(self.longest, _FACTOR)])
-        hashes = np.array([mix(np.array([((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)]).sum() + np.uint64(len(x))], np.uint64))[0] for x in codes], np.uint64)
+        hashes = np.zeros(len(size), np.uint64)
+        np.add.at(hashes, piece, (flat.astype(np.uint64) + np.uint64(1)) * up[place])
+        hashes = mix(hashes + size.astype(np.uint64))
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(usable, np.int64)[order]
         self.scores = np.array([code(x) for x in score], np.int64)[order]
-        self.some = np.zeros(1 << 22, bool)
-        self.some[(hashes >> np.uint64(42)).astype(np.int64)] = True
+        slot = (self.hashes >> np.uint64(42)).astype(np.int64)
+        self.slots = np.full(1 << 22, -1, np.int32)  # of the first bits of a hash, the first piece that has them
+        self.slots[slot[::-1]] = np.arange(len(slot))[::-1]
+        self.in_slot = int(np.bincount(slot).max(initial=1)) if len(slot) else 1
         raw = [bytes([int(x[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else x.encode() for i, x in enumerate(self.text)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.cumsum([0, *map(len, raw)])
@@ -103,12 +114,16 @@ class Pieces:
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         found = []
         single = np.zeros(n, bool)
+        inside = np.arange(n)
+        room = end - inside
         for size in range(1, min(self.longest, n) + 1):
-            start = np.flatnonzero(end[: n - size + 1] - np.arange(n - size + 1) >= size)
+            inside = start = inside[room[inside] >= size]
             h = mix((total[start + size] - total[start]) * down[start] + np.uint64(size))
-            ok = self.some[(h >> np.uint64(42)).astype(np.int64)]
-            start, h = start[ok], h[ok]
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            at = self.slots[(h >> np.uint64(42)).astype(np.int64)]
+            ok = np.flatnonzero(at >= 0)
+            start, h, at = start[ok], h[ok], at[ok]
+            for _ in range(1, self.in_slot):
+                at = np.where(self.hashes[at] < h, np.minimum(at + 1, len(self.hashes) - 1), at)
             ok = self.hashes[at] == h
             start, at = start[ok], at[ok]
             if size == 1:
@@ -170,7 +185,7 @@ class Lattice:
         chunk = np.repeat(np.arange(count), np.diff(first))
         end = np.repeat(first[1:], np.diff(first))
         start, size, score, ids = pieces.edges(codes, end)
-        order = np.lexsort((-size, start + size))
+        order = np.argsort((start + size) * (pieces.longest + 1) - size, kind="stable")  # by end, longest first
         start, size, score, ids = start[order], size[order], score[order], ids[order]
         if unit != _PIECES:
             score = ((score + 1) // _PIECES).astype(object if unit == _WIDE else np.int64) * unit - 1
@@ -217,14 +232,17 @@ class Lattice:
         count = len(self.first) - 1
         behind = np.zeros(int(self.node_first[-1]), self.score.dtype)
         away = self.node_first[1:][self.home] - 1 - self.low
-        order = np.lexsort((self.low, away))
+        order = np.argsort(away * (len(behind) + 1) + self.low, kind="stable")
         d = away[order]
         _relax(behind, self.low, self.high, self.score, order, np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else order)
         other = np.ones(len(self.low), bool)
         other[path] = False
         out = np.full(count, _no_gap(self.score.dtype), self.score.dtype)
         e = np.flatnonzero(other)
-        np.minimum.at(out, self.home[e], self.best[self.home[e]] - (self.ahead[self.low[e]] + self.score[e] + behind[self.high[e]]))
+        home = self.home[e]  # in order, as edges are
+        if len(e):
+            first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+            out[home[first]] = np.minimum.reduceat(self.best[home] - (self.ahead[self.low[e]] + self.score[e] + behind[self.high[e]]), first)
         return out
 
     def n_best(self, chunk: int, n: int) -> list[tuple[int, list[int]]]:
@@ -269,6 +287,52 @@ class Lattice:
         turn = {k: i for i, k in enumerate(sorted(range(len(out)), key=lambda k: out[k][2]))}
         return [(s, [x for e in reversed(way) for x in self.token(begin + e)], turn[k]) for k, (s, way, _) in enumerate(out)]
 
+    def all_ranked(self, n: int) -> list[list[tuple[int, list[int], int]]]:
+        """`ranked` of every chunk, all at once (for short chunks and 64-bit scores): the n best ways to a node are the best of those to the nodes before it.
+
+        Ways of equal scores keep the order of their edges (longest first) and of what is before those, which is the order of segmentations."""
+        nodes = int(self.node_first[-1])
+        value, via, rank = np.zeros((nodes, n), np.int64), np.full((nodes, n), -1), np.zeros((nodes, n), np.int64)
+        known = np.zeros((nodes, n), bool)
+        known[self.node_first[:-1], 0] = True
+        order, cut = _steps(self.high, self.home, self.node_first)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            row, r = np.nonzero(known[self.low[order[a:b]]])
+            e = order[a:b][row]
+            new, node = value[self.low[e], r] + self.score[e], self.high[e]
+            best = np.lexsort((-new, node))
+            first = np.flatnonzero(np.r_[True, node[best][1:] != node[best][:-1]])
+            place = np.arange(len(best)) - np.repeat(first, np.diff(np.r_[first, len(best)]))
+            best, place = best[place < n], place[place < n]
+            at = (node[best], place)
+            value[at], via[at], rank[at], known[at] = new[best], e[best], r[best], True
+        last = self.node_first[1:] - 1
+        chunk, r = np.nonzero(known[last])
+        score, node, way = value[last[chunk], r], last[chunk], np.arange(len(chunk))
+        steps = []
+        while len(way):
+            e = via[node, r]
+            steps.append((way, e))
+            r, node = rank[node, r], self.low[e]
+            on = np.flatnonzero(node > self.node_first[self.home[e]])
+            way, r, node = way[on], r[on], node[on]
+        ways, edge = (np.concatenate(x) for x in zip(*steps, strict=True))
+        by = np.argsort(ways, kind="stable")  # of each way the edges from the end on
+        edge, at = edge[by], np.searchsorted(ways[by], np.arange(len(chunk) + 1)).tolist()
+        ids, size = self.ids[edge], (-self.size[edge]).tolist()
+        lone = np.zeros(len(chunk), bool)
+        lone[ways[by][ids < 0]] = True
+        ids, score, lone = ids.tolist(), score.tolist(), lone.tolist()
+        bounds, out = np.searchsorted(chunk, np.arange(len(last) + 1)).tolist(), []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            turn = {k: i for i, k in enumerate(sorted(range(low, high), key=lambda k: size[at[k] : at[k + 1]]))}
+            found = []
+            for k in range(low, high):
+                own = [x for e in reversed(edge[at[k] : at[k + 1]].tolist()) for x in self.token(e)] if lone[k] else ids[at[k] : at[k + 1]][::-1]
+                found.append((score[k], own, turn[k]))
+            out.append(found)
+        return out
+
     def token(self, e: int) -> tuple:
         return (int(self.ids[e]),) if self.ids[e] >= 0 else tuple(self.pieces.bytes_of(int(self.codes[self.low[e] - self.home[e]])))
 
@@ -400,13 +464,17 @@ def encode_n_best(pieces: Pieces, text: pa.ChunkedArray, n: int):
         if n > 1 and len(some):
             wanted[which[a:b][gap[a:b] <= _kth(some, min(n - 1, len(some)))]] = True
     wanted = np.flatnonzero(wanted)
+    size = (ends - starts)[own[wanted]]
     kept: dict[int, list[tuple[int, list[int], int]]] = {}
     later = np.zeros(len(unique), bool)
-    for i, j in _blocks(ends[own[wanted]] - starts[own[wanted]]):
-        lattice = Lattice(pieces, *_spans(codes, starts[own[wanted[i:j]]], ends[own[wanted[i:j]]]), unit)
-        for k, u in enumerate(wanted[i:j].tolist()):
-            kept[u] = lattice.ranked(k, n)
-            later[u] = kept[u][1][2] < kept[u][0][2]
+    at_once = (size <= _SHORT) & (unit != _WIDE)
+    for some, together in ((wanted[at_once], True), (wanted[~at_once], False)):
+        for i, j in _blocks(ends[own[some]] - starts[own[some]]):
+            lattice = Lattice(pieces, *_spans(codes, starts[own[some[i:j]]], ends[own[some[i:j]]]), unit)
+            found = lattice.all_ranked(n) if together else [lattice.ranked(k, n) for k in range(j - i)]
+            for u, ranked in zip(some[i:j].tolist(), found, strict=True):
+                kept[u] = ranked
+                later[u] = ranked[1][2] < ranked[0][2]
     place, more = {}, []  # segmentations other than the best, after the best ones of all chunks
     for u, found in kept.items():
         for k in range(1, len(found)):
