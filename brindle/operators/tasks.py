@@ -81,8 +81,22 @@ def _value(tasks: DataFrame, field: str) -> Column:
     return F.try_to_timestamp(raw).cast(kind) if kind.startswith("timestamp") else raw.cast(kind)
 
 
+def _folded(tasks: DataFrame, cmd: DataFrame, has: dict[str, Column]) -> DataFrame:
+    """Of each task with commands that count: the last value of each field with its order (null: none), and the first delete.
+
+    Patches and deletes meet in one aggregate, which is summed up before it is shuffled and then meets the tasks as it lies."""
+    said = {f"_{f}": F.when(F.col("_counts") & has[f], F.struct("ts", "request_id", _value(tasks, f).alias("v"))) for f in FIELDS}
+    gone = F.when(F.col("kind") == "task_delete", order())
+    some = cmd.where("taskId is not null and (_counts or (kind = 'task_delete' and rejected is null))")
+    return some.groupBy(F.col("taskId").alias("_id")).agg(*(F.max(v).alias(k) for k, v in said.items()), F.min(gone).alias("_end"))
+
+
+def _patched(field: str) -> Column:
+    return F.when(F.col("_end").isNull() & F.col(f"_{field}").isNotNull(), F.col(f"_{field}.v")).otherwise(F.col(field)).alias(field)
+
+
 def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, enforce: bool, id_format: str) -> tuple[DataFrame, DataFrame]:
-    """The state after patches and deletes, and the judged commands with the task after each patch (before each delete)."""
+    """What the commands that count make of each task (see _folded), and the judged commands with the task after each patch (before each delete)."""
     same, at = ["request_id", "ts", "taskId"], ["ts", "request_id"]
     cmd = patches.select(*same, "updatedData", F.lit("task_update").alias("kind"))
     if deletes is not None:
@@ -95,12 +109,9 @@ def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, en
     # a patch that is valid counts for its task whether or not that is there: without it nothing asks for the values
     cmd = cmd.withColumn("_counts", F.col("rejected").isNull() & (F.col("kind") == "task_update") & ~F.col("bad_date"))
     values = [f"_{f}" for f in FIELDS]
-    said = {f"_{f}": F.when(has[f], F.struct("ts", "request_id", _value(tasks, f).alias("v"))) for f in FIELDS}
-    last = cmd.where("_counts").groupBy(F.col("taskId").alias("_id")).agg(*(F.max(v).alias(k) for k, v in said.items()))
-    cmd = cmd.withColumns({k: F.when(F.col("_counts"), v) for k, v in said.items()}).drop("updatedData", "_counts")
+    folded = _folded(tasks, cmd, has)
+    cmd = cmd.withColumns({f"_{f}": F.when(F.col("_counts") & has[f], F.struct(_value(tasks, f).alias("v"))) for f in FIELDS}).drop("updatedData", "_counts")
     ends = cmd.where("kind = 'task_delete' and rejected is null").groupBy("taskId").agg(F.min(order()).alias("end"))
-    state = tasks if deletes is None else tasks.join(ends.select(F.col("taskId").alias("_id")), "_id", "left_anti")
-    state = state.join(last, "_id", "left").select("_id", *(F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)).alias(f) for f in FIELDS))
     # the commands meet all else by (taskId, seg), in one exchange of theirs
     found = cuts(cmd, "taskId", at)
     cmd = running_last(with_segments(cmd, "taskId", at, found), "taskId", at, values, found)
@@ -116,7 +127,11 @@ def _changed(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None, en
     rows = judged(cmd, "task_update", causes).withColumn("_said", F.col("message")).drop("cause_status", "status", "message")
     rows = judged(rows, "task_delete", causes).withColumn("message", F.when(F.col("kind") == "task_update", F.col("_said")).otherwise(F.col("message")))  # the statuses are the same
     now = lambda f: F.when(F.col("cause_status").isNull(), F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f"old.{f}"))).alias(f)
-    return state, outcomes(rows, F.col("kind"), F.col("taskId"), *(now(f) for f in FIELDS))
+    return folded, outcomes(rows, F.col("kind"), F.col("taskId"), *(now(f) for f in FIELDS))
+
+
+def _state(tasks: DataFrame, folded: DataFrame) -> DataFrame:
+    return tasks.join(folded, "_id", "left").where("_end is null").select("_id", *map(_patched, FIELDS))
 
 
 def change_tasks(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None = None, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -124,28 +139,23 @@ def change_tasks(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None
 
     Returns the new state, the outcomes of both kinds, and the row after each patch (before each delete).
     Patches fold by a last value per field, where an explicit null is a value."""
-    state, rows = _changed(tasks, patches, deletes, enforce, id_format)
-    return state, rows.drop(*FIELDS), rows.where("cause_status is null").select("request_id", F.col("id").alias("_id"), *FIELDS)
+    folded, rows = _changed(tasks, patches, deletes, enforce, id_format)
+    return _state(tasks, folded), rows.drop(*FIELDS), rows.where("cause_status is null").select("request_id", F.col("id").alias("_id"), *FIELDS)
 
 
 def task_changes(tasks: DataFrame, patches: DataFrame, deletes: DataFrame | None = None, enforce: bool = True, id_format: str = "object_id") -> tuple[DataFrame, DataFrame]:
     """The tasks that change_tasks changes, as they are then, with `_deleted` for those that go; and the outcomes.
 
-    Only touched tasks are read on, by a semi join with the ids of the commands."""
-    ids = patches.select(F.col("taskId").alias("_id"))
-    if deletes is not None:
-        ids = ids.union(deletes.select("taskId"))
-    touched = tasks.join(ids.distinct(), "_id", "left_semi").select(tasks.columns)
-    state, rows = _changed(touched, patches, deletes, enforce, id_format)
-    state = state.withColumn("_deleted", F.lit(False))
-    if deletes is not None:
-        state = state.unionByName(touched.join(state.select("_id"), "_id", "left_anti").withColumn("_deleted", F.lit(True)))
-    return state, rows.drop(*FIELDS)
+    Tasks meet the commands of all kinds in one join, by their ids."""
+    folded, rows = _changed(tasks, patches, deletes, enforce, id_format)
+    changed = tasks.join(folded, "_id").select("_id", *map(_patched, FIELDS), F.col("_end").isNotNull().alias("_deleted"))
+    return changed, rows.drop(*FIELDS)
 
 
 def patch_tasks(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> Changed:
     """Partial updates by id: keys that are there are set (a null too), unknown ones dropped. Outcomes have the task after the patch."""
-    return Changed(*_changed(tasks, cmd, None, enforce, id_format))
+    folded, rows = _changed(tasks, cmd, None, enforce, id_format)
+    return Changed(_state(tasks, folded), rows)
 
 
 def delete_tasks(tasks: DataFrame, cmd: DataFrame, enforce: bool = True, id_format: str = "object_id") -> Changed:
