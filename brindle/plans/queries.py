@@ -22,6 +22,11 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex[:12]}"
 
 
+def _buckets(spark: SparkSession) -> int:
+    """As many as a shuffle has partitions, so that a bucket is no larger than those; 16 at least."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _short(found: DataFrame, *more: str) -> DataFrame:
     return found.select("request_id", "cause_status", "status", "message", "id", *more)
 
@@ -380,7 +385,7 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Workspace(spark, sf_dir)
     before = w.tasks()
-    log = StateLog(spark, f"{_new_folder(spark)}/tasks", before.schema)
+    log = StateLog(spark, f"{_new_folder(spark)}/tasks", before.schema, buckets=_buckets(spark))
     log.write_base(before, 0)
     first = F.col("request_id").endswith("-1")
     patches, deletes = w.cmd_task_update(), w.cmd_task_delete()
@@ -439,7 +444,7 @@ def task_patch_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Workspace(spark, sf_dir)
     before = w.tasks()
-    log = StateLog(spark, f"{_new_folder(spark)}/tasks", before.schema, buckets=16)
+    log = StateLog(spark, f"{_new_folder(spark)}/tasks", before.schema, buckets=_buckets(spark))
     log.write_base(before, 0)
     log.write_changes(tasks.task_changes(log.read(), w.cmd_task_update(), w.cmd_task_delete())[0], 1)
     return log.read().select("_id", "title", "description", "deadline")

@@ -6,9 +6,10 @@ is complete.  A read takes the latest base and, of the later changes, the last o
 key: one anti join on the changed keys, without a shuffle of the base where Spark finds
 those small enough to send around.  Compaction writes the state as a base of its version once the
 changes have grown to a share of the base, so that all writing together stays in
-proportion to the changes; what is older can go then.  With `buckets` a base is a bucketed
-table: joins of the state by its key (the changes, commands by id) then move the other side
-alone, however large that is.
+proportion to the changes; what is older can go then.  With `buckets` a base and its changes
+are bucketed tables: changes meet the base, and each other, where they lie, and joins of the
+state by its key (commands by id) move the other side alone, however large that is; what
+such a join gives is written as changes without another shuffle.  A log keeps its number of buckets.
 
 Defined results: rows of the base with a null key stay; a change of a key that isn't there
 adds it; a delete of such a key does nothing; of several rows of a key in one batch any one
@@ -17,6 +18,8 @@ counts, so a batch should have one each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ from .layout import read_bucketed, write_bucketed
 DELETED = "_deleted"
 
 
+_IN_PLACE = 4  # versions of changes that are read by joins of each with those after it
+
+
 class StateLog:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "_id", buckets: int | None = None):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
@@ -77,7 +83,20 @@ class StateLog:
     def write_changes(self, changed: DataFrame, version: int) -> None:
         """changed: the rows after the change, for deletes too; with a column _deleted, if there are any."""
         deleted = F.coalesce(F.col(DELETED), F.lit(False)) if DELETED in changed.columns else F.lit(False)
-        changed.select(*self.schema.names, deleted.alias(DELETED)).write.mode("overwrite").parquet(f"{self.path}/d={version}")
+        rows, path = changed.select(*self.schema.names, deleted.alias(DELETED)), f"{self.path}/d={version}"
+        if self.buckets:
+            write_bucketed(rows, path, self.key, self.buckets)
+        else:
+            rows.write.mode("overwrite").parquet(path)
+
+    def _changes(self, versions: list[int]) -> DataFrame:
+        """The rows of these changes, with their version `d`."""
+        schema = T.StructType([*self.schema, T.StructField(DELETED, T.BooleanType())])
+        if self.buckets:
+            each = (read_bucketed(self.spark, f"{self.path}/d={v}", schema, self.key, self.buckets).withColumn("d", F.lit(v).cast("long")) for v in versions)
+            return reduce(DataFrame.union, each)
+        schema = schema.add("d", T.LongType())
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/d={v}" for v in versions))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The state of a version, or the latest one; empty if there is none."""
@@ -87,11 +106,28 @@ class StateLog:
         state = self.spark.createDataFrame([], self.schema) if base is None else self._base(base)
         if not later:
             return state
-        schema = T.StructType([*self.schema, T.StructField(DELETED, T.BooleanType()), T.StructField("d", T.LongType())])
-        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/d={v}" for v in later))
-        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in schema.names if c != self.key)), "d").alias("last")).select(self.key, "last.*")
+        if self.buckets and len(later) <= _IN_PLACE:
+            return self._read_in_place(state, later)
+        rows = self._changes(later)
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != self.key)), "d").alias("last")).select(self.key, "last.*")
         return state.join(last.select(self.key), self.key, "left_anti").select(self.schema.names).unionByName(last.where(~F.col(DELETED)).select(self.schema.names))
 
+    def _read_in_place(self, base: DataFrame, later: list[int]) -> DataFrame:
+        """Base and changes without any shuffle: of each, what no later change has, by joins of bucketed tables with one another."""
+        one = lambda rows: rows.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != self.key)), "d").alias("last")).select(self.key, "last.*")
+        changes = [one(self._changes([v])) for v in later]
+        keys = [self._changes([v]).select(self.key) for v in later]
+        found = base
+        for k in keys:
+            found = found.join(k, self.key, "left_anti")
+        found = found.select(self.schema.names)
+        for i, rows in enumerate(changes):
+            for k in keys[i + 1 :]:
+                nulls = k.where(F.col(self.key).isNull()).agg(F.count("*")).scalar()  # a null key meets none in a join
+                rows = rows.join(k, self.key, "left_anti").where(F.col(self.key).isNotNull() | (nulls == 0))
+            found = found.union(rows.where(~F.col(DELETED)).select(self.schema.names))
+        return found
+
     def compact(self, share: float = 0.5) -> bool:
         """Write the latest version as a base, if the changes since the last one have at least that share of its bytes."""
         base = max(self.bases(), default=None)
