@@ -46,6 +46,7 @@ TOKENS = 64
 SMALL = 64  # rows of a node that are compared exhaustively
 HEAVY = 32 << 20  # bytes of the full sets of a node that one task may hold
 PIVOTS = 2  # of a large node, a round
+PIECE = 2 << 20  # bytes of text at a time
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("roots", T.ArrayType(T.LongType()))])
 _NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n_shingles", T.LongType())])
 _MET = T.StructType([T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("left", T.BooleanType()), T.StructField("right", T.BooleanType())])
@@ -72,7 +73,7 @@ def _sketcher(size: int, trees: int, picks: int):
     tree = np.repeat(np.arange(trees), picks).astype(np.uint64)
 
     def run(batches):
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=PIECE):
             n, s1, s2, sketch, roots = [], [], [], [], []
             for g in _shingles(table, size):
                 n.append(len(g))
@@ -305,7 +306,7 @@ def _branch(picks: int):
 
 def _full_sets(size: int):
     def run(batches):
-        for table in in_pieces(batches):
+        for table in in_pieces(batches, at_most=PIECE):
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([g.tobytes() for g in _shingles(table, size)], pa.binary())], names=["doc_id", "grams"])
 
     return run
