@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from .bytewords import SPACE, in_pieces, mix, window_hashes, words_hashed
 from .components import components
-from .scratch import Scratch, to_all
+from .scratch import BROADCAST_PAIRS, Scratch, to_all
 
 TOKENS = 64
 SMALL = 64  # rows of a node that are compared exhaustively
@@ -380,31 +380,33 @@ class _Join:
     """One run of the join: the tables that its steps share."""
 
     def __init__(self, spark, docs, percent, shingle, trees, picks, bound, depth, cell):
-        self.spark, self.docs, self.percent, self.shingle, self.picks, self.bound, self.depth, self.cell = spark, docs, percent, shingle, picks, bound, depth, cell
+        self.spark, self.docs, self.percent, self.shingle, self.roots, self.picks, self.bound, self.depth, self.cell = spark, docs, percent, shingle, trees * picks, picks, bound, depth, cell
         self.scratch = Scratch(spark, "near")
         self.sets = self.scratch.write(docs.where("doc_id is not null").mapInArrow(_sketcher(shingle, trees, picks), _SETS))
         some = self.sets.where("n_shingles > 0")
-        self.classes = self.scratch.write(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+        self.rows, ids = some.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+        self.classes = self.scratch.write(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), self.rows)
         own = some.join(self.classes, ["s1", "s2"]).where("doc_id = rep")
-        rows, ids = some.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
         self.shared = None
-        if rows > ids:  # rows that share an id are linked
+        if self.rows > ids:  # rows that share an id are linked
             own = own.dropDuplicates(["rep", "s1", "s2"])
             of = some.select("doc_id", "s1", "s2").join(self.classes, ["s1", "s2"])
             self.shared = self.scratch.write(of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
-        self.reps = self.scratch.write(own.select("rep", "n_shingles", "sketch", "roots"))
+        self.reps = self.scratch.write(own.select("rep", "n_shingles", "sketch", "roots"), self.rows)
         self.grams = self.labels = None
+        self.n_grams = self.n_labels = 0  # their rows
 
-    def nodes(self, rows: DataFrame) -> DataFrame:
-        """rows (node, rep, n_shingles) of nodes of two rows or more, with their number, the bytes of their full sets, and the sketch."""
+    def nodes(self, rows: DataFrame, most: int) -> DataFrame:
+        """rows (node, rep, n_shingles; at most so many) of nodes of two rows or more, with their number, the bytes of their full sets, and the sketch."""
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), (F.sum("n_shingles") * 8).alias("bytes")).where("n > 1")
-        return self.scratch.write(rows.join(sizes, "node").join(self.reps.select("rep", "sketch"), "rep"))
+        return self.scratch.write(rows.join(sizes, "node").join(self.reps.select("rep", "sketch"), "rep"), most)
 
-    def labelled(self, rows: DataFrame) -> DataFrame:
+    def labelled(self, rows: DataFrame, rep: str = "rep", comp: str = "comp") -> DataFrame:
         """With `comp`, the component of rep so far."""
         if self.labels is None:
-            return rows.withColumn("comp", F.col("rep"))
-        return rows.join(self.labels.select(F.col("v").alias("rep"), F.col("c").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            return rows.withColumn(comp, F.col(rep))
+        labels = to_all(self.labels.select(F.col("v").alias(rep), F.col("c").alias(comp)), self.n_labels, BROADCAST_PAIRS)
+        return rows.join(labels, rep, "left").withColumn(comp, F.coalesce(comp, rep))
 
     def apart(self, nodes: DataFrame) -> DataFrame:
         """With comp, `out` (whether a row is outside its node's largest component), and how many rows and bytes are."""
@@ -429,62 +431,63 @@ class _Join:
         rows = rows.select(F.explode(F.concat(left, right)).alias("cell"), "rep", "n_shingles", "comp", "sketch").select("cell.*", "rep", "n_shingles", "comp", "sketch")
         return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_cells_in_task(self.percent), _MET)
 
-    def pivots(self, nodes: DataFrame, rounds: int = 2) -> DataFrame:
-        """Link the rows of large nodes to some pivots of theirs; the nodes with what is then left (see `apart`).
+    def pivots(self, nodes: DataFrame, most: int, rounds: int = 2) -> DataFrame:
+        """Link the rows (at most so many) of large nodes to some pivots of theirs; the nodes with what is then left (see `apart`).
 
         A pivot is the row of least hash, so that nodes of much the same rows have the same pivots."""
         left = None
         for _ in range(rounds):
-            some = nodes if left is None else left.where(f"out and n_out > {self.cell}")
+            some = self.labelled(nodes) if left is None else left.where(f"out and n_out > {self.cell}")
             if left is not None and some.isEmpty():
                 break
             least = some.groupBy("node").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
             least = least.select("node", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("pivot"))
-            least = self.scratch.write(least.join(self.reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("p_shingles"), F.col("sketch").alias("p_sketch")), "pivot"))
-            met = some.select("node", "rep", "n_shingles", "sketch").join(least, "node").where("rep <> pivot")
-            self.confirm(met.mapInArrow(_like_pivots(self.percent), _PAIR))
+            least = least.join(self.reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("p_shingles"), F.col("sketch").alias("p_sketch")), "pivot")
+            least = self.scratch.write(self.labelled(least, "pivot", "p_comp"), most)
+            met = some.select("node", "rep", "comp", "n_shingles", "sketch").join(least, "node").where("comp <> p_comp")
+            self.confirm(met.mapInArrow(_like_pivots(self.percent), _PAIR), PIVOTS * most)
             self.scratch.drop(least, *([left] if left is not None else []))
-            left = self.scratch.write(self.apart(nodes))
+            left = self.scratch.write(self.apart(nodes), most)
         return left
 
-    def exact(self, whole: list[DataFrame], celled: list[DataFrame]) -> None:
+    def exact(self, small: DataFrame, celled: DataFrame | None) -> None:
         """Link what still lies in different components of a node."""
-        rows = None
-        for found in [*(self.in_tasks(x, first=False) for x in whole), *map(self.in_cells, celled)]:
-            rows = found if rows is None else rows.union(found)
-        rows = self.scratch.write(rows)
-        if rows.isEmpty():
+        rows = self.in_tasks(small, first=False)
+        rows = self.scratch.write(rows if celled is None else rows.union(self.in_cells(celled)))
+        found = rows.count()
+        if not found:
             return
-        self.fetch(rows.select(F.col("rep").alias("doc_id")).distinct())
+        self.fetch(rows.select(F.col("rep").alias("doc_id")), found)
         rows = self.labelled(rows).join(self.grams.withColumnRenamed("doc_id", "rep"), "rep").select("node", "rep", "comp", "left", "right", "grams")
         self.merge(rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_exact_nodes(self.percent), _PAIR))
 
-    def fetch(self, ids: DataFrame) -> None:
-        """Have the full sets of these documents."""
+    def fetch(self, ids: DataFrame, rows: int) -> None:
+        """Have the full sets of these documents (ids at most so many, some of them several times)."""
         if self.grams is not None:
-            ids = ids.join(self.grams.select("doc_id"), "doc_id", "left_anti")
-        ids = self.scratch.write(ids)
-        rows = ids.count()
+            ids = ids.join(to_all(self.grams.select("doc_id"), self.n_grams), "doc_id", "left_anti")
+            if ids.isEmpty():
+                return
+        found = self.scratch.write(self.docs.join(to_all(ids, rows), "doc_id", "left_semi").mapInArrow(_full_sets(self.shingle), "doc_id long, grams binary"))
+        self.grams = found if self.grams is None else self.grams.union(found)
+        self.n_grams += found.count()
+
+    def confirm(self, pairs: DataFrame, most: int) -> None:
+        """Test these pairs (at most so many) on full sets, and bring the components up to date."""
+        pairs = self.scratch.write(pairs.distinct(), most)
+        rows = pairs.count()
         if rows:
-            found = self.scratch.write(self.docs.join(to_all(ids, rows), "doc_id", "left_semi").mapInArrow(_full_sets(self.shingle), "doc_id long, grams binary"))
-            self.grams = found if self.grams is None else self.grams.union(found)
-        self.scratch.drop(ids)
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Test these pairs on full sets, and bring the components up to date."""
-        pairs = self.scratch.write(pairs.distinct())
-        if not pairs.isEmpty():
-            self.fetch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-            sure = pairs.join(self.grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
+            self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * rows)
+            sure = self.grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")).join(to_all(pairs, rows, BROADCAST_PAIRS), "a")
             sure = sure.join(self.grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-            self.merge(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR))
+            self.merge(sure.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(self.percent), _PAIR), rows)
         self.scratch.drop(pairs)
 
-    def merge(self, edges: DataFrame) -> None:
+    def merge(self, edges: DataFrame, rows: int | None = None) -> None:
         before = self.labels
         if before is not None:
             edges = edges.union(before.select("v", "c"))
-        self.labels = components(self.scratch, edges)
+        self.labels = components(self.scratch, edges, rows and rows + self.n_labels)
+        self.n_labels = self.labels.count()
         if before is not None:
             self.scratch.drop(before)
 
@@ -492,26 +495,27 @@ class _Join:
         """Find `labels`: v and c, the component, of every representative that is linked with another (None: there is none)."""
         if self.shared is not None:
             self.merge(self.shared)
-        nodes = self.nodes(self.reps.select(F.explode("roots").alias("node"), "rep", "n_shingles"))
-        whole, celled = [], []
+        most = self.rows * self.roots
+        nodes = self.nodes(self.reps.select(F.explode("roots").alias("node"), "rep", "n_shingles"), most)
+        small, celled = None, None
+        both = lambda x, y: y if x is None else x.union(y)
         for level in range(self.depth + 1):
             fits = f"n <= {self.bound} and bytes <= {HEAVY}"
-            whole.append(nodes.where(fits))
+            small = both(small, nodes.where(fits))
             large = nodes.where(f"not ({fits})").select("node", "rep", "n_shingles", "n", "bytes", "sketch")
-            if large.isEmpty():
+            rows = large.count()
+            if not rows:
                 break
-            left = self.pivots(large)
+            left = self.pivots(large, rows)
             branches = f"n_out > {4 * self.cell}" if level < self.depth else "false"
-            celled.append(left.where(f"not ({branches})").select(large.columns))
+            celled = both(celled, left.where(f"not ({branches})").select(large.columns))
             on = left.where(branches)
             if on.isEmpty():
                 break
-            nodes = self.nodes(on.select("node", "rep", "n_shingles", "sketch").mapInArrow(_branch(self.picks), _NODE))
-        small = whole[0]
-        for x in whole[1:]:
-            small = small.union(x)
-        self.confirm(self.in_tasks(small, first=True))
-        self.exact([small], celled)
+            nodes = self.nodes(on.select("node", "rep", "n_shingles", "sketch").mapInArrow(_branch(self.picks), _NODE), self.picks * rows)
+            most += self.picks * rows
+        self.confirm(self.in_tasks(small, first=True), most)
+        self.exact(small, celled)
 
 
 def _components(spark: SparkSession, docs: DataFrame, percent: int, shingle: int, trees: int = 5, picks: int = 2, bound: int = 1 << 10, depth: int = 6, cell: int = 1 << 10) -> tuple[DataFrame, Scratch]:
@@ -519,8 +523,7 @@ def _components(spark: SparkSession, docs: DataFrame, percent: int, shingle: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     join = _Join(spark, docs, percent, shingle, trees, picks, bound, depth, cell)
     join.run()
-    of = join.classes.withColumn("component_id", F.col("rep")) if join.labels is None else join.classes.join(join.labels.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("component_id", F.coalesce("c", "rep"))
-    of = join.scratch.write(of.select("s1", "s2", "component_id"))
+    of = join.scratch.write(join.labelled(join.classes, comp="component_id").select("s1", "s2", "component_id"), join.rows)
     join.scratch.drop_others(join.sets, of)
     found = join.sets.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2"], "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
