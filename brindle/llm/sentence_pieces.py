@@ -44,6 +44,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _PIECES = 1 << 20  # a score's unit, so that the count of pieces breaks ties
 _WIDE = 1 << 40  # the same where no unit fits 64 bits: such scores are Python integers
+PIECE = 1 << 20  # bytes of text at a time: of 4 MB, a worker takes some 300 MB more and no less time
 _SHORT = 128  # characters of chunks whose best segmentations are found all at once
 _NO_GAP = np.iinfo(np.int64).max  # of chunks with one segmentation
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("round_trip", T.BooleanType())])
@@ -509,12 +510,10 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [whole[a:b].replace("▁".encode(), b" ")[1:] if b > a else b"" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """doc_id, ids, score, nbest_scores and nbest_ids (of the n best segmentations, best first) and round_trip (decoding gives the text) of every row of docs."""
-
+def _encoded(model_path: str, n: int):
     def run(batches):
         pieces = pieces_of(model_path)
-        for table in in_pieces(batches, at_most=4 << 20):  # code points and their copies take some 20 bytes a byte
+        for table in in_pieces(batches, at_most=PIECE):
             t, ids, at, score, many, all_ids, all_at = encode_n_best(pieces, table.column("text"), n)
             whole = t.buf.tobytes()
             same = [whole[a:b] == x for a, b, x in zip(t.offset[:-1].tolist(), t.offset[1:].tolist(), decode_ids(pieces, ids, at), strict=True)]
@@ -522,7 +521,12 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
             each = lists(np.r_[0, np.cumsum([len(m) for m in many])], lists(all_at, pa.array(all_ids, pa.int32())))
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), lists(at, pa.array(ids, pa.int32())), pa.array(score), pa.array(many, pa.list_(pa.float64())), each, pa.array(same)], names=_OUT.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
+    return run
+
+
+def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
+    """doc_id, ids, score, nbest_scores and nbest_ids (of the n best segmentations, best first) and round_trip (decoding gives the text) of every row of docs."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoded(model_path, n), _OUT)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
