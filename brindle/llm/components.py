@@ -15,9 +15,9 @@ def components(scratch: Scratch, edges: DataFrame, rows: int | None = None) -> D
     neighbours'.  What a join reads is a written table, so that Spark can split the rows
     of a hub, and few labels go to all tasks; labels are least values, which are summed up
     before they are shuffled."""
-    both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    links = scratch.write(edges.where("a <> b").select(F.inline(both)), rows and 2 * rows)
-    most = links.count()
+    pairs = scratch.write(edges.where("a <> b").select("a", "b"), rows)
+    links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
+    most = 2 * pairs.count()
     few = lambda table: to_all(table, most, BROADCAST_PAIRS)
     labels = scratch.write(links.groupBy("v").agg(F.least("v", F.min("u")).alias("c"), F.lit(True).alias("moved")), most)
     while not labels.where("moved").isEmpty():
@@ -27,5 +27,5 @@ def components(scratch: Scratch, edges: DataFrame, rows: int | None = None) -> D
         new = jumped.union(near).groupBy("v").agg(F.min("c").alias("c"), F.max("old").alias("old"))
         before, labels = labels, scratch.write(new.select("v", "c", (F.col("c") != F.col("old")).alias("moved")), most)
         scratch.drop(before)
-    scratch.drop(links)
+    scratch.drop(pairs)
     return labels
